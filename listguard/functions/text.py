@@ -218,12 +218,13 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda t: t != "")
 
 
+def _runs(tokens: Column, n: int) -> Column:
+    """All ``n``-word sequences of a token array."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def ngrams(tokens: Column, longest: int) -> Column:
     """Distinct 1..``longest``-word sequences of a token array."""
-    grams = tokens
-    for n in range(2, longest + 1):
-        runs = F.when(F.size(tokens) >= n,
-                      F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                                  lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-        grams = F.concat(grams, F.coalesce(runs, F.array().cast("array<string>")))
-    return F.array_distinct(grams)
+    return F.array_distinct(F.concat(tokens, *[_runs(tokens, n) for n in range(2, longest + 1)]))
