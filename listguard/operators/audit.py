@@ -11,7 +11,6 @@ from listguard.functions.urls import base_sku, country_from_url, last_slug, offi
 from listguard.market import DEFAULT_MARKET, Market
 from listguard.operators.skew import HOT_ROWS, attach_group, first_per_key, map_distinct, small
 
-FASHION_WORD = r"(?iU)\bfashion\b"
 ADVISORY = {
     "_OLD_PRICE_CORRUPTED": "Corrupted original price",
     "_DISCOUNT_MISMATCH": "Discount / price mismatch",
@@ -128,7 +127,7 @@ def resolve_category(df: DataFrame, category_map: DataFrame) -> DataFrame:
         best = keys.groupBy("kn").agg(F.max_by("code", "rank").alias("code"), F.max("rank").alias("rank"))
         wanted = left.select("sn").distinct()
         inside = (wanted.select("sn", F.explode(_substrings(F.col("sn"), 3)).alias("kn"))
-                  .join(small(best), "kn").select("sn", "code", "rank"))
+                  .join(small(best, exact=True), "kn").select("sn", "code", "rank"))
         around = (best.select("code", "rank", F.explode(_substrings(F.col("kn"), 1)).alias("sn"))
                   .join(wanted, "sn").select("sn", "code", "rank"))
         hits = inside.unionByName(around).groupBy("sn").agg(F.max_by("code", "rank").alias("code"))
@@ -269,30 +268,6 @@ def repair(df: DataFrame, code: str, market: Market = DEFAULT_MARKET,
 
 # ---- audit checks --------------------------------------------------------------------------
 
-def _fashion_path(df: DataFrame) -> Column:
-    return (F.coalesce(F.col("CATEGORY").rlike(FASHION_WORD), F.lit(False)) if "CATEGORY" in df.columns
-            else F.lit(False))
-
-
-def _with_fashion_code(df: DataFrame, fashion_codes: DataFrame) -> DataFrame:
-    codes = fashion_codes.select(tx.clean_code(F.col("code")).alias("_fc")).distinct().withColumn("_fas", F.lit(True))
-    return df.join(small(codes), tx.clean_code(F.col("CATEGORY_CODE")) == F.col("_fc"), "left")
-
-
-def audit_fashion_brand(df: DataFrame, fashion_codes: DataFrame) -> DataFrame:
-    """Brand ``fashion`` outside the fashion codes and without the word in the category."""
-    tagged = _with_fashion_code(df, fashion_codes)
-    return tagged.where((tx.lower_key(F.col("BRAND")) == "fashion") & F.col("_fas").isNull()
-                        & ~_fashion_path(df)).select(*df.columns)
-
-
-def audit_generic_brand(df: DataFrame, fashion_codes: DataFrame) -> DataFrame:
-    """Brand ``generic`` in a fashion code or with the word in the category."""
-    tagged = _with_fashion_code(df, fashion_codes)
-    return tagged.where((F.lower(tx.as_text(F.col("BRAND"))) == "generic")
-                        & (F.col("_fas").isNotNull() | _fashion_path(df))).select(*df.columns)
-
-
 def fake_discount_detail(df: DataFrame, times: float = 10.0) -> Column:
     """Detail where the old price is more than ``times`` the current one, else null."""
     if not {"GLOBAL_PRICE", "OLD_PRICE"} <= set(df.columns):

@@ -41,6 +41,7 @@ CAPACITY = r"(?iU)\b(\d[\d,]*)\s*mah\b"
 CAPACITY_LIMIT = 20_000
 ABSENT_WARRANTY = ["nan", "", "none", "nat", "n/a"]
 ABSENT_COLOR = ["nan", "", "none", "null"]
+FASHION_WORD = r"(?iU)\bfashion\b"
 COVER_WORDS = r"(?U)\b(case|cases|cover|covers)\b"
 
 # Columns without which a check does not run.
@@ -219,6 +220,19 @@ def _fashion(r):
                      tx.as_text(F.col("CATEGORY_CODE"))))
 
 
+def _category_says_fashion(r) -> Column:
+    return (F.coalesce(F.col("CATEGORY").rlike(FASHION_WORD), F.lit(False)) if "CATEGORY" in r.columns
+            else F.lit(False))
+
+
+def _audit_generic(r):
+    return (F.lower(r.brand_raw) == "generic") & (r.role("fashion") | _category_says_fashion(r)), None
+
+
+def _audit_fashion(r):
+    return (r.brand == "fashion") & ~r.role("fashion") & ~_category_says_fashion(r), None
+
+
 def _brand_in_name(r):
     return (r.brand != "") & (r.brand != "nan") & F.contains(r.name, r.brand), None
 
@@ -264,7 +278,7 @@ def _gift(r):
 
 
 def _ng_books(r):
-    rules = sorted(literal_rows(r.rules.table("ng_book")), key=lambda x: x.rule_order)
+    rules = sorted(literal_rows(r.rules.table("ng_book")), key=lambda x: (x.rule_order, x.title))
     if not rules:
         return None
     listed = F.array(*[F.struct(F.lit(x.title).alias("title"), F.lit(x.seller).cast("string").alias("seller"))
@@ -358,6 +372,9 @@ ROW_CHECKS = {
     "NG - Powerbank Capacity": _ng_power,
 }
 
+# On published listings the category text counts as well as the code.
+AUDIT_CHECKS = {"Generic BRAND Issues": _audit_generic, "Fashion brand issues": _audit_fashion}
+
 # Which lookups and word lists a check reads.
 _ROLE_FREE = {"Suspected Fake product", "Unnecessary words in NAME", "BRAND name repeated in NAME",
               "Generic branded products with genuine brands", "NG - Books Seller",
@@ -447,7 +464,7 @@ def first_duplicate(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HO
 
 def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, skip=(),
                pos: str = "_pos", predict=None, use_paths: bool = True,
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               hot_rows: int = HOT_ROWS, published: bool = False) -> DataFrame:
     """Rows with ``_mask`` and ``_found``; rows stay one per product.
 
     ``predict`` is a function adding the wrong-category detail as ``_category_detail``.
@@ -491,9 +508,10 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
         conditions["Duplicate product"] = (
             F.col("_dup").isNotNull(),
             F.concat(F.lit("Duplicate: '"), F.substring(F.col("_dup"), 1, 40), F.lit("'")))
+    row_checks = {**ROW_CHECKS, **(AUDIT_CHECKS if published else {})}
     for flag in flags:
-        if flag in ROW_CHECKS:
-            made = ROW_CHECKS[flag](row)
+        if flag in row_checks:
+            made = row_checks[flag](row)
             if made is not None:
                 conditions[flag] = made
     found = []

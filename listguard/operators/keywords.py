@@ -62,7 +62,7 @@ def attach_pattern(df: DataFrame, words: DataFrame, text: Column, out: str, styl
     keyed = words.select("word", word_key(F.col("word")).alias("_key"))
     longest = longest_key(keyed)
     keys = df.select(row_id, F.explode(text_keys(text, longest)).alias("_key"))
-    found = (keys.join(small(keyed), "_key").groupBy(row_id)
+    found = (keys.join(small(keyed, exact=True), "_key").groupBy(row_id)
              .agg(row_pattern(F.collect_set("word"), style).alias(out)))
     return df.join(found, row_id, "left"), F.col(out)
 
@@ -104,7 +104,7 @@ def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUC
     keys = F.array_union(F.array_union(text_keys(F.col("n"), longest), text_keys(F.col("b"), longest)),
                          F.array(F.concat(F.lit("="), F.col("b"))))
     # A row meets a rule at most once per key; the duplicates go before the fold.
-    met = (probe.select("*", F.explode(keys).alias("_key")).join(small(keyed), "_key")
+    met = (probe.select("*", F.explode(keys).alias("_key")).join(small(keyed, exact=True), "_key")
            .select(row_id, "n", "b", "s", "c", "_rule.*"))
     variation_pattern = F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(
         F.transform(F.col("variations"), tx.quote_col), "|"), F.lit(r")(?!\w)"))
@@ -151,7 +151,7 @@ def prohibited_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUCT_SET_
     probe = df.select(row_id, tx.as_text(F.col("NAME")).alias("raw"),
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
     met = (probe.select("*", F.explode(text_keys(F.col("raw"), longest)).alias("_key"))
-           .join(small(keyed), "_key")
+           .join(small(keyed, exact=True), "_key")
            .where(((F.size("categories") == 0) | F.array_contains("categories", F.col("c")))
                   & F.rlike(F.lower("raw"), bounded_word(F.col("keyword")))))
     found = met.groupBy(row_id).agg(

@@ -12,10 +12,22 @@ SALTS = 1024
 
 # Rule and dimension tables up to this many rows are broadcast; larger ones shuffle.
 BROADCAST_ROWS = 200_000
+ESTIMATED_BYTES = 8 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its row count, read here, is within ``rows``."""
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of the result by the optimizer's statistics; no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, exact: bool = False) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small, else unchanged (Spark shuffles it).
+
+    A plan whose input files are small passes on statistics alone.  Anything else, and plans
+    that multiply rows (``exact``), are counted up to the limit.
+    """
+    if not exact and estimated_bytes(df) <= ESTIMATED_BYTES:
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -63,10 +75,8 @@ def fill_within(df: DataFrame, key: str, pos: str, cols: list[str], block: str |
     w = Window.partitionBy(key, "_b").orderBy(pos)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    local = cut
-    for c in cols:
-        local = (local.withColumn(f"_f_{c}", F.last(c, True).over(back))
-                 .withColumn(f"_a_{c}", F.first(c, True).over(ahead)))
+    local = cut.select("*", *[F.last(c, True).over(back).alias(f"_f_{c}") for c in cols],
+                       *[F.first(c, True).over(ahead).alias(f"_a_{c}") for c in cols])
     if block is None:
         filled = {c: F.coalesce(f"_f_{c}", f"_a_{c}") for c in cols}
     else:

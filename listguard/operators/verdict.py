@@ -41,32 +41,43 @@ def lowest_bit(mask: Column) -> Column:
     return F.bit_count(mask.bitwiseAND(-mask) - 1).cast("int") + 1
 
 
+def duplicate_mask(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_dm``: flags found on any exact duplicate of the row; null where there are none."""
+    if not {"NAME", "BRAND", "SELLER_NAME", "COLOR"} <= set(df.columns):
+        return df.withColumn("_dm", F.lit(None).cast("bigint"))
+    keyed = df.withColumn("_dk", duplicate_key())
+    stats = (keyed.groupBy("_dk").agg(F.count("*").alias("_dn"), F.bit_or("_mask").alias("_dm"))
+             .where("_dn > 1 AND _dm <> 0"))
+    return attach_group(keyed, stats, ["_dk"], ["PRODUCT_SET_SID"], "_dn", hot_rows).drop("_dk", "_dn")
+
+
+def shared_mask(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_mm``: shared flags found on any row with the same brand, name and colour key."""
+    def text(c):
+        return tx.as_text(F.col(c)) if c in df.columns else F.lit("")
+    keyed = df.withColumn("_mk", tx.match_key(text("BRAND"), text("NAME"), text("COLOR")))
+    shared = F.bit_or(F.col("_mask").bitwiseAND(SHARED_MASK))
+    stats = keyed.groupBy("_mk").agg(F.count("*").alias("_mn"), shared.alias("_mm")).where("_mm <> 0")
+    return attach_group(keyed, stats, ["_mk"], ["PRODUCT_SET_SID"], "_mn", hot_rows).drop("_mk", "_mn")
+
+
 def expand(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``_final``: own flags, the flags of exact duplicates, shared flags of equal keys.
 
     Groups travel as one bit mask per key: a hash aggregate with map-side combining, then an
     attach that spreads hot groups.  Groups without any flag are dropped before the attach.
     """
-    out = df
-    if {"NAME", "BRAND", "SELLER_NAME", "COLOR"} <= set(df.columns):
-        keyed = out.withColumn("_dk", duplicate_key())
-        stats = (keyed.groupBy("_dk").agg(F.count("*").alias("_dn"), F.bit_or("_mask").alias("_dm"))
-                 .where("_dn > 1 AND _dm <> 0"))
-        out = attach_group(keyed, stats, ["_dk"], ["PRODUCT_SET_SID"], "_dn", hot_rows).drop("_dk", "_dn")
-    else:
-        out = out.withColumn("_dm", F.lit(None).cast("bigint"))
-    def text(c):
-        return tx.as_text(F.col(c)) if c in df.columns else F.lit("")
-
-    keyed = out.withColumn("_mk", tx.match_key(text("BRAND"), text("NAME"), text("COLOR")))
-    shared = F.bit_or(F.col("_mask").bitwiseAND(SHARED_MASK))
-    stats = (keyed.groupBy("_mk").agg(F.count("*").alias("_mn"), shared.alias("_mm")).where("_mm <> 0"))
-    out = attach_group(keyed, stats, ["_mk"], ["PRODUCT_SET_SID"], "_mn", hot_rows).drop("_mk", "_mn")
+    out = shared_mask(duplicate_mask(df, hot_rows), hot_rows)
     zero = F.lit(0).cast("bigint")
     final = F.col("_mask").bitwiseOR(F.coalesce("_dm", zero)).bitwiseOR(F.coalesce("_mm", zero))
     return out.withColumn("_final", final).drop("_dm", "_mm")
 
 
+def flags_of(mask: Column) -> Column:
+    """Orders of the set bits."""
+    return F.filter(F.sequence(F.lit(1), F.lit(len(FLAG_ORDER))), lambda i: F.getbit(mask, i - 1) == 1)
+
+
 def flag_names() -> Column:
     return F.array(*[F.lit(f) for f in FLAG_ORDER])
 

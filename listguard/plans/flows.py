@@ -16,9 +16,10 @@ def category_predictor(rules: RuleBook, stop_words=None):
     if "category_map" not in rules.tables:
         return None
     categories = rules.table("category_map").where("path IS NOT NULL").selectExpr("path AS category", "_pos")
-    keywords = rules.tables.get("category_keyword")
-    return matching.predictor(categories, paths_to_codes(rules.table("category_map")), keywords,
-                              rules.tables.get("correction"), stop_words)
+    def given(name):
+        return rules.table(name) if name in rules.tables else None
+    return matching.predictor(categories, paths_to_codes(rules.table("category_map")),
+                              given("category_keyword"), given("correction"), stop_words)
 
 
 def flagged_listings(df: DataFrame, rules: RuleBook, pos: str = "_pos", block: str | None = None,
@@ -39,9 +40,9 @@ def audit_verdicts(df: DataFrame, rules: RuleBook, pages: DataFrame | None = Non
     rows = first_per_key(df, ["PRODUCT_SET_SID"], [pos])
     if pages is not None:
         rows = audit.enrich(rows, pages)
-    category_map = rules.tables.get("category_map")
+    category_map = rules.table("category_map") if "category_map" in rules.tables else None
     ready = audit.repair(rows, rules.country, rules.market, category_map)
-    checked = run_checks(ready, rules, pos=pos, predict=predict, use_paths=False)
+    checked = run_checks(ready, rules, pos=pos, predict=predict, published=True)
     return ready, verdict(expand(checked), rules)
 
 

@@ -136,7 +136,10 @@ def flag_dimension(spark: SparkSession, market: Market = DEFAULT_MARKET,
 
 @dataclass
 class RuleBook:
-    """Every rule table of one run; missing tables are empty."""
+    """Every rule table of one run; missing tables are empty.
+
+    A table may be given as a function without arguments, which is called on first use.
+    """
 
     spark: SparkSession
     tables: dict
@@ -144,12 +147,15 @@ class RuleBook:
     country: str = "KE"
 
     def table(self, name: str) -> DataFrame:
-        if name in self.tables:
-            return self.tables[name]
-        return self.spark.createDataFrame([], EMPTY[name])
+        found = self.tables.get(name)
+        if found is None:
+            return self.spark.createDataFrame([], EMPTY[name])
+        if callable(found):
+            self.tables[name] = found = found()
+        return found
 
     def has(self, name: str) -> bool:
-        return name in self.tables and bool(self.tables[name].head(1))
+        return name in self.tables and bool(self.table(name).head(1))
 
     def for_country(self, name: str) -> DataFrame:
         return self.table(name).where(F.col("country") == self.country)
@@ -186,7 +192,7 @@ class RuleBook:
     @cached_property
     def flags(self) -> DataFrame:
         if "flag_map" in self.tables:
-            return self.tables["flag_map"]
+            return self.table("flag_map")
         return flag_dimension(self.spark, self.market)
 
 
