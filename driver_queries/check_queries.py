@@ -43,7 +43,8 @@ def add(name, sql=None):
 
 
 def prepared(spark, sf, code=None):
-    return ingest.prepare(listings(spark, sf), code, MARKET)
+    """Products of the listing view; every country when ``code`` is None."""
+    return ingest.prepare(listings(spark, sf), code, MARKET, block="l_partkey")
 
 
 def _check(flag):
@@ -82,7 +83,7 @@ def c11_highlight(spark, sf):
   regexp_replace(NAME, '(?i)(\\bbuy now\\b|\\bbest\\b|\\bnew\\b)', '[*]\\1[*]', 'g') AS NAME FROM d
   WHERE regexp_matches(name_l, {S.WORD_UNN})""")
 def c12_highlight(spark, sf):
-    return C.highlighted_words(prepared(spark, sf), rule_book(spark, sf, "KE", "word_list").words("unnecessary"))
+    return C.highlighted_words(prepared(spark, sf), rule_book(spark, sf, "KE", "word_list"))
 
 
 @add("f03_miscellaneous", S.with_("listings") + f"""SELECT PRODUCT_SET_SID, CATEGORY, l_partkey FROM listings
@@ -175,7 +176,7 @@ def f10(spark, sf):
 # ---- verdicts ------------------------------------------------------------------------------
 
 def flagged(spark, sf, code):
-    return flows.flagged_listings(listings(spark, sf), rule_book(spark, sf, code))
+    return flows.flagged_listings(listings(spark, sf), rule_book(spark, sf, code), block="l_partkey")
 
 
 @add("v01_duplicate_expansion", S.verdict_parts("KE", "d_ke") + """SELECT DISTINCT k2.sid, o.ord FROM own o JOIN keys k1 ON o.sid = k1.sid
@@ -197,29 +198,29 @@ def v02(spark, sf):
 
 @add("v03_first_flag", S.verdict_parts("KE", "d_ke") + 'SELECT "ProductSetSid", "FLAG" FROM verdict WHERE "Status" = \'Rejected\'')
 def v03(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf)).where("Status = 'Rejected'").select("ProductSetSid", "FLAG")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey").where("Status = 'Rejected'").select("ProductSetSid", "FLAG")
 
 
 @add("v04_verdict_kenya", S.verdict_parts("KE", "d_ke") + "SELECT * FROM verdict")
 def v04(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf))
+    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey")
 
 
 @add("v04_verdict_nigeria", S.verdict_parts("NG", "d_ng") + "SELECT * FROM verdict")
 def v04_ng(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf, "NG"))
+    return flows.validate(listings(spark, sf), rule_book(spark, sf, "NG"), block="l_partkey")
 
 
 @add("v05_approved_rows", S.verdict_parts("KE", "d_ke") + "SELECT * FROM verdict WHERE \"Status\" = 'Approved'")
 def v05(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf)).where("Status = 'Approved'")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey").where("Status = 'Approved'")
 
 
 @add("v06_full_merge", S.verdict_parts("KE", "d_ke") + """SELECT d.PRODUCT_SET_SID, d.NAME, d.BRAND, d.GLOBAL_PRICE, v."Status", v."Reason", v."FLAG", v."SellerName"
 FROM d LEFT JOIN verdict v ON v."ProductSetSid" = d.PRODUCT_SET_SID""")
 def v06(spark, sf):
     rules = rule_book(spark, sf)
-    rows = flows.flagged_listings(listings(spark, sf), rules)
+    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
     return V.merge_full(rows, V.verdict(rows, rules)).select(
         "PRODUCT_SET_SID", "NAME", "BRAND", "GLOBAL_PRICE", "Status", "Reason", "FLAG", "SellerName")
 
@@ -245,7 +246,7 @@ SELECT v."ProductSetSid", v."ParentSKU", CASE action WHEN 'reject' THEN 'Rejecte
 FROM verdict v LEFT JOIN named n ON n.sid = v."ProductSetSid" LEFT JOIN {S.flag_values()} m ON m.flag = n.nf""")
 def v07(spark, sf):
     rules = rule_book(spark, sf)
-    return V.apply_decisions(flows.validate(listings(spark, sf), rules), decisions(spark, sf), rules)
+    return V.apply_decisions(flows.validate(listings(spark, sf), rules, block="l_partkey"), decisions(spark, sf), rules)
 
 
 _V09 = S.verdict_parts("KE", "d_ke") + """, nextflag AS (SELECT f.sid, (SELECT min(s.ord) FROM shared s WHERE s.sid = f.sid AND s.ord <> 16) AS ord
@@ -270,7 +271,7 @@ def v09_counts(spark, sf):
 FROM d LEFT JOIN verdict v ON v."ProductSetSid" = d.PRODUCT_SET_SID""")
 def v10(spark, sf):
     rules = rule_book(spark, sf)
-    rows = flows.flagged_listings(listings(spark, sf), rules)
+    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
     return V.audit_export(rows.select("PRODUCT_SET_SID", "NAME", "_mask"), V.verdict(rows, rules))
 
 
@@ -283,25 +284,25 @@ from listguard.operators import analytics as A  # noqa: E402
  (SELECT count(*) FROM d WHERE """ + S.country() + """ IN ('MULTIPLE', 'MULTI')) AS multi_country FROM verdict""")
 def a16(spark, sf):
     rules = rule_book(spark, sf, "NG")
-    rows = flows.flagged_listings(listings(spark, sf), rules)
+    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
     return A.validation_kpis(V.verdict(rows, rules), rows)
 
 
 @add("a17_flag_counts", S.verdict_parts("KE", "d_ke") + """SELECT "FLAG", count(*) AS n FROM verdict WHERE "Status" = 'Rejected' GROUP BY 1""")
 def a17(spark, sf):
-    return A.flag_counts(flows.validate(listings(spark, sf), rule_book(spark, sf)))
+    return A.flag_counts(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
 
 
 @add("a17_top_flag", S.verdict_parts("KE", "d_ke") + """SELECT "FLAG", count(*) AS n FROM verdict WHERE "Status" = 'Rejected' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1""")
 def a17_top(spark, sf):
-    return A.top_flag(flows.validate(listings(spark, sf), rule_book(spark, sf)))
+    return A.top_flag(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
 
 
 @add("a18_seller_summary", S.verdict_parts("KE", "d_ke") + """SELECT CAST(row_number() OVER (ORDER BY "Rejected" DESC, SELLER_NAME) AS integer) AS "Rank", * FROM (
  SELECT "SellerName" AS SELLER_NAME, count(*) FILTER ("Status" = 'Rejected') AS "Rejected", count(*) FILTER ("Status" = 'Approved') AS "Approved"
  FROM verdict GROUP BY 1)""")
 def a18(spark, sf):
-    return A.seller_summary(flows.validate(listings(spark, sf), rule_book(spark, sf)))
+    return A.seller_summary(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
 
 
 # ---- rule loaders --------------------------------------------------------------------------

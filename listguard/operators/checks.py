@@ -1,8 +1,8 @@
 """The thirty listing checks.
 
 Checks that look at one row become one projection after a fixed set of lookups by category
-code, seller and brand; keyword checks add columns by row id first; the duplicate check adds
-its group's first row.  A row ends up with ``_mask`` (bit per flag in priority order) and
+code, seller and brand; keyword, category and duplicate checks yield (product, detail)
+pairs, which are united and joined once.  A row ends up with ``_mask`` (bit per flag in priority order) and
 ``_found`` (the details).
 """
 
@@ -174,7 +174,9 @@ def _tester(r):
 
 
 def _sneakers(r):
-    brands = [x.word for x in literal_rows(r.rules.words("sneaker_brand"))]
+    brands = r.rules.short_lists.get("sneaker_brand", [])
+    if brands is None:
+        brands = [x.word for x in literal_rows(r.rules.words("sneaker_brand"))]
     if not brands or not r.has_role("sneaker"):
         return None
     listed = F.array(*[F.lit(b) for b in sorted(brands)])
@@ -244,11 +246,9 @@ def _variation(r):
             F.concat(F.lit("Variations: "), n.cast("string"), F.lit(", Category: "), r.code))
 
 
-def _known_brand(r):
-    cover = (F.lower(tx.as_text(F.col("CATEGORY"))).rlike(COVER_WORDS) if "CATEGORY" in r.columns
-             else F.lit(False))
-    return ((r.brand == "generic") & ~cover & F.col("_known_brand").isNotNull(),
-            F.concat(F.lit("Detected Brand: "), tx.title_case(F.col("_known_brand"))))
+def _miscellaneous(r):
+    return (F.contains(F.lower(tx.as_text(F.col("CATEGORY"))), F.lit("miscellaneous")),
+            F.lit("Category contains 'Miscellaneous'"))
 
 
 def _color(r):
@@ -358,7 +358,6 @@ ROW_CHECKS = {
     "Fashion brand issues": _fashion,
     "BRAND name repeated in NAME": _brand_in_name,
     "Wrong Variation": _variation,
-    "Generic branded products with genuine brands": _known_brand,
     "Missing COLOR": _color,
     "Missing Weight/Volume": _weight,
     "Incomplete Smartphone Name": _smartphone,
@@ -444,22 +443,50 @@ def look_up(df: DataFrame, rules: RuleBook, wanted: set, use_paths: bool = True)
     return df
 
 
-def first_duplicate(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_dup``: first name of an earlier product with the same seller, brand and name key."""
-    exempt = (F.col("_roles").bitwiseAND(1 << ROLES.index("duplicate_exempt")) != 0
-              if "duplicate_exempt" in rules.roles_present and "CATEGORY_CODE" in df.columns else F.lit(False))
-    key = F.concat_ws("|", tx.lower_key(F.col("SELLER_NAME")), tx.lower_key(F.col("BRAND")),
-                      tx.normalize_text(tx.as_text(F.col("NAME"))))
-    # An exempt row keeps a key of its own, so it neither joins a group nor piles up on null.
-    own = F.concat(F.lit("\u0001"), F.col("PRODUCT_SET_SID"))
-    keyed = df.withColumn("_key", F.when(F.coalesce(exempt, F.lit(False)), own).otherwise(key))
-    stats = (keyed.where(~F.col("_key").startswith("\u0001")).groupBy("_key").agg(
-        F.count("*").alias("n"),
-        F.min(F.struct(F.col(pos).alias("p"), tx.as_text(F.col("NAME")).alias("name"))).alias("first"))
-        .where("n > 1"))
-    joined = attach_group(keyed, stats, ["_key"], ["PRODUCT_SET_SID"], "n", hot_rows)
-    return (joined.withColumn("_dup", F.when(F.col(pos) > F.col("first.p"), F.col("first.name")))
-            .drop("_key", "n", "first"))
+def duplicate_hits(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``PRODUCT_SET_SID, detail`` of products after the first with one seller, brand and name key."""
+    columns = [c for c in ("PRODUCT_SET_SID", pos, "NAME", "BRAND", "SELLER_NAME", "CATEGORY_CODE") if c in df.columns]
+    rows = df.select(*columns)
+    if "duplicate_exempt" in rules.roles_present and "CATEGORY_CODE" in columns:
+        exempt = (rules.table("category_role").where("role = 'duplicate_exempt'")
+                  .select(tx.clean_code(F.col("code")).alias("_ex")).distinct())
+        rows = rows.join(small(exempt), tx.clean_code(F.col("CATEGORY_CODE")) == F.col("_ex"), "left_anti")
+    name = tx.as_text(F.col("NAME"))
+    key = F.concat_ws("|", tx.lower_key(F.col("SELLER_NAME")), tx.lower_key(F.col("BRAND")), tx.normalize_text(name))
+    keyed = rows.select("PRODUCT_SET_SID", F.col(pos).alias("_p"), name.alias("_name"), key.alias("_key"))
+    stats = (keyed.groupBy("_key").agg(F.count("*").alias("n"), F.min(F.struct("_p", "_name")).alias("first"))
+             .where("n > 1"))
+    later = attach_group(keyed, stats, ["_key"], ["PRODUCT_SET_SID"], "n", hot_rows).where("_p > first._p")
+    return later.select("PRODUCT_SET_SID", F.concat(F.lit("Duplicate: '"), F.substring("first._name", 1, 40),
+                                                    F.lit("'")).alias("detail"))
+
+
+def _joined_hits(df: DataFrame, rules: RuleBook, wanted: set, pos: str, predict, hot_rows: int) -> list:
+    """(flag, hits) of the checks that need more than the row; each reads ``df`` on its own."""
+    hits = []
+    if "Wrong Category" in wanted and predict is not None:
+        hits.append(("Wrong Category", predict(df)))
+    if "Restricted brands" in wanted and "restricted_brand" in rules.tables:
+        hits.append(("Restricted brands",
+                     kw.restricted_brand_hits(df, rules.for_country("restricted_brand"))))
+    if "Prohibited products" in wanted and "prohibited" in rules.tables:
+        hits.append(("Prohibited products", kw.prohibited_hits(df, rules.for_country("prohibited"))))
+    if "Generic branded products with genuine brands" in wanted:
+        brands = rules.words("known_brand")
+        if rules.short_lists.get("known_brand", []) != []:
+            generic = df.where(tx.lower_key(F.col("BRAND")) == "generic")
+            if "CATEGORY" in df.columns:
+                generic = generic.where(~F.lower(tx.as_text(F.col("CATEGORY"))).rlike(COVER_WORDS))
+            found = kw.known_brand_hits(generic, brands)
+            detail = F.concat(F.lit("Detected Brand: "), tx.title_case(F.col("brand")))
+            hits.append(("Generic branded products with genuine brands",
+                         found.select("PRODUCT_SET_SID", detail.alias("detail"))))
+    if "Duplicate product" in wanted:
+        hits.append(("Duplicate product", duplicate_hits(df, rules, pos, hot_rows)))
+    return hits
+
+
+FOUND = "array<struct<ord:int,detail:string>>"
 
 
 def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, skip=(),
@@ -467,67 +494,46 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
                hot_rows: int = HOT_ROWS, published: bool = False) -> DataFrame:
     """Rows with ``_mask`` and ``_found``; rows stay one per product.
 
-    ``predict`` is a function adding the wrong-category detail as ``_category_detail``.
+    ``predict`` is a function from listings to ``PRODUCT_SET_SID, detail`` of wrong categories;
+    without it the simple category check runs.  ``df`` should be a stored or staged table: the
+    joined checks read it again, each with the few columns it needs.
     """
     if flags is None:
         flags = [f for f in ALL_FLAGS if rules.country == "NG" or f not in NIGERIAN]
-    flags = [f for f in flags if f not in set(skip) | rules.skipped() and set(NEEDS[f]) <= set(df.columns)]
+    left_out = set(skip) | rules.skipped()
+    flags = [f for f in flags if f not in left_out and set(NEEDS[f]) <= set(df.columns)]
     wanted = set(flags)
     row = Row(rules, df.columns)
-    base = df.columns
-    df = look_up(df, rules, wanted, use_paths)
+    looked = look_up(df, rules, wanted, use_paths)
     for name, words, text, style in _pattern_specs(rules, row, wanted):
-        df, row.patterns[name] = kw.attach_pattern(df, words, text, f"_pat_{name}", style)
-    conditions: dict[str, tuple] = {}
-    if "Restricted brands" in wanted and rules.has("restricted_brand"):
-        hits = kw.restricted_brand_hits(df, rules.for_country("restricted_brand"))
-        df = df.join(hits.withColumnRenamed("detail", "_brand_detail"), "PRODUCT_SET_SID", "left")
-        conditions["Restricted brands"] = (F.col("_brand_detail").isNotNull(), F.col("_brand_detail"))
-    if "Prohibited products" in wanted and rules.has("prohibited"):
-        hits = kw.prohibited_hits(df, rules.for_country("prohibited"))
-        df = df.join(hits.select("PRODUCT_SET_SID", F.col("detail").alias("_prohibited")),
-                     "PRODUCT_SET_SID", "left")
-        conditions["Prohibited products"] = (F.col("_prohibited").isNotNull(), F.col("_prohibited"))
-    if "Generic branded products with genuine brands" in wanted:
-        brands = rules.words("known_brand")
-        if brands.head(1):
-            generic = df.where(tx.lower_key(F.col("BRAND")) == "generic")
-            hits = kw.known_brand_hits(generic, brands)
-            df = df.join(hits.withColumnRenamed("brand", "_known_brand"), "PRODUCT_SET_SID", "left")
-        else:
-            df = df.withColumn("_known_brand", F.lit(None).cast("string"))
-    if "Wrong Category" in wanted:
-        if predict is None:
-            misc = F.contains(F.lower(tx.as_text(F.col("CATEGORY"))), F.lit("miscellaneous"))
-            conditions["Wrong Category"] = (misc, F.lit("Category contains 'Miscellaneous'"))
-        else:
-            df = predict(df)
-            conditions["Wrong Category"] = (F.col("_category_detail").isNotNull(), F.col("_category_detail"))
-    if "Duplicate product" in wanted:
-        df = first_duplicate(df, rules, pos, hot_rows)
-        conditions["Duplicate product"] = (
-            F.col("_dup").isNotNull(),
-            F.concat(F.lit("Duplicate: '"), F.substring(F.col("_dup"), 1, 40), F.lit("'")))
+        listed = "perfume" if name == "perfume_brand" else name
+        looked, row.patterns[name] = kw.attach_pattern(looked, words, text, f"_pat_{name}", style, source=df,
+                                                       short=rules.short_lists.get(listed, []))
     row_checks = {**ROW_CHECKS, **(AUDIT_CHECKS if published else {})}
-    for flag in flags:
-        if flag in row_checks:
-            made = row_checks[flag](row)
-            if made is not None:
-                conditions[flag] = made
+    if predict is None:
+        row_checks["Wrong Category"] = _miscellaneous
     found = []
     for flag in flags:
-        if flag not in conditions:
-            continue
-        cond, detail = conditions[flag]
-        order = FLAG_ORDER[flag]
-        text = detail if detail is not None else F.lit(None).cast("string")
-        found.append(F.when(cond, F.struct(F.lit(order).alias("ord"), text.alias("detail"))))
-    none = F.array().cast("array<struct<ord:int,detail:string>>")
-    df = df.withColumn("_found", F.array_compact(F.array(*found)) if found else none)
+        made = row_checks[flag](row) if flag in row_checks else None
+        if made is not None:
+            text = made[1] if made[1] is not None else F.lit(None).cast("string")
+            found.append(F.when(made[0], F.struct(F.lit(FLAG_ORDER[flag]).alias("ord"), text.alias("detail"))))
+    array = F.array_compact(F.array(*found)) if found else F.array().cast(FOUND)
+    out = looked.select(*df.columns, array.cast(FOUND).alias("_found"))
+    hits = _joined_hits(df, rules, wanted, pos, predict, hot_rows)
+    if hits:
+        tagged = [h.select("PRODUCT_SET_SID", F.struct(F.lit(FLAG_ORDER[f]).alias("ord"), F.col("detail")).alias("x"))
+                  for f, h in hits]
+        union = tagged[0]
+        for t in tagged[1:]:
+            union = union.unionByName(t)
+        more = union.groupBy("PRODUCT_SET_SID").agg(F.collect_list("x").alias("_more"))
+        every = F.concat("_found", F.coalesce("_more", F.array().cast(FOUND)))
+        out = out.join(more, "PRODUCT_SET_SID", "left").withColumn("_found", every).drop("_more")
     # The mask is read off the finished array, so no condition is evaluated twice.
     mask = F.aggregate("_found", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(
         F.call_function("shiftleft", F.lit(1).cast("bigint"), x.ord - 1)))
-    return df.withColumn("_mask", mask).select(*base, "_mask", "_found")
+    return out.withColumn("_mask", mask)
 
 
 def check(df: DataFrame, rules: RuleBook, flag: str, **kwargs) -> DataFrame:
@@ -541,10 +547,11 @@ def contains_miscellaneous(df: DataFrame) -> DataFrame:
     return df.where(F.contains(F.lower(tx.as_text(F.col("CATEGORY"))), F.lit("miscellaneous")))
 
 
-def highlighted_words(df: DataFrame, words: DataFrame) -> DataFrame:
-    """Names with every unnecessary word marked."""
-    df, pattern = kw.attach_pattern(df, words, tx.as_text(F.col("NAME")), "_pat", "each")
+def highlighted_words(df: DataFrame, rules: RuleBook, listed: str = "unnecessary") -> DataFrame:
+    """Names with every word of the list marked."""
+    out, pattern = kw.attach_pattern(df, rules.words(listed), tx.as_text(F.col("NAME")), "_pat", "each",
+                                     short=rules.short_lists.get(listed, []))
     if pattern is None:
         return df.limit(0).select("PRODUCT_SET_SID", "NAME")
-    return (df.where(kw.hit(tx.lower_key(F.col("NAME")), pattern))
+    return (out.where(kw.hit(tx.lower_key(F.col("NAME")), pattern))
             .select("PRODUCT_SET_SID", F.regexp_replace(F.col("NAME"), pattern, F.lit("[*]$0[*]")).alias("NAME")))

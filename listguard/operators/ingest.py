@@ -191,6 +191,7 @@ def variation_count(df: DataFrame) -> DataFrame:
 def prepare(df: DataFrame, code: str | None, market: Market = DEFAULT_MARKET, pos: str = "_pos",
             block: str | None = None) -> DataFrame:
     """Fill, keep one country (all when ``code`` is None), count variations, keep first rows."""
+    block = block or ("_split" if "_split" in df.columns else None)
     errors = schema_errors(df.columns)
     if errors:
         raise ValueError("; ".join(errors))

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listguard.functions import text as tx
-from listguard.operators.skew import small
-
-# Lists up to this many words become one regular expression; longer ones are joined.
-LITERAL_WORDS = 64
+from listguard.operators.skew import BROADCAST_ROWS
 
 STYLES = {
     "each": lambda words: tx.word_pattern(words),
@@ -23,9 +20,10 @@ def word_key(word: Column) -> Column:
     return F.array_join(tx.word_tokens(word), " ")
 
 
-def longest_key(keys: DataFrame, column: str = "_key") -> int:
-    n = keys.agg(F.max(F.size(F.split(column, " ")))).head()[0]
-    return max(n or 1, 1)
+def keyed_rules(rules: DataFrame, column: str = "_key") -> tuple[DataFrame, int]:
+    """Rules by key, hinted for broadcast when their count allows it, and the longest key in words."""
+    n, longest = rules.agg(F.count("*"), F.max(F.size(F.split(column, " ")))).head()
+    return (F.broadcast(rules) if n <= BROADCAST_ROWS else rules), max(longest or 1, 1)
 
 
 def text_keys(text: Column, longest: int) -> Column:
@@ -47,23 +45,19 @@ def row_pattern(words: Column, style: str) -> Column:
 
 
 def attach_pattern(df: DataFrame, words: DataFrame, text: Column, out: str, style: str,
-                   row_id: str = "PRODUCT_SET_SID",
-                   literal_words: int = LITERAL_WORDS) -> tuple[DataFrame, Column | None]:
+                   row_id: str = "PRODUCT_SET_SID", short: list | None = None,
+                   source: DataFrame | None = None) -> tuple[DataFrame, Column | None]:
     """Column holding the pattern to try on each row, or None for an empty word list.
 
-    A short list is one literal.  A long one is joined on word sequences by row, so each row
-    only tries the few words whose sequence it contains.
+    A short list, given as ``short``, is one literal.  A long one is joined on word sequences
+    by row, so each row only tries the few words whose sequence it contains; ``source`` is the
+    table to take the texts from when ``df`` is already the result of joins.
     """
-    head = [r[0] for r in words.limit(literal_words + 1).collect()]
-    if not head:
-        return df, None
-    if len(head) <= literal_words:
-        return df, F.lit(STYLES[style](head))
-    keyed = words.select("word", word_key(F.col("word")).alias("_key"))
-    longest = longest_key(keyed)
-    keys = df.select(row_id, F.explode(text_keys(text, longest)).alias("_key"))
-    found = (keys.join(small(keyed, exact=True), "_key").groupBy(row_id)
-             .agg(row_pattern(F.collect_set("word"), style).alias(out)))
+    if short is not None:
+        return df, (F.lit(STYLES[style](sorted(short))) if short else None)
+    keyed, longest = keyed_rules(words.select("word", word_key(F.col("word")).alias("_key")))
+    keys = (df if source is None else source).select(row_id, F.explode(text_keys(text, longest)).alias("_key"))
+    found = (keys.join(keyed, "_key").groupBy(row_id).agg(row_pattern(F.collect_set("word"), style).alias(out)))
     return df.join(found, row_id, "left"), F.col(out)
 
 
@@ -95,8 +89,8 @@ def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUC
     rules = rules.withColumn("_rule", F.struct(*rules.columns))
     whole = F.concat(F.lit("="), F.col("brand"))
     words = F.array_distinct(F.transform(F.concat(F.array("brand"), F.col("variations")), word_key))
-    keyed = rules.select("_rule", F.explode(F.array_union(F.array(whole), words)).alias("_key"))
-    longest = longest_key(keyed)
+    keyed, longest = keyed_rules(
+        rules.select("_rule", F.explode(F.array_union(F.array(whole), words)).alias("_key")))
     name, brand = F.lower(tx.as_text(F.col("NAME"))), tx.lower_key(F.col("BRAND"))
     probe = df.select(row_id, name.alias("n"), brand.alias("b"),
                       tx.lower_key(F.col("SELLER_NAME")).alias("s"),
@@ -104,7 +98,7 @@ def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUC
     keys = F.array_union(F.array_union(text_keys(F.col("n"), longest), text_keys(F.col("b"), longest)),
                          F.array(F.concat(F.lit("="), F.col("b"))))
     # A row meets a rule at most once per key; the duplicates go before the fold.
-    met = (probe.select("*", F.explode(keys).alias("_key")).join(small(keyed, exact=True), "_key")
+    met = (probe.select("*", F.explode(keys).alias("_key")).join(keyed, "_key")
            .select(row_id, "n", "b", "s", "c", "_rule.*"))
     variation_pattern = F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(
         F.transform(F.col("variations"), tx.quote_col), "|"), F.lit(r")(?!\w)"))
@@ -146,12 +140,11 @@ def prohibited_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUCT_SET_
     The detail lists keywords in rule order, leaving out one already contained in the text so
     far; the name is marked with the last keyword found.
     """
-    keyed = rules.select("*", word_key(F.col("keyword")).alias("_key"))
-    longest = longest_key(keyed)
+    keyed, longest = keyed_rules(rules.select("*", word_key(F.col("keyword")).alias("_key")))
     probe = df.select(row_id, tx.as_text(F.col("NAME")).alias("raw"),
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
     met = (probe.select("*", F.explode(text_keys(F.col("raw"), longest)).alias("_key"))
-           .join(small(keyed, exact=True), "_key")
+           .join(keyed, "_key")
            .where(((F.size("categories") == 0) | F.array_contains("categories", F.col("c")))
                   & F.rlike(F.lower("raw"), bounded_word(F.col("keyword")))))
     found = met.groupBy(row_id).agg(
@@ -175,11 +168,12 @@ def known_brand_hits(df: DataFrame, brands: DataFrame, row_id: str = "PRODUCT_SE
 
     known = (brands.select(F.lower(tx.strip_ws(F.col("word"))).alias("brand")).where("brand <> ''").distinct()
              .withColumn("_key", plain(F.col("brand"))).where("_key <> ''"))
-    longest = known.agg(F.max(F.length("_key"))).head()[0] or 1
+    n, longest = known.agg(F.count("*"), F.max(F.length("_key"))).head()
+    known, longest = (F.broadcast(known) if n <= BROADCAST_ROWS else known), longest or 1
     probe = df.select(row_id, plain(tx.as_text(F.col("NAME"))).alias("n"))
     cuts = F.filter(F.sequence(F.lit(1), F.least(F.length("n"), F.lit(longest))),
                     lambda i: ~F.coalesce(F.substr(F.col("n"), i + 1, F.lit(1)).rlike(r"(?U)[\p{L}\p{N}]"),
                                           F.lit(False)))
     starts = F.when(F.length("n") > 0, F.transform(cuts, lambda i: F.substr(F.col("n"), F.lit(1), i)))
-    met = probe.select(row_id, F.explode(starts).alias("_key")).join(small(known), "_key")
+    met = probe.select(row_id, F.explode(starts).alias("_key")).join(known, "_key")
     return met.groupBy(row_id).agg(F.max_by("brand", F.struct(F.length("brand"), "brand")).alias("brand"))

@@ -8,6 +8,7 @@ from listguard.operators import analytics, audit, ingest, matching, report
 from listguard.operators.checks import run_checks
 from listguard.operators.skew import first_per_key
 from listguard.operators.verdict import expand, verdict
+from listguard.session import stage
 from listguard.sources.rules import RuleBook, paths_to_codes
 
 
@@ -24,9 +25,13 @@ def category_predictor(rules: RuleBook, stop_words=None):
 
 def flagged_listings(df: DataFrame, rules: RuleBook, pos: str = "_pos", block: str | None = None,
                      skip=(), predict=None) -> DataFrame:
-    """Prepared products with own and shared flags."""
-    prepared = ingest.prepare(df, rules.country, rules.market, pos, block)
-    return expand(run_checks(prepared, rules, skip=skip, pos=pos, predict=predict))
+    """Prepared products with own and shared flags.
+
+    Two tables are written on the way: the prepared products, which the joined checks read
+    again with few columns each, and the flagged ones, which both group expansions read.
+    """
+    prepared = stage(ingest.prepare(df, rules.country, rules.market, pos, block), "prepared")
+    return expand(stage(run_checks(prepared, rules, skip=skip, pos=pos, predict=predict), "flagged"))
 
 
 def validate(df: DataFrame, rules: RuleBook, **kwargs) -> DataFrame:
@@ -42,7 +47,8 @@ def audit_verdicts(df: DataFrame, rules: RuleBook, pages: DataFrame | None = Non
         rows = audit.enrich(rows, pages)
     category_map = rules.table("category_map") if "category_map" in rules.tables else None
     ready = audit.repair(rows, rules.country, rules.market, category_map)
-    checked = run_checks(ready, rules, pos=pos, predict=predict, published=True)
+    ready = stage(ready, "ready")
+    checked = stage(run_checks(ready, rules, pos=pos, predict=predict, published=True), "checked")
     return ready, verdict(expand(checked), rules)
 
 
