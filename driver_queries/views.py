@@ -44,7 +44,7 @@ SELECT concat(CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string)) AS
   CASE l_suppkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) ELSE NULL END AS COLOR_FAMILY,
   CAST(p_retailprice AS string) AS GLOBAL_PRICE,
   CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN '12d' WHEN 2 THEN '0'
-    ELSE CAST(round(l_extendedprice / l_quantity, 2) AS string) END AS GLOBAL_SALE_PRICE,
+    ELSE CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS string) END AS GLOBAL_SALE_PRICE,
   CASE l_suppkey % 5 WHEN 0 THEN '3' WHEN 1 THEN '3.7' WHEN 2 THEN NULL WHEN 3 THEN 'x' ELSE '1' END
     AS COUNT_VARIATIONS,
   CASE l_partkey % 4 WHEN 0 THEN '1 Year' WHEN 1 THEN 'n/a' ELSE NULL END AS PRODUCT_WARRANTY,
@@ -65,7 +65,7 @@ SELECT concat('SKU', CAST(l_orderkey AS string), '-', CAST(l_linenumber AS strin
     WHEN 1 THEN concat('Fashion / ', p_type) ELSE concat('unknown ', p_type) END AS CATEGORY,
   CASE l_suppkey % 3 WHEN 0 THEN CAST(1000000 + p_size AS string) ELSE concat(' ', lower(p_type)) END AS CATEGORY_CODE,
   CAST(CASE l_linenumber % 4 WHEN 0 THEN p_retailprice * 600 ELSE p_retailprice END AS string) AS GLOBAL_PRICE,
-  CAST(round(l_extendedprice / l_quantity, 2) AS string) AS GLOBAL_SALE_PRICE,
+  CAST(floor(l_extendedprice / l_quantity * 100) / 100 AS string) AS GLOBAL_SALE_PRICE,
   CAST(CASE WHEN l_partkey % 9 = 0 THEN p_retailprice * 20 ELSE p_retailprice END AS string) AS OLD_PRICE,
   CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN concat(CAST(CAST(l_discount * 100 AS integer) AS string), '%')
     ELSE '' END AS DISCOUNT,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from listguard.functions import text as tx
 from listguard.functions.prices import discount_text, price_text
 from listguard.functions.urls import base_sku, country_from_url, last_slug, official_pattern, sku_from_url
 from listguard.market import DEFAULT_MARKET, Market
-from listguard.operators.skew import HOT_ROWS, attach_group, first_per_key, map_distinct, small
+from listguard.operators.skew import HOT_ROWS, attach_group, columns, first_per_key, map_distinct, small
 
 ADVISORY = {
     "_OLD_PRICE_CORRUPTED": "Corrupted original price",
@@ -50,8 +51,6 @@ def resolve_by_name(df: DataFrame, codes: DataFrame) -> DataFrame:
 
 def plain_key(c: Column) -> Column:
     """Letters and digits of the compatibility-decomposed, lower-cased text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decomposed(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKD")
@@ -294,10 +293,10 @@ def repeated_description(df: DataFrame, column: str = "DESCRIPTION", out: str =
                          hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add a flag for a non-blank text that another row has too; texts meet by digest."""
     keyed = df.withColumn("_digest", F.coalesce(F.sha2(F.col(column), 256),
-                                                F.concat(F.lit("\u0001"), F.xxhash64(*df.columns).cast("string"))))
+                                                F.concat(F.lit("\u0001"), F.xxhash64(*columns(df)).cast("string"))))
     filled = F.coalesce(tx.strip_ws(F.col(column)), F.lit("")) != ""
     stats = keyed.where(filled).groupBy("_digest").agg(F.count("*").alias("_rep")).where("_rep > 1")
-    joined = attach_group(keyed, stats, ["_digest"], df.columns, "_rep", hot_rows)
+    joined = attach_group(keyed, stats, ["_digest"], columns(df), "_rep", hot_rows)
     return joined.withColumn(out, F.col("_rep").isNotNull()).drop("_digest", "_rep")
 
 
@@ -381,7 +380,7 @@ def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None) ->
     source = pages.select(F.col("sku").alias("_sku"), *[F.col(f).alias(f"_page_{f}") for f in have])
     joined = df.withColumn("_base", base_sku(F.col(sku))).join(source, F.col("_base") == F.col("_sku"), "left")
     return joined.withColumns({f: F.when(empty_cell(F.col(f)), F.coalesce(F.col(f"_page_{f}"), F.col(f)))
-                               .otherwise(F.col(f)) for f in have}).select(*df.columns)
+                               .otherwise(F.col(f)) for f in have}).select(*columns(df))
 
 
 def fill_images(df: DataFrame, enriched: DataFrame) -> DataFrame:
@@ -395,7 +394,7 @@ def fill_images(df: DataFrame, enriched: DataFrame) -> DataFrame:
     image = F.when(tx.is_blank(F.col("_img")), F.lit("")).otherwise(tx.strip_ws(F.col("_img")))
     return (df.join(images, "PRODUCT_SET_SID", "left")
             .withColumn("MAIN_IMAGE", F.when(F.col("_img").isNotNull(), image).otherwise(F.col("MAIN_IMAGE")))
-            .select(*df.columns))
+            .select(*columns(df)))
 
 
 def image_warnings(width: Column, height: Column) -> Column:

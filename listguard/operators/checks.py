@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from listguard.functions import text as tx
 from listguard.functions.prices import listing_price
 from listguard.operators import keywords as kw
-from listguard.operators.skew import HOT_ROWS, attach_group, small
+from listguard.operators.skew import HOT_ROWS, attach_group, columns, small
 from listguard.sources.rules import FLAG_ORDER, FLAGS, ROLES, SELLER_KINDS, RuleBook, literal_rows
 
 # Placeholder brands of the perfume check.
@@ -445,9 +445,9 @@ def look_up(df: DataFrame, rules: RuleBook, wanted: set, use_paths: bool = True)
 
 def duplicate_hits(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``PRODUCT_SET_SID, detail`` of products after the first with one seller, brand and name key."""
-    columns = [c for c in ("PRODUCT_SET_SID", pos, "NAME", "BRAND", "SELLER_NAME", "CATEGORY_CODE") if c in df.columns]
-    rows = df.select(*columns)
-    if "duplicate_exempt" in rules.roles_present and "CATEGORY_CODE" in columns:
+    rows = df.select(*[c for c in ("PRODUCT_SET_SID", pos, "NAME", "BRAND", "SELLER_NAME", "CATEGORY_CODE")
+                       if c in df.columns])
+    if "duplicate_exempt" in rules.roles_present and "CATEGORY_CODE" in rows.columns:
         exempt = (rules.table("category_role").where("role = 'duplicate_exempt'")
                   .select(tx.clean_code(F.col("code")).alias("_ex")).distinct())
         rows = rows.join(small(exempt), tx.clean_code(F.col("CATEGORY_CODE")) == F.col("_ex"), "left_anti")
@@ -519,7 +519,7 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
             text = made[1] if made[1] is not None else F.lit(None).cast("string")
             found.append(F.when(made[0], F.struct(F.lit(FLAG_ORDER[flag]).alias("ord"), text.alias("detail"))))
     array = F.array_compact(F.array(*found)) if found else F.array().cast(FOUND)
-    out = looked.select(*df.columns, array.cast(FOUND).alias("_found"))
+    out = looked.select(*columns(df), array.cast(FOUND).alias("_found"))
     hits = _joined_hits(df, rules, wanted, pos, predict, hot_rows)
     if hits:
         tagged = [h.select("PRODUCT_SET_SID", F.struct(F.lit(FLAG_ORDER[f]).alias("ord"), F.col("detail")).alias("x"))

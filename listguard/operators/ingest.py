@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,8 +128,6 @@ def repair_encoding(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
     Only values with a non-ASCII character can be damaged; the rest skip the Python step.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def reencoded(values: pd.Series) -> pd.Series:
         def fix(v):

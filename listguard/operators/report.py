@@ -9,7 +9,8 @@ from listguard.functions import text as tx
 from listguard.operators import keywords as kw
 from listguard.operators.audit import fake_discount_detail, repeated_description
 from listguard.operators.checks import run_checks, unnecessary_detail
-from listguard.sources.rules import FLAG_ORDER, FLAGS, RuleBook
+from listguard.operators.skew import columns
+from listguard.sources.rules import FLAGS, RuleBook
 
 # Weight of an issue by severity, in report order.
 WEIGHTS = {"critical": 25, "high": 12, "medium": 6, "low": 2}
@@ -94,7 +95,7 @@ def _from_checks() -> Column:
 
 def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
     """Rows with ``_issues``: deduplicated issues in collection order."""
-    base = df.columns
+    base, kept = df.columns, columns(df)
     flags = [f for f in LISTING_FLAGS if rules.country == "NG" or not f.startswith("NG - ")]
     out = run_checks(df, RuleBook(rules.spark, {**rules.tables, "country_skip": rules.spark.createDataFrame(
         [], "country string, flag string")}, rules.market, rules.country), flags, predict=predict, use_paths=False)
@@ -129,7 +130,7 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
     key = F.transform("_all", lambda x: F.struct(x.flag.alias("flag"), F.substring(x.message, 1, 80).alias("m")))
     out = out.withColumn("_keys", key)
     first = F.filter("_all", lambda x, i: F.array_position(F.col("_keys"), F.get("_keys", i)) == i + 1)
-    return out.withColumn("_issues", first).select(*base, "_issues")
+    return out.withColumn("_issues", first).select(*kept, "_issues")
 
 
 def issue_rows(df: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ BROADCAST_ROWS = 200_000
 ESTIMATED_BYTES = 8 << 20
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, safe for names with dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Size of the result by the optimizer's statistics; no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -47,7 +52,7 @@ def attach_group(df: DataFrame, stats: DataFrame, keys: list[str], spread: list[
     salt = F.when(F.col(f"_hot_{count}").isNotNull(),
                   F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int") + 1).otherwise(0)
     joined = df.join(hot, keys, "left").withColumn("_salt", salt).join(cold, keys + ["_salt"], "left")
-    return joined.select(*[F.col(c) for c in df.columns],
+    return joined.select(*columns(df),
                          *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
 
 
@@ -94,7 +99,7 @@ def fill_within(df: DataFrame, key: str, pos: str, cols: list[str], block: str |
             *[F.first(f"_first_{c}", True).over(after).alias(f"_n_{c}") for c in cols])
         local = local.join(carried, [key, "_b"], "left")
         filled = {c: F.coalesce(f"_f_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}") for c in cols}
-    return local.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    return local.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
 def number_rows(df: DataFrame, order: Column, unique: str, out: str, one_task: int = 1_000_000,
@@ -130,5 +135,6 @@ def map_distinct(df: DataFrame, column: str, derive, hot_rows: int = HOT_ROWS) -
     more columns, one row per value.
     """
     values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    return attach_group(df, derive(values), [column], [c for c in df.columns if c != column] or [column],
+    others = [f"`{c}`" for c in df.columns if c != column]
+    return attach_group(df, derive(values), [column], others or [column],
                         "_n", hot_rows).drop("_n")
