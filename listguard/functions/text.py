@@ -218,6 +218,11 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda t: t != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` loops over an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _runs(tokens: Column, n: int) -> Column:
     """All ``n``-word sequences of a token array."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
@@ -227,4 +232,4 @@ def _runs(tokens: Column, n: int) -> Column:
 
 def ngrams(tokens: Column, longest: int) -> Column:
     """Distinct 1..``longest``-word sequences of a token array."""
-    return F.array_distinct(F.concat(tokens, *[_runs(tokens, n) for n in range(2, longest + 1)]))
+    return let(tokens, lambda t: F.array_distinct(F.concat(t, *[_runs(t, n) for n in range(2, longest + 1)])))

@@ -85,11 +85,13 @@ def category_indexes(category_map: DataFrame) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _substrings(c: Column, shortest: int) -> Column:
-    n = F.length(c)
-    starts = F.sequence(F.lit(1), n - (shortest - 1))
-    every = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(shortest), n - i + 1), lambda k: F.substr(c, i, k))))
-    return F.array_distinct(F.when(n >= shortest, every).otherwise(F.array().cast("array<string>")))
+    """Distinct pieces of ``c`` of at least ``shortest`` characters."""
+    def every(t: Column) -> Column:
+        n = F.length(t)
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), n - (shortest - 1)), lambda i: F.transform(
+            F.sequence(F.lit(shortest), n - i + 1), lambda k: F.substr(t, i, k))))
+        return F.array_distinct(F.when(n >= shortest, pieces).otherwise(F.array().cast("array<string>")))
+    return tx.let(c, every)
 
 
 def resolve_category(df: DataFrame, category_map: DataFrame) -> DataFrame:

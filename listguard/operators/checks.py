@@ -181,7 +181,7 @@ def _sneakers(r):
         return None
     listed = F.array(*[F.lit(b) for b in sorted(brands)])
     return (r.role("sneaker") & r.brand.isin("generic", "fashion")
-            & F.exists(listed, lambda b: F.contains(r.name, b)), None)
+            & tx.let(r.name, lambda n: F.exists(listed, lambda b: F.contains(n, b))), None)
 
 
 def _jerseys(r):
@@ -283,7 +283,7 @@ def _ng_books(r):
         return None
     listed = F.array(*[F.struct(F.lit(x.title).alias("title"), F.lit(x.seller).cast("string").alias("seller"))
                        for x in rules])
-    first = F.get(F.filter(listed, lambda b: F.contains(r.name, b.title)), F.lit(0))
+    first = tx.let(r.name, lambda n: F.get(F.filter(listed, lambda b: F.contains(n, b.title)), F.lit(0)))
     title, allowed = first.getField("title"), first.getField("seller")
     detail = F.when(allowed.isNull(), F.concat(F.lit("No seller authorised for book: '"),
                                                F.substring(title, 1, 60), F.lit("'"))
