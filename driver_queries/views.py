@@ -153,13 +153,22 @@ UNION ALL SELECT 'hot rod' AS category, 'refurbished' AS keyword, 2.0 AS weight"
 
 
 _OPENED: dict = {}
+# Tables whose rows carry work worth spreading when their one small file is one split.
+_SPREAD = {"lineitem", "orders", "documents", "pages", "part"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The table as a plan; only its schema is read, once per session."""
+    """The table as a plan; its schema and split count are read once per session.
+
+    A file with fewer splits than there are cores is spread over them.  Real inputs have many
+    more splits than cores and are left as they are.
+    """
     owner, df = _OPENED.get((sf, name), (None, None))
     if owner is not spark:
         df = spark.read.parquet(f"{sf}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if name in _SPREAD and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
         _OPENED[(sf, name)] = (spark, df)
     return df
 

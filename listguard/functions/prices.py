@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from listguard.functions.text import is_blank, num
+from listguard.functions.text import is_blank, let, num
 from listguard.market import CURRENCIES
 
 
@@ -17,14 +17,14 @@ def price_text(c: Column) -> Column:
 
 def listing_price(sale: Column, regular: Column) -> Column:
     """Sale price when positive, else the regular price; unreadable counts as 0."""
-    return F.coalesce(F.when(num(sale) > 0, num(sale)).otherwise(num(regular)), F.lit(0.0))
+    return let(num(sale), lambda s: F.coalesce(F.when(s > 0, s).otherwise(num(regular)), F.lit(0.0)))
 
 
 def discount_text(stated: Column, old: Column, sale: Column) -> Column:
     """The stated discount, or the one computed from the prices where it is missing."""
-    o, s = num(old), num(sale)
-    computed = F.when((o > 0) & (s < o),
-                      F.concat(F.bround((o - s) / o * 100, 0).cast("int").cast("string"), F.lit("%")))
+    computed = let(F.struct(num(old).alias("o"), num(sale).alias("s")), lambda p: F.when(
+        (p.o > 0) & (p.s < p.o),
+        F.concat(F.bround((p.o - p.s) / p.o * 100, 0).cast("int").cast("string"), F.lit("%"))))
     return F.when(is_blank(stated), F.coalesce(computed, stated, F.lit(""))).otherwise(stated)
 
 

@@ -45,7 +45,12 @@ MOJIBAKE = [
     ("â€¢", "*"), ("â€¦", "..."),
 ]
 
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Only these characters occur in a plain number; the cast decides about their order.
+NUMBER = r"^[0-9.eE+-]+$"
+
+# Everything that counts as white space at the ends of a text.
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+          + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def quote(word: str) -> str:
@@ -82,7 +87,7 @@ def as_text(c: Column) -> Column:
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -104,8 +109,8 @@ def nullify_blank(c: Column) -> Column:
 
 def num(c: Column) -> Column:
     """Number or null; text with trailing letters or thousands commas is not a number."""
-    s = c.cast("string")
-    return F.when(s.rlike(NUMBER), F.trim(strip_ws(s)).try_cast("double"))
+    s = strip_ws(c.cast("string"))
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
 
 
 def clean_code(c: Column) -> Column:

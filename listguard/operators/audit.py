@@ -223,25 +223,26 @@ def advisory_flags(df: DataFrame) -> DataFrame:
     """Four advisory columns that do not change the verdict."""
     def number(c):
         return tx.num(F.col(c)) if c in df.columns else F.lit(None).cast("double")
-    old, sale = number("GLOBAL_PRICE"), number("GLOBAL_SALE_PRICE")
+
+    def text(c):
+        return F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")
+    both = {"BRAND", "NAME"} <= set(df.columns)
+    # Parsed once here; the conditions below use each several times.
+    parsed = df.withColumns({
+        "_n_old": number("GLOBAL_PRICE"), "_n_sale": number("GLOBAL_SALE_PRICE"), "_n_rating": number("RATING"),
+        "_n_reviews": number("REVIEW_COUNT"), "_n_stated": tx.num(F.replace(text("DISCOUNT"), F.lit("%"), F.lit(""))),
+        "_t_brand": tx.lower_key(F.col("BRAND")) if both else F.lit(""),
+        "_t_name": F.lower(tx.as_text(F.col("NAME"))) if both else F.lit("")})
+    old, sale, brand = F.col("_n_old"), F.col("_n_sale"), F.col("_t_brand")
     corrupted = F.coalesce((old > 0) & (sale > 0) & (old > sale * 500), F.lit(False))
-    df = df.withColumn("_OLD_PRICE_CORRUPTED", corrupted)
-    if "DISCOUNT" in df.columns:
-        stated = tx.num(tx.strip_ws(F.regexp_replace(F.col("DISCOUNT").cast("string"), "%", "")))
-        computed = F.when((old > 0) & (sale < old), (old - sale) / old * 100)
-        mismatch = F.coalesce(~F.col("_OLD_PRICE_CORRUPTED") & (F.abs(computed - stated) > 5), F.lit(False))
-    else:
-        mismatch = F.lit(False)
-    if {"BRAND", "NAME"} <= set(df.columns):
-        brand, name = tx.lower_key(F.col("BRAND")), F.lower(tx.as_text(F.col("NAME")))
-        times = (F.length(name) - F.length(F.replace(name, brand, F.lit("")))) / F.length(brand)
-        repeated = (F.length(brand) > 0) & F.when(F.length(brand) > 0, times >= 2).otherwise(F.lit(False))
-    else:
-        repeated = F.lit(False)
-    rating, reviews = number("RATING"), number("REVIEW_COUNT")
-    unreviewed = F.coalesce(rating > 0, F.lit(False)) & (reviews.isNull() | (reviews == 0))
-    return df.withColumns({"_DISCOUNT_MISMATCH": mismatch, "_BRAND_IN_TITLE": repeated,
-                           "_RATING_NO_REVIEWS": unreviewed})
+    computed = F.when((old > 0) & (sale < old), (old - sale) / old * 100)
+    mismatch = F.coalesce(~corrupted & (F.abs(computed - F.col("_n_stated")) > 5), F.lit(False))
+    times = (F.length("_t_name") - F.length(F.replace(F.col("_t_name"), brand, F.lit("")))) / F.length(brand)
+    repeated = F.when(F.length(brand) > 0, times >= 2).otherwise(F.lit(False))
+    reviews = F.col("_n_reviews")
+    unreviewed = F.coalesce(F.col("_n_rating") > 0, F.lit(False)) & (reviews.isNull() | (reviews == 0))
+    return parsed.select(*columns(df), corrupted.alias("_OLD_PRICE_CORRUPTED"), mismatch.alias("_DISCOUNT_MISMATCH"),
+                         repeated.alias("_BRAND_IN_TITLE"), unreviewed.alias("_RATING_NO_REVIEWS"))
 
 
 def advisory_breakdown(df: DataFrame) -> DataFrame:

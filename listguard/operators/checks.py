@@ -89,20 +89,25 @@ def bitmask(df: DataFrame, key: str, item: str, items: list[str], out: str) -> D
 
 
 class Row:
-    """Names for the expressions the checks share."""
+    """Names for the expressions the checks share; ``add`` computes the texts once per row."""
 
     def __init__(self, rules: RuleBook, columns: list[str]):
         self.rules, self.columns = rules, columns
-        self.name = tx.lower_key(F.col("NAME"))
-        self.name_raw = tx.as_text(F.col("NAME"))
-        self.name_strip = tx.strip_ws(self.name_raw)
-        self.brand = tx.lower_key(F.col("BRAND"))
-        self.brand_raw = tx.as_text(F.col("BRAND"))
-        self.seller = tx.lower_key(F.col("SELLER_NAME"))
-        self.seller_raw = tx.as_text(F.col("SELLER_NAME"))
+        self.name, self.name_raw, self.name_strip = F.col("_t_name"), F.col("_t_name_raw"), F.col("_t_name_strip")
+        self.brand, self.brand_raw = F.col("_t_brand"), F.col("_t_brand_raw")
+        self.seller, self.seller_raw = F.col("_t_seller"), F.col("_t_seller_raw")
         self.code = F.col("_code")
         self.patterns: dict[str, Column | None] = {}
 
+    def add(self, df: DataFrame) -> DataFrame:
+        def raw(c):
+            return tx.as_text(F.col(c)) if c in self.columns else F.lit("")
+        name, brand, seller = raw("NAME"), raw("BRAND"), raw("SELLER_NAME")
+        return df.withColumns({
+            "_t_name": F.lower(tx.strip_ws(name)), "_t_name_raw": name, "_t_name_strip": tx.strip_ws(name),
+            "_t_brand": F.lower(tx.strip_ws(brand)), "_t_brand_raw": brand,
+            "_t_seller": F.lower(tx.strip_ws(seller)), "_t_seller_raw": seller})
+
     def role(self, name: str) -> Column:
         return F.coalesce(F.col("_roles").bitwiseAND(1 << ROLES.index(name)) != 0, F.lit(False))
 
@@ -118,7 +123,8 @@ class Row:
 
 def _fake(r):
     price = listing_price(F.col("GLOBAL_SALE_PRICE"), F.col("GLOBAL_PRICE"))
-    return F.coalesce(price < F.col("_floor"), F.lit(False)), None
+    # Most rows have no floor, and then no price is parsed.
+    return F.when(F.col("_floor").isNotNull(), price < F.col("_floor")).otherwise(F.lit(False)), None
 
 
 def _refurb(r):
@@ -384,14 +390,15 @@ _SELLER_CHECKS = {"Seller Not approved to sell Refurb", "Seller Approve to sell
                   "NG - Xmas Tree Seller"}
 
 
-def _pattern_specs(rules: RuleBook, row: Row, wanted: set) -> list:
-    name = row.name_raw
+def _pattern_specs(rules: RuleBook, wanted: set) -> list:
+    # Texts as the source table has them: a long list is joined there.
+    name, brand = tx.as_text(F.col("NAME")), tx.as_text(F.col("BRAND"))
     specs = []
     if "Seller Not approved to sell Refurb" in wanted:
         specs.append(("refurb", rules.keywords("refurb"), name, "group"))
     if "Seller Approved to Sell Perfume" in wanted:
         specs.append(("perfume", rules.keywords("perfume"), name, "group"))
-        specs.append(("perfume_brand", rules.keywords("perfume"), row.brand_raw, "group"))
+        specs.append(("perfume_brand", rules.keywords("perfume"), brand, "group"))
     if "Suspected counterfeit Jerseys" in wanted:
         specs.append(("jersey", rules.keywords("jersey"), name, "bounded"))
     if "Unnecessary words in NAME" in wanted:
@@ -504,8 +511,8 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
     flags = [f for f in flags if f not in left_out and set(NEEDS[f]) <= set(df.columns)]
     wanted = set(flags)
     row = Row(rules, df.columns)
-    looked = look_up(df, rules, wanted, use_paths)
-    for name, words, text, style in _pattern_specs(rules, row, wanted):
+    looked = row.add(look_up(df, rules, wanted, use_paths))
+    for name, words, text, style in _pattern_specs(rules, wanted):
         listed = "perfume" if name == "perfume_brand" else name
         looked, row.patterns[name] = kw.attach_pattern(looked, words, text, f"_pat_{name}", style, source=df,
                                                        short=rules.short_lists.get(listed, []))

@@ -79,9 +79,10 @@ def fill_within(df: DataFrame, key: str, pos: str, cols: list[str], block: str |
                .withColumn("_b", F.when(F.col("_hot"), F.col(block))).drop("_hot"))
     w = Window.partitionBy(key, "_b").orderBy(pos)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead runs over the reversed order: a growing frame costs one step per row.
+    ahead = Window.partitionBy(key, "_b").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.last(c, True).over(back).alias(f"_f_{c}") for c in cols],
-                       *[F.first(c, True).over(ahead).alias(f"_a_{c}") for c in cols])
+                       *[F.last(c, True).over(ahead).alias(f"_a_{c}") for c in cols])
     if block is None:
         filled = {c: F.coalesce(f"_f_{c}", f"_a_{c}") for c in cols}
     else:
@@ -92,11 +93,11 @@ def fill_within(df: DataFrame, key: str, pos: str, cols: list[str], block: str |
         edges = cut.where("_b IS NOT NULL").groupBy(key, "_b").agg(*aggs)
         across = Window.partitionBy(key).orderBy("_b")
         before = across.rowsBetween(Window.unboundedPreceding, -1)
-        after = across.rowsBetween(1, Window.unboundedFollowing)
+        after = Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
         carried = edges.select(
             key, "_b",
             *[F.last(f"_last_{c}", True).over(before).alias(f"_p_{c}") for c in cols],
-            *[F.first(f"_first_{c}", True).over(after).alias(f"_n_{c}") for c in cols])
+            *[F.last(f"_first_{c}", True).over(after).alias(f"_n_{c}") for c in cols])
         local = local.join(carried, [key, "_b"], "left")
         filled = {c: F.coalesce(f"_f_{c}", f"_p_{c}", f"_a_{c}", f"_n_{c}") for c in cols}
     return local.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
