@@ -78,14 +78,25 @@ def bounded_word(word: Column) -> Column:
     return F.concat(F.lit(r"(?iU)(?<!\w)"), tx.quote_col(word), F.lit(r"(?!\w)"))
 
 
+def marked(c: Column) -> Column:
+    """The text with a mark on both sides of every non-word character and at both ends.
+
+    A marked word occurs in a marked text exactly where the word occurs in the text with no
+    word character beside it, so a plain substring test replaces one pattern per row and rule.
+    """
+    mark = F.lit("\u0001")
+    return F.concat(mark, F.regexp_replace(c, r"(?U)(\W)", "\u0001$1\u0001"), mark)
+
+
 def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUCT_SET_SID") -> DataFrame:
     """``row_id, detail`` of rows that break a restricted-brand rule.
 
-    Rules meet rows by equality of word sequences (or of the whole brand), are confirmed with
-    the bounded pattern, and are then folded in rule order: a match on the brand itself always
+    Rules meet rows by equality of word sequences (or of the whole brand), are confirmed on
+    the marked texts, and are then folded in rule order: a match on the brand itself always
     renames the finding, a match on a variation only names it when nothing did before, and the
     last rejecting rule writes the detail.
     """
+    rules = rules.withColumns({"brand_marked": marked(F.col("brand")), "marks": F.transform("variations", marked)})
     rules = rules.withColumn("_rule", F.struct(*rules.columns))
     whole = F.concat(F.lit("="), F.col("brand"))
     words = F.array_distinct(F.transform(F.concat(F.array("brand"), F.col("variations")), word_key))
@@ -97,25 +108,21 @@ def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUC
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
     keys = F.array_union(F.array_union(text_keys(F.col("n"), longest), text_keys(F.col("b"), longest)),
                          F.array(F.concat(F.lit("="), F.col("b"))))
-    # A row meets a rule at most once per key; the duplicates go before the fold.
-    met = (probe.select("*", F.explode(keys).alias("_key")).join(keyed, "_key")
-           .select(row_id, "n", "b", "s", "c", "_rule.*"))
-    variation_pattern = F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(
-        F.transform(F.col("variations"), tx.quote_col), "|"), F.lit(r")(?!\w)"))
-    has_vars = F.size("variations") > 0
+    met = (probe.select("*", marked(F.col("n")).alias("mn"), marked(F.col("b")).alias("mb"),
+                        F.explode(keys).alias("_key")).join(keyed, "_key")
+           .select(row_id, "n", "b", "s", "c", "mn", "mb", "_rule.*"))
+    tested = met.select(
+        "*", ((F.col("b") == F.col("brand")) | F.contains("mn", F.col("brand_marked"))).alias("main"),
+        F.exists("marks", lambda v: F.contains(F.col("mb"), v)).alias("vb"),
+        F.exists("marks", lambda v: F.contains(F.col("mn"), v)).alias("vn")).where("main OR vb OR vn")
     by_length = F.array_sort("variations", lambda x, y: F.when(
         F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    judged = met.select(
-        row_id, "rule_order", "brand_raw", F.size("sellers").alias("n_sellers"),
-        ((F.col("b") == F.col("brand")) | F.rlike("n", bounded_word(F.col("brand")))).alias("main"),
-        (has_vars & F.rlike("b", variation_pattern)).alias("vb"),
-        (has_vars & F.rlike("n", variation_pattern)).alias("vn"),
-        F.when(has_vars & F.rlike("b", variation_pattern),
-               F.get(F.filter(by_length, lambda v: F.contains(F.col("b"), v)), F.lit(0)))
-        .otherwise(F.get(F.filter(by_length, lambda v: F.contains(F.col("n"), v)), F.lit(0))).alias("var"),
+    where_found = F.when(F.col("vb"), F.col("b")).otherwise(F.col("n"))
+    judged = tested.select(
+        row_id, "rule_order", "brand_raw", "main", F.size("sellers").alias("n_sellers"),
+        tx.let(where_found, lambda t: F.get(F.filter(by_length, lambda v: F.contains(t, v)), F.lit(0))).alias("var"),
         (((F.size("categories") == 0) | F.array_contains("categories", F.col("c")))
-         & ~F.array_contains("sellers", F.col("s"))).alias("rejects"),
-    ).where("main OR vb OR vn")
+         & ~F.array_contains("sellers", F.col("s"))).alias("rejects"))
     step = F.struct(
         "rule_order", "main", "rejects", "n_sellers",
         F.when(F.col("main"), F.col("brand_raw"))
@@ -140,13 +147,14 @@ def prohibited_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUCT_SET_
     The detail lists keywords in rule order, leaving out one already contained in the text so
     far; the name is marked with the last keyword found.
     """
-    keyed, longest = keyed_rules(rules.select("*", word_key(F.col("keyword")).alias("_key")))
+    keyed, longest = keyed_rules(rules.select("*", word_key(F.col("keyword")).alias("_key"),
+                                              marked(F.lower("keyword")).alias("_marked")))
     probe = df.select(row_id, tx.as_text(F.col("NAME")).alias("raw"),
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
-    met = (probe.select("*", F.explode(text_keys(F.col("raw"), longest)).alias("_key"))
+    met = (probe.select("*", marked(F.lower("raw")).alias("_m"), F.explode(text_keys(F.col("raw"), longest)).alias("_key"))
            .join(keyed, "_key")
            .where(((F.size("categories") == 0) | F.array_contains("categories", F.col("c")))
-                  & F.rlike(F.lower("raw"), bounded_word(F.col("keyword")))))
+                  & F.contains("_m", F.col("_marked"))))
     found = met.groupBy(row_id).agg(
         F.array_sort(F.collect_set(F.struct("rule_order", "keyword"))).alias("k"),
         F.any_value("raw").alias("raw"))
