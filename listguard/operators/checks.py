@@ -546,7 +546,7 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
 def check(df: DataFrame, rules: RuleBook, flag: str, **kwargs) -> DataFrame:
     """Products one check flags, with its detail."""
     out = run_checks(df, rules, [flag], **kwargs).where("_mask <> 0")
-    return out.select("PRODUCT_SET_SID", F.col("_found")[0].getField("detail").alias("DETAIL"))
+    return out.select("PRODUCT_SET_SID", F.get("_found", F.lit(0)).getField("detail").alias("DETAIL"))
 
 
 def contains_miscellaneous(df: DataFrame) -> DataFrame:
