@@ -99,16 +99,16 @@ def a21(spark, sf):
 
 # ---- column repair -------------------------------------------------------------------------
 
-@add("n19_price_text", r"""SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN CAST(o_totalprice AS varchar) ELSE '' END AS price FROM orders WHERE o_totalprice < 1e7""")
+@add("n19_price_text", r"""SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN CAST(o_totalprice AS varchar) ELSE '' END AS price FROM orders""")
 def n19(spark, sf):
     from listguard.functions.prices import price_text
-    o = table(spark, sf, "orders").where("o_totalprice < 1e7")
+    o = table(spark, sf, "orders")
     return o.select("o_orderkey", price_text(F.concat(F.lit("KSh "), F.col("o_totalprice").cast("string"))).alias("price"))
 
 
-@add("n20_price_fallbacks", PUB + f"SELECT {ID}, GLOBAL_PRICE, CASE WHEN ({n('GLOBAL_PRICE')}) > 0 THEN GLOBAL_PRICE ELSE '' END AS GLOBAL_SALE_PRICE FROM pub WHERE ({n('GLOBAL_PRICE')}) < 1e7")
+@add("n20_price_fallbacks", PUB + f"SELECT {ID}, GLOBAL_PRICE, CASE WHEN ({n('GLOBAL_PRICE')}) > 0 THEN GLOBAL_PRICE ELSE '' END AS GLOBAL_SALE_PRICE FROM pub")
 def n20(spark, sf):
-    p = published(spark, sf).drop("GLOBAL_SALE_PRICE").where("try_cast(GLOBAL_PRICE AS double) < 1e7")
+    p = published(spark, sf).drop("GLOBAL_SALE_PRICE")
     return audit.price_fallbacks(p, audit.blank_columns(p, ["GLOBAL_PRICE"])).select(*KEY, "GLOBAL_PRICE", "GLOBAL_SALE_PRICE")
 
 

@@ -61,22 +61,20 @@ def c01(spark, sf):
     return C.check(prepared(spark, sf), rule_book(spark, sf, "KE", "category_role"), "Wrong Category")
 
 
-# The exact highlight of the last keyword and of every unnecessary word.
-_hl = S.bounded("kw")
+# The last keyword found is marked in the name: marks around every non-word character keep
+# neighbouring hits apart without look-around.
+_MARKED = r"concat(chr(1), regexp_replace({x}, '(\W)', concat(chr(1), '\1', chr(1)), 'g'), chr(1))"
 
 
-@add("c11_highlight", S.with_("d", "prohibited_sheet") + f"""SELECT PRODUCT_SET_SID,
-  regexp_replace(regexp_replace(concat(' ', replace(name_raw, ' ', '  '), ' '), concat('(?i)([^0-9A-Za-z_])(', replace(regexp_replace(kw, '([-#])', '\\\\\\1', 'g'), ' ', '  '), ')([^0-9A-Za-z_])'), '\\1[!]\\2[!]\\3', 'g'), '^ | $', '', 'g').replace('  ', ' ') AS highlighted
+@add("c11_highlight", S.with_("d", "prohibited_sheet") + f"""SELECT PRODUCT_SET_SID, replace(regexp_replace({_MARKED.format(x='name_raw')},
+  concat('(?i)', chr(1), '(', regexp_replace(kw, '(\\W)', concat(chr(1), '\\1', chr(1)), 'g'), ')', chr(1)), concat(chr(1), '[!]\\1[!]', chr(1)), 'g'), chr(1), '') AS highlighted
 FROM (SELECT d.PRODUCT_SET_SID, any_value(name_raw) AS name_raw, arg_max(kw, (p._pos, kw)) AS kw
   FROM d JOIN (SELECT *, lower(trim(keyword)) AS kw FROM prohibited_sheet) p ON p.country = 'KE'
-   AND (p.categories = '' OR list_contains(string_split(p.categories, ','), d.code)) AND regexp_matches(lower(name_raw), {_hl})
-  WHERE NOT contains(name_raw, '  ') AND name_raw = trim(name_raw) GROUP BY 1)""")
+   AND (p.categories = '' OR list_contains(string_split(p.categories, ','), d.code)) AND regexp_matches(lower(name_raw), {S.bounded("kw")})
+  GROUP BY 1)""")
 def c11_highlight(spark, sf):
-    d = prepared(spark, sf)
-    names = tx.as_text(F.col("NAME"))
-    plain = d.where(~F.contains(names, F.lit("  ")) & (names == F.trim(names)))
     rules = rule_book(spark, sf, "KE", "prohibited").for_country("prohibited")
-    return keywords.prohibited_hits(plain, rules).select("PRODUCT_SET_SID", "highlighted")
+    return keywords.prohibited_hits(prepared(spark, sf), rules).select("PRODUCT_SET_SID", "highlighted")
 
 
 @add("c12_highlight", S.with_("d") + f"""SELECT PRODUCT_SET_SID,
