@@ -367,7 +367,8 @@ def fields_to_fill(df: DataFrame, fields: list[str] = PAGE_FIELDS, share: float
     return [f for f in fields if f not in filled or filled[f] < share]
 
 
-def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
+def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None,
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill empty cells of the needed fields from captured pages of the same base SKU.
 
     ``pages`` has one row per ``sku`` with any of the page fields.
@@ -380,8 +381,11 @@ def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None) ->
         return df
     df = df.withColumns({f: F.lit("") for f in needed if f not in df.columns})
     have = [f for f in needed if f in pages.columns]
-    source = pages.select(F.col("sku").alias("_sku"), *[F.col(f).alias(f"_page_{f}") for f in have])
-    joined = df.withColumn("_base", base_sku(F.col(sku))).join(source, F.col("_base") == F.col("_sku"), "left")
+    source = pages.select(F.col("sku").alias("_base"), *[F.col(f).alias(f"_page_{f}") for f in have])
+    keyed = df.withColumn("_base", F.coalesce(base_sku(F.col(sku)), F.lit("")))
+    # The size of each base SKU tells which ones are hot; only those present on a page matter.
+    sizes = keyed.groupBy("_base").agg(F.count("*").alias("_n"))
+    joined = attach_group(keyed, source.join(sizes, "_base"), ["_base"], [sku], "_n", hot_rows)
     return joined.withColumns({f: F.when(empty_cell(F.col(f)), F.coalesce(F.col(f"_page_{f}"), F.col(f)))
                                .otherwise(F.col(f)) for f in have}).select(*columns(df))
 

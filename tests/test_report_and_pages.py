@@ -56,8 +56,9 @@ def test_enrichment_fills_empty_cells_only(spark):
     df = spark.createDataFrame([("A-1", "", "x"), ("B", "keep", None)], "PRODUCT_SET_SID string, COLOR string, RATING string")
     pages = spark.createDataFrame([("A", "red", "5"), ("B", "blue", "4")], "sku string, COLOR string, RATING string")
     assert "COLOR" not in audit.fields_to_fill(df, ["COLOR", "RATING"]) and "GTIN" in audit.fields_to_fill(df)
-    got = {r.PRODUCT_SET_SID: (r.COLOR, r.RATING) for r in audit.enrich(df, pages, ["COLOR", "RATING"]).collect()}
-    assert got == {"A-1": ("red", "x"), "B": ("keep", "4")}
+    for hot in (0, 1_000_000):
+        out = audit.enrich(df, pages, ["COLOR", "RATING"], hot).collect()
+        assert {r.PRODUCT_SET_SID: (r.COLOR, r.RATING) for r in out} == {"A-1": ("red", "x"), "B": ("keep", "4")}
 
 
 def test_category_decisions(spark):
