@@ -18,46 +18,65 @@ from listguard.llm.batches import small_batches
 #: Entries that one task remembers before it starts afresh.
 REMEMBERED = 200_000
 WORD_END = "</w>"
+#: Texts that normalise by lower case alone and whose words the plain pattern finds.
+CHUNK = re.compile(r"[^\t-\r ]+")
+PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 
 
 class Fragments(dict):
-    """Packed ids of byte strings without white space, looked up or encoded at first sight.
+    """Packed ids of normalised words, looked up or encoded at first sight.
 
     ``inside`` holds the byte pairs (as the vocabulary writes bytes) that stand next to each other in
-    some token. No merge can cross any other pair, so such a pair is a certain cut and both sides are
-    encoded by themselves. White space is part of no longer token, so texts are cut there first.
+    some token. No merge can cross any other pair, so such a pair is a certain cut, and the fragments
+    between cuts are encoded by themselves. White space is inside no token either.
     """
 
     def __init__(self, source: str) -> None:
         super().__init__()
+        file = json.loads(source)
         self.library = Tokenizer.from_str(source)
-        model = json.loads(source)["model"]
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.rank = {tuple(pair): i for i, pair in enumerate(model["merges"])}
+        self.vocabulary: dict[str, int] = file["model"]["vocab"]
+        self.rank = {tuple(pair): i for i, pair in enumerate(file["model"]["merges"])}
         bare = [t.removesuffix(WORD_END) for t in self.vocabulary]
         self.inside = {t[i:i + 2] for t in bare for i in range(len(t) - 1)}
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        # The file's own word pattern, written for lower-case letters of the plain alphabet.
+        words = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        words = words.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
+        self.words = re.compile(words)
         self.encoded: dict[tuple[str, bool], bytes] = {}
 
-    def __missing__(self, chunk: bytes) -> bytes:
+    def ids(self, text: str) -> bytes:
+        """The packed ids of a whole text."""
+        if PLAIN.fullmatch(text) and not self.marks.search(text):
+            return b"".join(map(self.__getitem__, self.words.findall(text.lower())))
+        return b"".join(map(self._chunk, CHUNK.findall(text)))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch without white space; beyond the plain alphabet the library finds the words."""
+        out = []
+        for piece in self.marks.split(chunk):
+            if piece in self.special:
+                out.append(np.uint32(self.special[piece]).tobytes())
+            elif PLAIN.fullmatch(piece):
+                out += map(self.__getitem__, self.words.findall(piece.lower()))
+            else:
+                found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+                out += [self._cut(word) for word, _ in found]
+        return b"".join(out)
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        text = chunk.decode()
-        pieces = self.marks.split(text) if self.marks else [text]
-        ids = self[chunk] = b"".join(map(self._piece, pieces))
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        if piece in self.special:
-            return np.uint32(self.special[piece]).tobytes()
-        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
-        return b"".join(self._word(word) for word, _ in words)
-
-    def _word(self, word: str) -> bytes:
-        start, out = 0, []
+        written = word if word.isascii() and word.isalnum() else self.library.pre_tokenizer.pre_tokenize_str(word)[0][0]
+        known = self[word] = self._cut(written)
+        return known
+
+    def _cut(self, word: str) -> bytes:
+        inside, start, out = self.inside, 0, []
         for i in range(1, len(word)):
-            if word[i - 1:i + 1] not in self.inside:
+            if word[i - 1:i + 1] not in inside:
                 out.append(self._fragment(word[start:i], False))
                 start = i
         out.append(self._fragment(word[start:], True))
@@ -75,12 +94,16 @@ class Fragments(dict):
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The lowest merge first, the leftmost of equals, until none applies."""
-        none = len(self.rank)
-        while len(symbols) > 1:
-            best, at = min((self.rank.get(pair, none), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if best == none:
-                break
+        rank, none = self.rank, len(self.rank)
+        ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank.get((symbols[at - 1], symbols[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank.get((symbols[at], symbols[at + 1]), none)
         return symbols
 
 
@@ -104,8 +127,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Fragments(source.value)
         for batch in batches:
-            texts = batch.cast(pa.binary()).to_pylist()
-            yield pa.array([b"".join([known[c] for c in (t or b"").split()]) for t in texts], pa.binary())
+            yield pa.array([known.ids(t or "") for t in batch.to_pylist()], pa.binary())
 
     return df.withColumn(ids, packed(F.col(text)))
 
