@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, sharding
+from listguard.llm import bpe, chat, mixing, secret_scan, sharding, spans
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", *spans.digests(found, secret_scan.BASE, "secrets"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -44,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_scans": op3_secret_scans,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op8_chat_formatting": op8_chat_formatting,
