@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, secret_scan, sharding, spans
+from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, spans
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -36,6 +36,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", *spans.digests(found, pii.BASE, "personal"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_bpe": op10_bpe,
 }
