@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from listguard.llm import spans
 from listguard.llm.batches import small_batches
+from listguard.llm.rows import quoted
 from listguard.session import stage
 
 BASE = ["email", "ip", "card", "phone"]
@@ -267,7 +268,7 @@ def find_personal_data(df: DataFrame, text: str = "text", keep: list[str] | None
     small_batches(df.sparkSession)
     names = [c for c in (keep or df.columns) if c.lower() != "personal"]
     scan = F.arrow_udf(scanned, f"struct<spans:{spans.SPANS},tokens:array<{TOKEN}>>")
-    scans = stage(df.select(F.struct(*[F.col(c) for c in names]).alias("__in"), scan(F.col(text)).alias("__scan")),
+    scans = stage(df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), scan(F.col(text)).alias("__scan")),
                   "scans")
     counts = df.sparkSession.sparkContext.broadcast(label_counts(scans))
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, spans
+from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, bits=64,
+                                    segments=3, distance=4, keep=["doc_id"])
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *spans.digests(found, secret_scan.BASE, "secrets"))
@@ -54,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_secret_scans": op3_secret_scans,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from listguard.llm import spans
 from listguard.llm.batches import small_batches
+from listguard.llm.rows import quoted
 from listguard.session import stage
 
 BASE = ["assign", "access", "hex"]
@@ -126,7 +127,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """
     small_batches(df.sparkSession)
     names = [c for c in (keep or df.columns) if c.lower() != "secrets"]
-    packed = df.select(F.struct(*[F.col(c) for c in names]).alias("__in"), F.arrow_udf(scanned, SCAN)(F.col(text)).alias("__scan"))
+    packed = df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.arrow_udf(scanned, SCAN)(F.col(text)).alias("__scan"))
     scans = stage(packed, "scans")
     dictionary = df.sparkSession.sparkContext.broadcast(identifier_dictionary(scans))
 
