@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans
+from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,6 +26,12 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *spans.digests(found, secret_scan.BASE, "secrets"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -62,6 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
