@@ -52,7 +52,7 @@ class Letters:
 
     def hashes(self, order: int) -> np.ndarray:
         """Hash of the last ``order`` letters up to each letter; only for places >= order - 1."""
-        out = np.full(len(self.codes), np.uint64(order) * MIX)
+        out = np.full(len(self.codes), order, np.uint64) * MIX
         for back in range(order - 1, -1, -1):
             shifted = self.codes if not back else np.r_[np.zeros(back, np.uint64), self.codes[:-back]]
             out = (out ^ shifted) * MIX
