@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans, toxicity
+from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans, topk, toxicity, vector_dedup
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *spans.digests(found, secret_scan.BASE, "secrets"))
@@ -57,6 +61,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
@@ -67,12 +75,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
 }
 
