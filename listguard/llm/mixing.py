@@ -95,10 +95,10 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", weights: tupl
     ``seed``, so reruns agree whatever the files and partitions. Hot sources are split by size class and
     hash, and joined by salted keys; nothing is gathered but one node's fractions.
     """
-    rows = stage(keyed(df), "rows")
+    rows, keys = keyed(df)
     amount = F.greatest(F.coalesce(F.col("__in").getField(size).cast("long"), F.lit(0)), F.lit(0))
-    narrow = rows.select(F.col("__h").alias("h"), F.col("__n").alias("n"),
-                         F.col("__in").getField(source).cast("string").alias("source"), amount.alias("c"))
+    narrow = (rows.select("__at", F.col("__in").getField(source).cast("string").alias("source"), amount.alias("c"))
+              .join(keys, "__at").select("__at", F.col("__h").alias("h"), F.col("__n").alias("n"), "source", "c"))
     narrow = narrow.withColumn("band", F.floor(F.log2(F.col("c") + 1) * 4).cast("int"))
     bands = narrow.groupBy("source", "band").agg(F.sum("c").alias("band_size"), F.count(F.lit(1)).alias("band_rows"))
     bands = stage(bands, "bands")
@@ -113,7 +113,7 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", weights: tupl
     spread = narrow.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
     facts = spread.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("band") == F.col("__band"))
                         & (F.col("salt") == F.col("__salt")))
-    facts = stage(facts.select("h", "n", "source", "band", "c", F.col("__source_size").alias("source_size"),
+    facts = stage(facts.select("__at", "h", "n", "source", "band", "c", F.col("__source_size").alias("source_size"),
                                F.col("__target").alias("target"), F.col("__sure").alias("sure"),
                                F.col("__p").alias("p"),
                                F.pmod(F.xxhash64(F.lit(seed), "h", "n"), F.col("__nodes")).alias("node")), "facts")
@@ -138,9 +138,9 @@ def mix(df: DataFrame, size: str = "size", source: str = "source", weights: tupl
     for each in settled:
         ones = ones.union(each.select(F.explode("done").alias("d")).select("d.h", "d.n", "d.one").where("one = 1"))
     taken = (facts.join(ones, ["h", "n"], "left")
-             .select(F.col("h").alias("__h"), F.col("n").alias("__n"), "source_size", "target",
+             .select("__at", "source_size", "target",
                      (F.col("sure") + F.coalesce("one", F.lit(0))).alias("copies")))
-    out = rows.join(taken, ["__h", "__n"])
+    out = rows.join(taken, "__at")
     return unpacked(out, without(df, "source_size", "target", "copies"), "source_size", "target", "copies")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listguard.session import stage
+
 #: Characters between words, and the words themselves.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,17 +45,19 @@ def numbered(df: DataFrame, group: list[str], split: str, order: list[str], name
             .withColumn(name, F.col("__before") + F.col("__inner")).drop("__before", "__inner"))
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """``df`` as one struct column ``__in`` with the unique key (``__h``, ``__n``).
+def keyed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` as (``__at``, ``__in``) and their keys as (``__at``, ``__h``, ``__n``), both written.
 
-    ``__h`` hashes the row, ``__n`` counts the rows of equal hash. Equal rows are interchangeable, so
-    the keys depend on the rows alone, not on files or partitions. Equal rows are counted by input
-    partition, so a row repeated very often stays spread.
+    ``__in`` is the whole row, ``__at`` its place. ``__h`` hashes the row and ``__n`` counts the rows of equal
+    hash, so (``__h``, ``__n``) is unique. Equal rows are interchangeable, so these keys depend on
+    the rows alone, not on files or partitions. Equal rows are counted by input partition, so a row
+    repeated very often stays spread. Only the narrow keys are shuffled.
     """
-    packed = df.select(row_hash(df).alias("__h"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("__in"),
-                       F.monotonically_increasing_id().alias("__at"))
-    packed = packed.withColumn("__part", F.shiftright("__at", 33))
-    return numbered(packed, ["__h"], "__part", ["__at"], "__n").select("__h", "__n", "__in")
+    rows = stage(df.select(F.monotonically_increasing_id().alias("__at"), row_hash(df).alias("__h"),
+                           F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("__in")), "rows")
+    hashes = rows.select("__at", "__h", F.shiftright("__at", 33).alias("__part"))
+    keys = numbered(hashes, ["__h"], "__part", ["__at"], "__n").select("__at", "__h", "__n")
+    return rows.select("__at", "__in"), stage(keys, "keys")
 
 
 def unpacked(df: DataFrame, names: list[str], *more: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listguard.llm.rows import keyed, numbered, top_bits, unpacked, without
-from listguard.session import stage
 
 #: Rows of the communication matrix, and the rows that one ranking task should hold.
 PARTITIONS = 256
@@ -79,9 +78,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20) -> Data
     BLOCK rows, so neither a partition nor a shard meets in one task. The result depends on the rows,
     ``shards`` and ``seed``, not on files or partitions. Whole rows move once, at the end.
     """
-    rows = stage(keyed(df), "rows")
-    keys = (rows.select("__h", "__n")
-            .withColumn("__first", F.xxhash64(F.lit(seed), "__h", "__n"))
+    rows, named = keyed(df)
+    keys = (named.withColumn("__first", F.xxhash64(F.lit(seed), "__h", "__n"))
             .withColumn("__second", F.xxhash64(F.lit(seed + 1), "__n", "__h"))
             .withColumn("__group", F.pmod(F.xxhash64(F.lit(seed + 2), "__h", "__n"), F.lit(PARTITIONS)).cast("int")))
     found = {r["__group"]: r["count"] for r in keys.groupBy("__group").count().collect()}
@@ -99,8 +97,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20) -> Data
              .withColumn("__shard", F.size(F.filter("__bounds", lambda b: b <= F.col("__place")))))
     placed = numbered(dealt.withColumn("__range", top_bits(F.col("__second"), second_bits)), ["__shard"], "__range",
                       ["__second", "__h", "__n"], "__slot")
-    out = rows.join(placed.select("__h", "__n", F.col("__shard").alias("shard"), F.col("__slot").alias("slot")),
-                    ["__h", "__n"])
+    out = rows.join(placed.select("__at", F.col("__shard").alias("shard"), F.col("__slot").alias("slot")), "__at")
     return unpacked(out, without(df, "shard", "slot"), "shard", "slot")
 
 

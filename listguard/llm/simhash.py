@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from listguard.llm.batches import small_batches
 from listguard.llm.graph import Stars, components
-from listguard.llm.rows import keyed, quoted, unpacked
+from listguard.llm.rows import quoted, row_hash, unpacked
 from listguard.session import stage
 
 SEED = 42
 #: Shingles hashed at a time, and rows of a signature's group that meet in one cell per side.
 SHINGLES = 1 << 15
 CELL = 1024
+#: Slots that signatures are counted in, as powers of two: one for about 256 signatures, within these bounds.
+SLOT_BITS = (18, 22)
 
 
 def hasher(bits: int) -> Callable[[bytes, int], bytes]:
@@ -120,13 +122,17 @@ def cell_links(batches: Iterator[pa.RecordBatch], bits: int, segments: int, dist
         yield solved(pa.Table.from_batches(waiting))
 
 
+def slot_bits(total: int) -> int:
+    return min(max((total >> 8).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+
+
 def linked(prints: DataFrame, bits: int, segments: int, distance: int) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` as those at ``distance`` or less do.
 
     If two fingerprints differ by fewer than 2 ``segments`` bits, one segment differs by one bit at most,
     so they share the signature of that segment without that bit. Signatures meet by equality; each is
-    verified. A signature of more than CELL fingerprints is cut into parts by hash, and every two parts
-    meet in a cell of their own; cells yield spanning stars, never all pairs.
+    verified. A signature in a slot of more than CELL is cut into parts by hash of the fingerprint, and every
+    two parts meet in a cell of their own; cells yield spanning stars, never all pairs.
     """
 
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -137,13 +143,16 @@ def linked(prints: DataFrame, bits: int, segments: int, distance: int) -> DataFr
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
     signed = prints.select("fp", F.explode(F.arrow_udf(keys, "array<bigint>")(F.col("fp"))).alias("key"))
-    signed = stage(signed, "signatures")
-    crowds = (signed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-              .select("key", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("mine")))
-    celled = (signed.join(crowds, "key").withColumn("mine", mine).withColumn("other", F.explode(others))
+    # Counts by slot of the key bound every key's count from above, whatever else falls into the slot.
+    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - slot_bits(prints.count() * bits)).cast("int")
+    signed = signed.withColumn("slot", slot)
+    crowds = (signed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+              .select("slot", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
+    crowds = F.broadcast(stage(crowds, "crowds"))  # at most 2 ** SLOT_BITS[1] lines, of crowded slots alone
+    parts = F.coalesce("parts", F.lit(1))
+    celled = (signed.join(crowds, "slot", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), parts).cast("int"))
+              .select("fp", "key", "mine", F.explode(F.when(parts == 1, F.array(F.lit(0))).otherwise(
+                  F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != F.col("mine")))).alias("other"))
               .select("key", (F.least("mine", "other").cast("long") * (1 << 31)
                               + F.greatest("mine", "other")).alias("cell"), "fp"))
     celled = celled.repartition("key", "cell").sortWithinPartitions("key", "cell")
@@ -188,10 +197,11 @@ def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **set
 
     Of rows with that same id the one of the smallest row hash stays. Components without any id lose nothing.
     """
-    rows = stage(keyed(df), "input")
-    flat = rows.select("__h", "__n", F.col("__in").getField(doc_id).alias("__id"), F.col("__in").getField(text).alias("__t"))
-    found = near_duplicates(flat, "__t", "__id", keep=["__h", "__n", "__id"], **settings)
+    rows = stage(df.select(F.monotonically_increasing_id().alias("__at"), row_hash(df).alias("__h"),
+                           F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("__in")), "rows")
+    flat = rows.select("__at", "__h", F.col("__in").getField(doc_id).alias("__id"), F.col("__in").getField(text).alias("__t"))
+    found = near_duplicates(flat, "__t", "__id", keep=["__at", "__h", "__id"], **settings)
     best = (found.where(F.col("__id") == F.col("component_id")).groupBy("component_id")
-            .agg(F.min(F.struct("__h", "__n")).alias("k")).select("k.*"))
-    nameless = found.where("component_id is null").select("__h", "__n")
-    return unpacked(rows.join(best.union(nameless), ["__h", "__n"]), list(df.columns))
+            .agg(F.min(F.struct("__h", "__at")).alias("k")).select("k.__at"))
+    nameless = found.where("component_id is null").select("__at")
+    return unpacked(rows.join(best.union(nameless), "__at", "left_semi"), list(df.columns))
