@@ -7,19 +7,23 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listguard.llm.batches import small_batches
 from listguard.llm.graph import Stars, components
-from listguard.llm.rows import quoted, row_hash, unpacked
+from listguard.llm.rows import quoted, row_hash, unpacked, without
 from listguard.session import stage
 
 SEED = 42
 #: Shingles hashed at a time, and rows of a signature's group that meet in one cell per side.
 SHINGLES = 1 << 15
 CELL = 1024
+#: Shingle hashes in a sketch, and the like of CELL for groups whose sketches are compared.
+SKETCH = 128
+MATCHES = 256
 #: Slots that signatures are counted in, as powers of two: one for about 256 signatures, within these bounds.
 SLOT_BITS = (18, 22)
 
@@ -29,35 +33,68 @@ def hasher(bits: int) -> Callable[[bytes, int], bytes]:
     return {64: xxhash.xxh64_digest, 128: xxhash.xxh3_128_digest}[bits]
 
 
-def fingerprint(text: str, width: int, bits: int) -> bytes:
-    """The SimHash of the text's word shingles, repeats included; all zero without words.
+def shingle_hashes(text: str, width: int, bits: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's word shingles as rows of bytes, SHINGLES at a time.
 
-    A-Z count as a-z. Fewer words than ``width`` are one shingle. A bit is 1 if over half the hashes have it.
+    A-Z count as a-z. Fewer words than ``width`` are one shingle; no words give nothing.
     """
-    words = text.encode().lower().split()  # bytes: only A-Z change, only \\x09-\\x0D and \\x20 part
+    words = text.encode().lower().split()  # bytes: only A-Z change, only \x09-\x0D and \x20 part
     if not words:
-        return bytes(bits // 8)
+        return
     width = min(width, len(words))
     joined, digest = b" ".join(words), hasher(bits)
-    lengths = list(map(len, words))
-    starts = [0, *accumulate(n + 1 for n in lengths)]
-    total, n = np.zeros(bits, dtype=np.int64), len(words) - width + 1
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    n = len(words) - width + 1
     for at in range(0, n, SHINGLES):
         some = range(at, min(at + SHINGLES, n))
         hashed = b"".join([digest(joined[starts[i]:starts[i + width] - 1], SEED) for i in some])
-        total += np.unpackbits(np.frombuffer(hashed, dtype=np.uint8).reshape(-1, bits // 8), axis=1).sum(
-            axis=0, dtype=np.int64)
+        yield np.frombuffer(hashed, dtype=np.uint8).reshape(-1, bits // 8)
+
+
+def fingerprint(hashes: list[np.ndarray], bits: int) -> bytes:
+    """The SimHash: a bit is 1 if over half the hashes have it; all zero without hashes."""
+    total, n = np.zeros(bits, dtype=np.int64), 0
+    for some in hashes:
+        total += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(some)
     return np.packbits(total * 2 > n).tobytes()
 
 
-def with_fingerprint(df: DataFrame, text: str, width: int, bits: int, name: str) -> DataFrame:
+def distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    """The different hashes among blocks (by their first eight bytes)."""
+    every = np.concatenate(hashes)
+    return every[np.unique(np.ascontiguousarray(every[:, :8]).view(np.uint64).ravel(), return_index=True)[1]]
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The SKETCH smallest 32-bit ends of the hashes, in order: of fewer shingles, all."""
+    return np.unique(np.ascontiguousarray(hashes[:, 4:8]).view(np.uint32).ravel())[:SKETCH].tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets by their sketches; exact for sets of SKETCH shingles in all."""
+    union = np.union1d(a, b)[:SKETCH]
+    return len(np.intersect1d(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True)) / max(1, len(union))
+
+
+def with_prints(df: DataFrame, text: str, width: int, bits: int, repeats: bool) -> DataFrame:
+    """``df`` with ``fp`` and ``sketch`` (empty if shingles count with repeats) instead of ``text``."""
     small_batches(df.sparkSession)
 
-    def batch_fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("fp", pa.binary()), ("sketch", pa.binary())])
         for batch in batches:
-            yield pa.array([fingerprint(t or "", width, bits) for t in batch.to_pylist()], pa.binary())
+            out = []
+            for text in batch.to_pylist():
+                hashes, ends = list(shingle_hashes(text or "", width, bits)), b""
+                if hashes and not repeats:
+                    hashes = [distinct(hashes)]
+                    ends = sketch(hashes[0])
+                out.append({"fp": fingerprint(hashes, bits), "sketch": ends})
+            yield pa.array(out, kind)
 
-    return df.withColumn(name, F.arrow_udf(batch_fingerprints, "binary")(F.col(text)))
+    found = df.withColumn("__p", F.arrow_udf(prints, "struct<fp:binary,sketch:binary>")(F.col(text)))
+    return found.select(*without(df, text), "__p.fp", "__p.sketch")
 
 
 def segment_bounds(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -77,21 +114,53 @@ def signatures(prints: np.ndarray, bits: int, segments: int) -> np.ndarray:
     return out
 
 
-def cell_links(batches: Iterator[pa.RecordBatch], bits: int, segments: int, distance: int) -> Iterator[pa.RecordBatch]:
-    """Links inside each cell (rows of equal key and cell, which stand together), as few stars.
+def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole cells (equal ``names``) with the first row of each cell.
 
-    The rows of the last cell of a batch wait for the next batch; a cell holds 2 CELL rows or so.
+    The rows of the last cell of a batch wait for the next batch; a cell holds two parts at most.
     """
-    size = bits // 8
     waiting: list[pa.RecordBatch] = []
 
-    def solved(table: pa.Table) -> pa.RecordBatch:
-        key, cell = (table[c].to_numpy() for c in ("key", "cell"))
-        column = pa.concat_arrays(table["fp"].chunks) if table.num_rows else pa.array([], pa.binary())
-        prints = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, size)
-        words = prints.view(np.uint64).reshape(len(prints), size // 8)
-        n = len(key)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
+    def changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        differs = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+        for name in names:
+            column = table[name]
+            if isinstance(column, pa.ChunkedArray):
+                column = column.combine_chunks()
+            differs |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(differs) + 1
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts)
+        return table, np.r_[0, changes(table)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = changes(batch)
+        if waiting and any(waiting[-1][n][-1].as_py() != batch[n][0].as_py() for n in names):
+            cuts = np.r_[0, cuts]
+        if len(cuts):
+            parts = [*waiting, batch.slice(0, int(cuts[-1]))]
+            if sum(p.num_rows for p in parts):
+                yield whole(parts)
+            waiting = [batch.slice(int(cuts[-1]))]
+        else:
+            waiting.append(batch)
+    if waiting:
+        yield whole(waiting)
+
+
+def print_rows(column: pa.Array, bits: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), bits // 64)
+
+
+def cell_links(batches: Iterator[pa.RecordBatch], bits: int, distance: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each signature's cells, as few stars; row by row with the next, the one after, and so on."""
+    for table, starts in whole_cells(batches, ["key", "cell"]):
+        column, n = table["fp"].combine_chunks(), table.num_rows
+        words = print_rows(column, bits)
         ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))  # where each row's cell ends
         stars, i, lag = Stars(n), np.arange(n), 1
         while len(i := i[i + lag < ends[i]]):
@@ -100,26 +169,47 @@ def cell_links(batches: Iterator[pa.RecordBatch], bits: int, segments: int, dist
             stars.add(i[near], j[near])
             lag += 1
         a, b = stars.links()
-        return pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell"))
-        changes = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-        if waiting:
-            last = waiting[-1]
-            same = last["key"][-1].as_py() == key[0] and last["cell"][-1].as_py() == cell[0]
-            if not same:
-                changes = np.r_[0, changes]
-        if len(changes):
-            cut = int(changes[-1])
-            yield solved(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
-            waiting = [batch.slice(cut)]
-        else:
-            waiting.append(batch)
-    if waiting:
-        yield solved(pa.Table.from_batches(waiting))
+
+def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Of each candidate group's cells, links of ``least`` similarity that connect what such links connect.
+
+    Pairs go by distance; pairs that are connected already need no look at their sketches.
+    """
+    for table, starts in whole_cells(batches, ["root", "cell"]):
+        column, links = table["fp"].combine_chunks(), ([], [])
+        words = print_rows(column, bits)
+        sketches = [np.frombuffer(x, dtype=np.uint32) for x in table["sketch"].to_pylist()]
+        for low, high in zip(starts, [*starts[1:], table.num_rows]):
+            parent = list(range(high - low))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            some = words[low:high]
+            apart = np.array([np.bitwise_count(some ^ row).sum(axis=1, dtype=np.int16) for row in some])
+            i, j = np.nonzero(np.triu(apart <= distance, 1))
+            order = np.argsort(apart[i, j], kind="stable")
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                if find(x) != find(y) and similarity(sketches[low + x], sketches[low + y]) >= least:
+                    parent[find(y)] = find(x)
+                    links[0].append(low + x), links[1].append(low + y)
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(x, pa.int64())) for x in links], names=["a", "b"])
+
+
+def in_cells(rows: DataFrame, key: str, parts, *columns: str) -> DataFrame:
+    """Rows dealt to cells (``key``, ``cell``) in which every two parts of a key meet, sorted by cell."""
+    mine = rows.withColumn("__parts", parts).withColumn("__mine", F.pmod(F.xxhash64("fp"), F.col("__parts")).cast("int"))
+    others = F.when(F.col("__parts") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda p: p != F.col("__mine")))
+    dealt = mine.withColumn("__other", F.explode(others)).select(
+        key, (F.least("__mine", "__other").cast("long") * (1 << 31) + F.greatest("__mine", "__other")).alias("cell"),
+        *columns)
+    return dealt.repartition(key, "cell").sortWithinPartitions(key, "cell")
 
 
 def slot_bits(total: int) -> int:
@@ -149,29 +239,31 @@ def linked(prints: DataFrame, bits: int, segments: int, distance: int) -> DataFr
     crowds = (signed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
               .select("slot", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
     crowds = F.broadcast(stage(crowds, "crowds"))  # at most 2 ** SLOT_BITS[1] lines, of crowded slots alone
-    parts = F.coalesce("parts", F.lit(1))
-    celled = (signed.join(crowds, "slot", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-              .select("fp", "key", "mine", F.explode(F.when(parts == 1, F.array(F.lit(0))).otherwise(
-                  F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != F.col("mine")))).alias("other"))
-              .select("key", (F.least("mine", "other").cast("long") * (1 << 31)
-                              + F.greatest("mine", "other")).alias("cell"), "fp"))
-    celled = celled.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    celled = in_cells(signed.join(crowds, "slot", "left"), "key", F.coalesce("parts", F.lit(1)), "fp")
+    return celled.mapInArrow(lambda b: cell_links(b, bits, distance), "a binary, b binary").distinct()
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return cell_links(batches, bits, segments, distance)
 
-    return celled.mapInArrow(stars, "a binary, b binary").distinct()
+def matched(prints: DataFrame, roots: DataFrame, bits: int, distance: int, least: float) -> DataFrame:
+    """Links (a, b) of similarity ``least`` or more inside the candidate groups ``roots`` (node, root)."""
+    members = prints.join(roots, F.col("fp") == F.col("node")).select("root", "fp", "sketch")
+    crowds = (roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+              .select("root", F.ceil(F.col("n") / MATCHES).cast("int").alias("parts")))
+    celled = in_cells(members.join(crowds, "root"), "root", F.col("parts"), "fp", "sketch")
+    return celled.mapInArrow(lambda b: cell_matches(b, bits, distance, least), "a binary, b binary").distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, bits: int = 128,
-                    segments: int = 8, distance: int = 24, keep: list[str] | None = None) -> DataFrame:
+                    segments: int = 8, distance: int = 30, least: float | None = 0.8,
+                    keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` (all by default) with ``fingerprint`` (binary) and ``component_id``.
 
-    Documents are linked when their fingerprints differ by ``distance`` bits or less; component_id is the
-    smallest ``doc_id`` reachable, the own included. All links are found if ``distance`` < 2 ``segments``
-    (4 of 64 bits in 3 segments). Wider distances find links up to 2 ``segments`` - 1 bits for
-    certain and farther ones as likely as one segment keeps to one bit: with the defaults (0.8 similar
-    five-word shingles differ by about 19 of 128 bits) README gives the measured share.
+    Documents whose fingerprints differ by ``distance`` bits or less are candidates. All candidates are
+    found if ``distance`` < 2 ``segments`` (4 of 64 bits in 3 segments); farther ones as likely as one
+    segment keeps to one bit (README gives the measured share for the defaults: 0.8 similar texts differ
+    by about 19 of 128 bits). With ``least``, shingles count once each and candidates are linked if
+    their Jaccard similarity reaches it, by sketches of SKETCH shingle hashes; with None, shingles
+    count with repeats and candidates are links. component_id is the smallest ``doc_id`` reachable over links,
+    the own included.
 
     Equal fingerprints are one node, so copies never meet in pairs. Null and empty texts have the zero
     fingerprint and are linked like others; rows with a null id are linked but give no component id; a component
@@ -181,9 +273,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     names = [c for c in (keep or df.columns) if c.lower() not in ("fingerprint", "component_id")]
     narrow = df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.col(doc_id).alias("__id"),
                        F.col(text).alias("__text"))
-    rows = stage(with_fingerprint(narrow, "__text", width, bits, "fp").drop("__text"), "prints")
-    prints = stage(rows.groupBy("fp").agg(F.min("__id").alias("first")), "distinct")
+    rows = stage(with_prints(narrow, "__text", width, bits, repeats=least is None), "prints")
+    prints = stage(rows.groupBy("fp").agg(F.min("__id").alias("first"), F.min("sketch").alias("sketch")), "distinct")
     roots = components(linked(prints.select("fp"), bits, segments, distance))
+    if least is not None:
+        roots = components(matched(prints.select("fp", "sketch"), roots, bits, distance, least))
     named = (prints.join(roots, F.col("fp") == F.col("node"), "left")
              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
