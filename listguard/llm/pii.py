@@ -162,10 +162,9 @@ class Field:
         self.shape, self.context = ratios(shape), ratios(context)
         self.pairs = {}
         for what, table in pairs.items():
-            both = table + table.T + SMOOTHING * np.outer(prior, prior)
-            both /= both.sum()
-            side = both.sum(1)
-            self.pairs[what] = np.clip(np.log(both / np.outer(side, side)), -BOUND, BOUND)
+            both = table + table.T
+            lift = np.log((both + SMOOTHING * prior) / (both.sum(1, keepdims=True) + SMOOTHING)) - self.prior
+            self.pairs[what] = np.clip((lift + lift.T) / 2, -BOUND, BOUND)
 
     def marginals(self, shape: np.ndarray, context: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray,
                   alike: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ EXACT = float(1 << 53)
 
 
 class CoverTree:
-    """Points under centres whose radius halves from level to level.
+    """Points under centres whose radius halves from level to level; a node's first point is its centre.
 
     Each node covers its points within ``radius`` of its centre; the centres of its children are points
     more than half that radius apart. A node is a leaf when it is small or its children would hardly be
@@ -50,15 +50,16 @@ class CoverTree:
         self.start.append(len(self.order))
         self.end.append(0)
         self.below.append([])
-        limit, nearest, chosen = distance.max() / 2, np.zeros(len(rows), dtype=np.int64), 1
-        while len(rows) > LEAF and distance.max() > limit and chosen <= len(rows) // 8:
-            far = np.linalg.norm(points - points[distance.argmax()], axis=1)
+        limit, nearest, centres = distance.max() / 2, np.zeros(len(rows), dtype=np.int64), [0]
+        while len(rows) > LEAF and distance.max() > limit and len(centres) <= len(rows) // 8:
+            centres.append(int(distance.argmax()))
+            far = np.linalg.norm(points - points[centres[-1]], axis=1)
             closer = far < distance
-            nearest[closer], distance = chosen, np.where(closer, far, distance)
-            chosen += 1
-        if 1 < chosen <= len(rows) // 8:
-            for c in range(chosen):
-                self.below[node].append(self._grow(rows[nearest == c]))
+            nearest[closer], distance = len(centres) - 1, np.where(closer, far, distance)
+        if 1 < len(centres) <= len(rows) // 8:
+            for c, centre in enumerate(centres):
+                mine = np.flatnonzero(nearest == c)
+                self.below[node].append(self._grow(rows[np.r_[centre, mine[mine != centre]]]))
         else:
             self.order.extend(rows.tolist())
         self.end[node] = len(self.order)
