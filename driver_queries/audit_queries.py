@@ -337,7 +337,7 @@ r AS (SELECT *, {desc} AS descr, l_partkey % 9 = 0 AS fake, l_partkey % 8 AS img
         default = (msg or col).replace("'", "''")
         parts.append(f"SELECT PRODUCT_SET_SID AS sid, {i} AS issue_order, '{severity}' AS severity, '{col}' AS flag, coalesce(nullif(trim(DETAIL), ''), '{default}') AS message FROM {source}")
     return rep + ", every_issue AS (" + " UNION ALL ".join(parts) + """),
-issue AS (SELECT * FROM every_issue QUALIFY row_number() OVER (PARTITION BY sid, flag, substring(message, 1, 80) ORDER BY issue_order, message) = 1),
+issue AS (SELECT * FROM every_issue QUALIFY row_number() OVER (PARTITION BY sid, flag, message ORDER BY issue_order, message) = 1),
 score AS (SELECT d.PRODUCT_SET_SID AS sid, any_value(d.name_raw) AS nm, any_value(d.seller_raw) AS sl, any_value(d.brand_raw) AS br, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m,
  count(*) FILTER (severity = 'low') AS l, count(issue_order) AS t, greatest(0, 100 - 25 * c - 12 * h - 6 * m - 2 * l) AS q,
  coalesce(string_agg(concat('[', severity, '] ', message), ' | ' ORDER BY list_position(['critical', 'high', 'medium', 'low'], severity), issue_order), '') AS top,

@@ -187,15 +187,15 @@ KNOWN = (KNOWN.replace("{t}", title("kb")).replace("{n}", _plain("name_raw")).re
 
 def duplicates():
     key = f"concat(seller_l, '|', brand_l, '|', {norm('name_raw')})"
-    return f"""(SELECT PRODUCT_SET_SID, concat('Duplicate: ''', substring(first_name, 1, 40), '''') AS DETAIL FROM (
+    return f"""(SELECT PRODUCT_SET_SID, concat('Duplicate: ''', first_name, '''') AS DETAIL FROM (
     SELECT PRODUCT_SET_SID, _pos, min(_pos) OVER w AS first_pos, first_value(name_raw) OVER w AS first_name
     FROM d WHERE NOT {role('duplicate_exempt')} WINDOW w AS (PARTITION BY {key} ORDER BY _pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE _pos > first_pos)"""
 
 
 def books(c):
-    return f"""(SELECT PRODUCT_SET_SID, CASE WHEN seller IS NULL THEN concat('No seller authorised for book: ''', substring(title, 1, 60), '''')
-      ELSE concat('Only ''', seller, ''' may sell ''', substring(title, 1, 40), '''') END AS DETAIL
+    return f"""(SELECT PRODUCT_SET_SID, CASE WHEN seller IS NULL THEN concat('No seller authorised for book: ''', title, '''')
+      ELSE concat('Only ''', seller, ''' may sell ''', title, '''') END AS DETAIL
     FROM (SELECT d.PRODUCT_SET_SID, seller_l, r.title, r.seller, row_number() OVER (PARTITION BY d.PRODUCT_SET_SID ORDER BY r._pos, r.title) AS rn
       FROM d JOIN (SELECT lower(trim(title)) AS title, lower(trim(min(seller))) AS seller, min(_pos) AS _pos FROM book_sheet GROUP BY 1) r
       ON contains(d.name_l, r.title)) WHERE rn = 1 AND (seller IS NULL OR seller_l <> seller))"""
@@ -231,10 +231,10 @@ def checks(c: str = "KE") -> dict[str, tuple[str, list[str]]]:
                                          ["category_role", "approved_seller"]),
         "Seller Approved to Sell Perfume": (sel(
             f"{role('perfume')} AND ((brand_l IN {placeholders} AND regexp_matches(name_l, {kw_perf})) OR regexp_matches(brand_l, {kw_perf})) AND NOT {ok('perfume', c)}",
-            f"CASE WHEN brand_l IN {placeholders} THEN concat('Sneaky brand in name: ''', substring(name_s, 1, 40), '''') ELSE concat('Sensitive brand ''', {strip('brand_raw')}, ''' — seller not approved') END"),
+            f"CASE WHEN brand_l IN {placeholders} THEN concat('Sneaky brand in name: ''', name_s, '''') ELSE concat('Sensitive brand ''', {strip('brand_raw')}, ''' — seller not approved') END"),
             ["category_role", "approved_seller"]),
         "Perfume Tester": (sel(rf"{role('perfume')} AND regexp_matches(name_raw, '(?i)\btester\b')",
-                               "concat('Perfume tester listed for sale: ', substring(name_raw, 1, 60))"), ["category_role"]),
+                               "concat('Perfume tester listed for sale: ', name_raw)"), ["category_role"]),
         "Counterfeit Sneakers": (sel(f"{role('sneaker')} AND brand_l IN ('generic', 'fashion') AND (contains(name_l, 'anvil') OR contains(name_l, 'ld r'))"),
                                  ["category_role"]),
         "Suspected counterfeit Jerseys": (sel(f"{role('jersey')} AND {jer_hit} AND NOT {ok('jersey_exempt', c)}",

@@ -202,7 +202,7 @@ def n27(spark, sf):
 
 @add("n29_lookup_inputs", f"""WITH x AS (SELECT *, trim(line) AS u FROM ({_LINES_SQL})),
 y AS (SELECT *, CASE WHEN u LIKE 'http%' THEN coalesce({_SKU}, CASE WHEN regexp_extract({_SLUG}, '(\\d{{6,}})$', 1) <> '' THEN regexp_extract({_SLUG}, '(\\d{{6,}})$', 1)
-  ELSE substring({_SLUG}, 1, 20) END) ELSE trim(split_part(u, '-', 1)) END AS sku FROM x)
+  ELSE {_SLUG} END) ELSE trim(split_part(u, '-', 1)) END AS sku FROM x)
 SELECT sku, u AS input, CASE WHEN u LIKE 'http%' THEN u END AS url, CASE WHEN u NOT LIKE 'http%' THEN NULL WHEN contains(u, 'example.com') THEN 'KE' WHEN contains(u, 'example.net') THEN 'NG' ELSE 'GH' END AS country_hint
 FROM y QUALIFY row_number() OVER (PARTITION BY sku ORDER BY {S.ORDER}) = 1""")
 def n29(spark, sf):

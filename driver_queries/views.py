@@ -111,8 +111,8 @@ CROSS JOIN (SELECT 'KE' AS country UNION ALL SELECT 'NG' AS country) c""",
 SELECT c.country AS country, word AS keyword,
   CASE WHEN n % 3 = 0 THEN concat(CAST(1000000 + n AS string), ',', CAST(1000010 + n AS string)) ELSE '' END
     AS categories, n AS _pos
-FROM (SELECT DISTINCT p_name AS word, length(p_name) AS n FROM {part} WHERE p_partkey % 7 = 0
-  UNION SELECT DISTINCT split_part(p_name, ' ', 2) AS word, 20 + length(p_name) AS n FROM {part} WHERE p_name LIKE 'hot %') w
+FROM (SELECT DISTINCT p_name AS word, length(p_name) AS n FROM {part}
+  UNION SELECT DISTINCT split_part(p_name, ' ', 2) AS word, 20 + length(p_name) AS n FROM {part}) w
 CROSS JOIN (SELECT 'KE' AS country UNION ALL SELECT 'NG' AS country) c""",
     "word_list": """
 SELECT list, word FROM (VALUES ('unnecessary', 'BUY NOW'), ('unnecessary', 'best'), ('unnecessary', 'new'),
@@ -127,15 +127,15 @@ SELECT kind, country, keyword FROM (VALUES ('refurb', 'KE', 'refurbished'), ('re
     "book_sheet": """
 SELECT DISTINCT p_name AS title, CASE WHEN length(p_name) % 2 = 0 THEN NULL ELSE 'Supplier#000000003' END AS seller,
   length(p_name) * 1000 + ascii(p_name) * 3 + ascii(split_part(p_name, ' ', 2)) AS _pos
-FROM {part} WHERE p_name LIKE '%plate' OR p_name LIKE '%ring'
+FROM {part}
 UNION SELECT DISTINCT 'rod' AS title, NULL AS seller, 1 AS _pos FROM {part}""",
     "tv_seller": """
 SELECT DISTINCT lower(p_brand) AS brand, lower(s_name) AS seller FROM {part} JOIN {supplier}
-ON p_size = s_suppkey % 50 WHERE s_suppkey % 2 = 0""",
+ON p_size = s_suppkey % 50""",
     "rice_sheet": """
 SELECT DISTINCT p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN 'Supplier#000000001, Supplier#000000002' ELSE '' END
   AS sellers, CASE WHEN p_brand LIKE '%2' THEN NULL ELSE CAST(1000000 + p_size AS string) END AS category
-FROM {part} WHERE p_size % 9 = 0""",
+FROM {part}""",
     "category_sheet": """
 SELECT concat(p_type, ' size ', CAST(p_size AS string)) AS name, CAST(1000000 + p_size AS string) AS code,
   concat(CASE p_size % 3 WHEN 0 THEN 'Fashion' ELSE 'Hardware' END, ' / ', p_type, ' / size ', CAST(p_size AS string)) AS path,
@@ -147,7 +147,7 @@ FROM {part} GROUP BY p_name""",
     "keyword_weights": """
 SELECT lower(concat('Hardware > ', split_part(p_name, ' ', 2), ' goods > ', p_name)) AS category,
   split_part(p_name, ' ', 2) AS keyword, 0.5 + length(p_name) / 100.0 AS weight
-FROM {part} WHERE p_name LIKE 'red %' GROUP BY p_name
+FROM {part} GROUP BY p_name
 UNION ALL SELECT 'hot rod' AS category, 'refurbished' AS keyword, 2.0 AS weight""",
 }
 

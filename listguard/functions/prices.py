@@ -12,7 +12,14 @@ from listguard.market import CURRENCIES
 def price_text(c: Column) -> Column:
     """Digits and points of a price text as a positive number text, else empty."""
     value = num(F.regexp_replace(c.cast("string"), r"[^0-9.]", ""))
-    return F.when(value > 0, value.cast("string")).otherwise("")
+    return F.when(value > 0, number_text(value)).otherwise("")
+
+
+def number_text(value: Column) -> Column:
+    """A double as plain digits with at least one decimal place, never in powers of ten below 1e16."""
+    digits = F.rtrim(value.try_cast("decimal(38,12)").cast("string"), F.lit("0"))
+    plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.abs(value) < 1e16, plain).otherwise(value.cast("string"))
 
 
 def listing_price(sale: Column, regular: Column) -> Column:
@@ -24,7 +31,7 @@ def discount_text(stated: Column, old: Column, sale: Column) -> Column:
     """The stated discount, or the one computed from the prices where it is missing."""
     computed = let(F.struct(num(old).alias("o"), num(sale).alias("s")), lambda p: F.when(
         (p.o > 0) & (p.s < p.o),
-        F.concat(F.bround((p.o - p.s) / p.o * 100, 0).cast("int").cast("string"), F.lit("%"))))
+        F.concat(F.bround((p.o - p.s) / p.o * 100, 0).try_cast("bigint").cast("string"), F.lit("%"))))
     return F.when(is_blank(stated), F.coalesce(computed, stated, F.lit(""))).otherwise(stated)
 
 

@@ -212,7 +212,7 @@ def variant_tokens(c: Column) -> Column:
              .when(F.contains(s, F.lit(" ")), F.split(s, r"(?U)\s+"))
              .otherwise(F.regexp_extract_all(s, F.lit(camel), F.lit(1))))
     trimmed = F.transform(parts, strip_ws)
-    return F.filter(trimmed, lambda p: (p != "") & (F.length(p) <= 30))
+    return F.filter(trimmed, lambda p: p != "")
 
 
 def is_size(c: Column) -> Column:

@@ -312,7 +312,7 @@ def lookup_inputs(lines: DataFrame, market: Market = DEFAULT_MARKET, pos: str =
     is_url = F.col("input").startswith("http")
     tail = last_slug(F.col("input"))
     digits = F.regexp_extract(tail, r"(\d{6,})$", 1)
-    fallback = F.when(digits != "", digits).otherwise(F.substring(tail, 1, 20))
+    fallback = F.when(digits != "", digits).otherwise(tail)
     made = rows.select(
         pos, "input",
         F.when(is_url, F.coalesce(sku_from_url(F.col("input")), fallback))
@@ -322,9 +322,15 @@ def lookup_inputs(lines: DataFrame, market: Market = DEFAULT_MARKET, pos: str =
     return first_per_key(made.where("sku <> ''"), ["sku"], [pos]).drop(pos)
 
 
+def one_page(pages: DataFrame, captured: str = "captured_at") -> DataFrame:
+    """One page per SKU: the last captured where the pages tell, and of equals the last by content."""
+    order = [F.desc(captured)] if captured in pages.columns else []
+    return first_per_key(pages, ["sku"], [*order, *[F.desc(c) for c in sorted(pages.columns) if c != "sku"]])
+
+
 def lookup_results(inputs: DataFrame, pages: DataFrame, default_country: str) -> DataFrame:
     """Lookup rows with what was found on the captured page of their SKU."""
-    found = pages.withColumn("_found", F.lit(True))
+    found = one_page(pages).withColumn("_found", F.lit(True))
     joined = inputs.join(found, "sku", "left")
     extra = [c for c in pages.columns if c != "sku"]
     return joined.select(
@@ -371,7 +377,7 @@ def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None,
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill empty cells of the needed fields from captured pages of the same base SKU.
 
-    ``pages`` has one row per ``sku`` with any of the page fields.
+    ``pages`` has any of the page fields by ``sku``; of several pages of a SKU the last one counts.
     """
     from listguard.operators.ingest import pick_column
 
@@ -381,7 +387,7 @@ def enrich(df: DataFrame, pages: DataFrame, fields: list[str] | None = None,
         return df
     df = df.withColumns({f: F.lit("") for f in needed if f not in df.columns})
     have = [f for f in needed if f in pages.columns]
-    source = pages.select(F.col("sku").alias("_base"), *[F.col(f).alias(f"_page_{f}") for f in have])
+    source = one_page(pages).select(F.col("sku").alias("_base"), *[F.col(f).alias(f"_page_{f}") for f in have])
     keyed = df.withColumn("_base", F.coalesce(base_sku(F.col(sku)), F.lit("")))
     # The size of each base SKU tells which ones are hot; only those present on a page matter.
     sizes = keyed.groupBy("_base").agg(F.count("*").alias("_n"))

@@ -166,7 +166,7 @@ def _perfume(r):
     cond = ((sneaky | kw.hit(r.brand, brand_pattern)) & ~r.approved("perfume")
             if r.has_kind("perfume") else sneaky)
     detail = F.when(placeholder, F.concat(F.lit("Sneaky brand in name: '"),
-                                          F.substring(r.name_strip, 1, 40), F.lit("'"))
+                                          r.name_strip, F.lit("'"))
                     ).otherwise(F.concat(F.lit("Sensitive brand '"), tx.strip_ws(r.brand_raw),
                                          F.lit("' — seller not approved")))
     return r.role("perfume") & cond, detail
@@ -176,7 +176,7 @@ def _tester(r):
     if not r.has_role("perfume"):
         return None
     return (r.role("perfume") & r.name_raw.rlike(TESTER),
-            F.concat(F.lit("Perfume tester listed for sale: "), F.substring(r.name_raw, 1, 60)))
+            F.concat(F.lit("Perfume tester listed for sale: "), r.name_raw))
 
 
 def _sneakers(r):
@@ -247,7 +247,8 @@ def _brand_in_name(r):
 
 def _variation(r):
     stated = tx.num(F.col("COUNT_VARIATIONS")) if "COUNT_VARIATIONS" in r.columns else F.lit(None)
-    n = F.coalesce(stated, F.lit(1.0)).cast("int")
+    # A count that is no whole number of 64 bits (infinity, 1e30) states no variations.
+    n = F.coalesce(F.coalesce(stated, F.lit(1.0)).try_cast("bigint"), F.lit(1))
     return ((n >= 3) & ~(r.role("variation") | r.role("fashion")),
             F.concat(F.lit("Variations: "), n.cast("string"), F.lit(", Category: "), r.code))
 
@@ -292,9 +293,9 @@ def _ng_books(r):
     first = tx.let(r.name, lambda n: F.get(F.filter(listed, lambda b: F.contains(n, b.title)), F.lit(0)))
     title, allowed = first.getField("title"), first.getField("seller")
     detail = F.when(allowed.isNull(), F.concat(F.lit("No seller authorised for book: '"),
-                                               F.substring(title, 1, 60), F.lit("'"))
+                                               title, F.lit("'"))
                     ).otherwise(F.concat(F.lit("Only '"), allowed, F.lit("' may sell '"),
-                                         F.substring(title, 1, 40), F.lit("'")))
+                                         title, F.lit("'")))
     return title.isNotNull() & (allowed.isNull() | (r.seller != allowed)), detail
 
 
@@ -464,7 +465,7 @@ def duplicate_hits(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HOT
     stats = (keyed.groupBy("_key").agg(F.count("*").alias("n"), F.min(F.struct("_p", "_name")).alias("first"))
              .where("n > 1"))
     later = attach_group(keyed, stats, ["_key"], ["PRODUCT_SET_SID"], "n", hot_rows).where("_p > first._p")
-    return later.select("PRODUCT_SET_SID", F.concat(F.lit("Duplicate: '"), F.substring("first._name", 1, 40),
+    return later.select("PRODUCT_SET_SID", F.concat(F.lit("Duplicate: '"), F.col("first._name"),
                                                     F.lit("'")).alias("detail"))
 
 

@@ -23,7 +23,7 @@ _NODE = pa.struct([("ord", pa.int32()), ("last", pa.int32()), ("parent", pa.int3
                    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-# Labels of specification rows, and words of page furniture that are no variants.
+# Labels of specification rows.
 SPEC_LABEL = (
     r"(?iU)^(colour|color|size|material|main\s+material|weight|model|gtin|sku|barcode|dimension|brand|style|gender"
     r"|age\s+group|compatible\s+with|connectivity|power\s+source|voltage|wattage|capacity|storage|memory|screen"
@@ -32,28 +32,46 @@ SPEC_LABEL = (
     r"|sole\s+material|upper\s+material|heel\s+type|toe\s+style|production|country|manufacturer|origin|made\s+in"
     r"|from\s+the|item\s+weight|package|box\s+contents|box\s+content|included|features?|specification|certified"
     r"|certification|standard)")
-FURNITURE = """share this product add cart wishlist compare buy now view more details description reviews rating
-sold by seller store official report incorrect information see all promotions delivery returns policy similar
-products from brand print email copy link tweet pin like follow followers score shipping express fulfilled
-verified in on at and or the a an with for of to is are get set go new top hot sale free""".split()
-TITLE_COLORS = (
-    "titanium silver|titanium gold|midnight black|midnight blue|space gray|space grey|rose gold|sky blue|navy blue"
-    "|forest green|hot pink|light blue|dark blue|dark green|light green|deep purple|bright red|pearl white"
-    "|starlight white|starlight silver|black|white|silver|gold|blue|red|green|purple|pink|grey|gray|titanium"
-    "|midnight|starlight|ivory|champagne|rose|copper|yellow|orange|violet|navy|cream|brown|coral|aqua|cyan|teal"
-    "|lilac|maroon|beige|olive|turquoise")
+# Words of page furniture that are no variants.
+FURNITURE = [
+    "share", "this", "product", "add", "cart", "wishlist", "compare", "buy", "now", "view", "more", "details",
+    "description", "reviews", "rating", "sold", "by", "seller", "store", "official", "report", "incorrect",
+    "information", "see", "all", "promotions", "delivery", "returns", "policy", "similar", "products", "from",
+    "brand", "print", "email", "copy", "link", "tweet", "pin", "like", "follow", "followers", "score", "shipping",
+    "express", "fulfilled", "verified", "in", "on", "at", "and", "or", "the", "a", "an", "with", "for", "of", "to",
+    "is", "are", "get", "set", "go", "new", "top", "hot", "sale", "free",
+]
+# Colours looked for in titles, compound ones first.
+TITLE_COLORS = [
+    "titanium silver", "titanium gold", "midnight black", "midnight blue", "space gray", "space grey", "rose gold",
+    "sky blue", "navy blue", "forest green", "hot pink", "light blue", "dark blue", "dark green", "light green",
+    "deep purple", "bright red", "pearl white", "starlight white", "starlight silver", "black", "white", "silver",
+    "gold", "blue", "red", "green", "purple", "pink", "grey", "gray", "titanium", "midnight", "starlight", "ivory",
+    "champagne", "rose", "copper", "yellow", "orange", "violet", "navy", "cream", "brown", "coral", "aqua", "cyan",
+    "teal", "lilac", "maroon", "beige", "olive", "turquoise",
+]
+# Words that no seller name holds.
 SELLER_DENY = ["seller", "store", "view", "follow", "score", "performance", "information", "rating"]
+# The like below a seller heading.
 SELLER_DENY_BELOW = ["follow", "score", "performance", "rating", "sell on", "contact"]
+# The like in texts of shop links.
 SELLER_TEXT_DENY = ["terms", "conditions", "credit", "policy", "warranty", "help", "support", "service", "sell on",
                     "official store", "fulfilled", "promotions", "delivery", "returns", "similar", "from", "brand",
                     "follow"]
-NAV_WORDS = """home phone phones tablet tablets fashion compute computing gaming games supermarket groceries grocery
-health beauty appliance appliances office baby sell selling help warranty warranties privacy terms conditions credit
-store official catalog cart wishlist account orders order return returns refund refunds delivery payment payments sp
-mlp category categories electronics electronic television televisions video audio refrigerator refrigerators washing
-smartphone smartphones laptop laptops accessories accessory clothing shoes sports sport outdoor garden toys books
-music movies automotive tools industrial furniture kitchen dining bedroom bathroom lighting security networking
-software printers cameras smart wearables wearable watches""".split()
+# Words of navigation addresses.
+NAV_WORDS = [
+    "home", "phone", "phones", "tablet", "tablets", "fashion", "compute", "computing", "gaming", "games",
+    "supermarket", "groceries", "grocery", "health", "beauty", "appliance", "appliances", "office", "baby", "sell",
+    "selling", "help", "warranty", "warranties", "privacy", "terms", "conditions", "credit", "store", "official",
+    "catalog", "cart", "wishlist", "account", "orders", "order", "return", "returns", "refund", "refunds", "delivery",
+    "payment", "payments", "sp", "mlp", "category", "categories", "electronics", "electronic", "television",
+    "televisions", "video", "audio", "refrigerator", "refrigerators", "washing", "smartphone", "smartphones",
+    "laptop", "laptops", "accessories", "accessory", "clothing", "shoes", "sports", "sport", "outdoor", "garden",
+    "toys", "books", "music", "movies", "automotive", "tools", "industrial", "furniture", "kitchen", "dining",
+    "bedroom", "bathroom", "lighting", "security", "networking", "software", "printers", "cameras", "smart",
+    "wearables", "wearable", "watches",
+]
+# Headings that end the description.
 STOP_HEADS = (r"(?iU)^(specifications?|customer\s+feedback|related\s+results|seller\s+info|promotions?|delivery"
               r"|return\s+policy|seller\s+information)")
 
@@ -363,7 +381,7 @@ def _pills(nodes: Column, cond, market: Market) -> Column:
                            .when(span.isNotNull(), let(span, lambda s: text_of(nodes, s))).otherwise(text_of(nodes, n)))
     words = F.array(*[F.lit(w) for w in [*FURNITURE, market.name.lower()]])
     values = F.transform(F.filter(nodes, cond), value)
-    return F.filter(values, lambda v: (v != "") & (F.length(v) < 50) & ~F.contains(v, F.lit(": ")) & ~F.contains(v, F.lit(","))
+    return F.filter(values, lambda v: (v != "") & ~F.contains(v, F.lit(": ")) & ~F.contains(v, F.lit(","))
                     & ~v.rlike(SPEC_LABEL) & ~F.array_contains(words, F.lower(v)))
 
 
@@ -382,8 +400,7 @@ def variant_values(nodes: Column, full: Column, market: Market = DEFAULT_MARKET)
                                             & attr(n, "disabled").isNull() & under(nodes, n, lambda u: ((u.tag == "form") & (
                                                 (attr(u, "id") == "product_addtocart_form") | F.contains(attr(u, "action"), F.lit("checkout"))))
                                                 | ((u.tag == "section") & has(u, "-pvs")))), lambda n: text_of(nodes, n)),
-                       lambda t: (t != "") & (F.length(t) < 50))
-    options = F.when(F.size(options) <= 30, options).otherwise(F.array().cast("array<string>"))
+                       lambda t: t != "")
     tried = F.array(_pills(nodes, a, market), _pills(nodes, b, market), options, _pills(nodes, d, market))
     found = F.array_distinct(F.coalesce(F.get(F.filter(tried, lambda v: F.size(v) > 0), F.lit(0)), F.array().cast("array<string>")))
 
@@ -393,7 +410,7 @@ def variant_values(nodes: Column, full: Column, market: Market = DEFAULT_MARKET)
     said = tx.variant_tokens(filled(tx.strip_ws(F.regexp_extract(full, r"(?i)Variation\s+available\s*\n([^\n]{2,80})", 1))))
     block = let(first(nodes, lambda n: n.tag.isin("section", "div", "ul") & has(n, "-pvs")), lambda n: text_of(nodes, n, " "))
     block = tx.strip_ws(F.regexp_replace(block, r"(?i)(Variation\s+available|Add\s+to\s+cart|Some\s+variations|low\s+stock)", ""))
-    shown = tx.variant_tokens(F.when((block != "") & (F.length(block) <= 120), block))
+    shown = tx.variant_tokens(F.when(block != "", block))
     shown = F.when(~F.exists(shown, lambda t: t.rlike(SPEC_LABEL)), shown)
     title = first_text(nodes, lambda n: n.tag.isin("h1", "title"))
     named = F.array_distinct(F.transform(F.regexp_extract_all(title, F.lit(_single_colors()), F.lit(0)), tx.title_case))
@@ -402,7 +419,7 @@ def variant_values(nodes: Column, full: Column, market: Market = DEFAULT_MARKET)
 
 
 def _single_colors() -> str:
-    return r"(?iU)\b(" + "|".join(c for c in TITLE_COLORS.split("|") if " " not in c) + r")\b"
+    return r"(?iU)\b(" + "|".join(c for c in TITLE_COLORS if " " not in c) + r")\b"
 
 
 def variant_fields(values: Column) -> dict[str, Column]:
@@ -415,7 +432,7 @@ def variant_fields(values: Column) -> dict[str, Column]:
 def title_color(nodes: Column) -> Column:
     """Colours named in the heading, else in the title; compound colours first."""
     title = F.coalesce(filled(first_text(nodes, lambda n: n.tag == "h1", " ")), first_text(nodes, lambda n: n.tag == "title", " "))
-    pattern = r"(?iU)\b(" + TITLE_COLORS.replace(" ", r"\s+") + r")\b"
+    pattern = r"(?iU)\b(" + "|".join(TITLE_COLORS).replace(" ", r"\s+") + r")\b"
     found = F.array_distinct(F.transform(F.regexp_extract_all(title, F.lit(pattern), F.lit(0)), tx.title_case))
     return F.coalesce(filled(F.array_join(found, ", ")), F.lit("None"))
 
@@ -471,7 +488,7 @@ def category_path(nodes: Column) -> Column:
     crumbs = F.coalesce(F.get(F.filter(by_selector, lambda t: F.size(t) > 0), F.lit(0)), F.get(plausible, F.lit(0)))
 
     def trimmed(c):
-        head = F.when(F.lower(F.get(c, F.lit(0))).isin("home"), F.slice(c, 2, 1000)).otherwise(c)
+        head = F.when(F.lower(F.get(c, F.lit(0))).isin("home"), F.slice(c, F.lit(2), F.size(c))).otherwise(c)
         return let(head, lambda h: F.when(F.length(F.try_element_at(h, F.lit(-1))) > 60, F.slice(h, F.lit(1), F.size(h) - 1)).otherwise(h))
     return filled(F.array_join(let(crumbs, trimmed), " > "))
 
@@ -501,15 +518,15 @@ def seller_name(nodes: Column, ld_seller: Column, market: Market) -> Column:
     by_class = [fit(first_text(nodes, c), [*SELLER_DENY, name]) for c in scoped]
     heads = F.filter(nodes, lambda n: n.tag.isin("h2", "h3", "h4", "b", "strong", "div", "section")
                      & text_of(nodes, n).rlike(r"(?iU)seller\s+information"))
-    below = F.transform(heads, lambda h: F.get(F.filter(F.transform(F.slice(F.filter(
-        nodes, lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & (n.ord > h.ord)), 1, 5),
+    below = F.transform(heads, lambda h: F.get(F.filter(F.transform(F.filter(
+        nodes, lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & (n.ord > h.ord)),
         lambda n: fit(text_of(nodes, n), [*SELLER_DENY_BELOW, name])), lambda t: t.isNotNull()), F.lit(0)))
     after_price = F.coalesce(*[first(nodes, c) for c in (
         lambda n: (n.tag == "span") & has(n, "-b", "-ltr", "-tal", "-fs24"), lambda n: (n.tag == "span") & has(n, "prc"),
         lambda n: (n.tag == "div") & has(n, "-prc-w"))]).getField("parent")
     nav = F.array(*[F.lit(w) for w in [*NAV_WORDS, name]])
-    linked = let(F.coalesce(after_price, F.lit(-1)), lambda p: F.slice(F.filter(
-        nodes, lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & (n.ord > p)), 1, 60))
+    linked = let(F.coalesce(after_price, F.lit(-1)), lambda p: F.filter(
+        nodes, lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & (n.ord > p)))
     slugs = F.filter(linked, lambda n: attr(n, "href").rlike(r"^/[a-z0-9][a-z0-9\-]{3,40}(?:-cod)?/$") & ~F.arrays_overlap(
         F.split(F.regexp_replace(F.regexp_replace(attr(n, "href"), "/", ""), "-cod", ""), "-"), nav))
     by_slug = F.get(F.filter(F.transform(slugs, lambda n: text_of(nodes, n)), lambda t: (t != "") & (F.length(t) <= 60)
@@ -534,7 +551,7 @@ def warranty(nodes: Column, full: Column) -> dict[str, Column]:
 
 
 def spec_texts(nodes: Column, spec: Column, model: Column, weight: Column) -> dict[str, Column]:
-    lines = F.filter(_spec_items(nodes, True), lambda t: F.contains(t, F.lit(":")) & (F.length(t) < 200))
+    lines = F.filter(_spec_items(nodes, True), lambda t: F.contains(t, F.lit(":")))
     known = [("SKU", model), ("Weight (kg)", weight), ("Main Material", spec_value(spec, "main_material")),
              ("Size (L x W H)", spec_value(spec, "size_(l_x_w_x_h_cm)"))]
 
@@ -587,7 +604,7 @@ def description(nodes: Column, base_url: str) -> Column:
     prepared = F.when(F.size(texts) > 0, texts).otherwise(F.array_distinct(images))
 
     def distinct(parts):
-        keys = F.transform(parts, lambda p: F.substring(tx.squeeze(p), 1, 120))
+        keys = F.transform(parts, lambda p: tx.squeeze(p))
         return let(keys, lambda ks: F.filter(parts, lambda p, i: F.array_position(ks, F.get(ks, i)) == i + 1))
     fallback = first_text(nodes, lambda n: (n.tag == "div") & (has(n, "-prd-desc") | class_like(n, "description")), " ")
     return F.coalesce(filled(F.array_join(let(prepared, distinct), "\n")), filled(fallback))

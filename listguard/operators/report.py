@@ -127,7 +127,7 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
             add(name, cond, F.lit(REGISTRATIONS[index[name]][3]))
     every = F.array_sort(F.concat(_from_checks(), F.array_compact(F.array(*extra))))
     out = out.withColumn("_all", every)
-    key = F.transform("_all", lambda x: F.struct(x.flag.alias("flag"), F.substring(x.message, 1, 80).alias("m")))
+    key = F.transform("_all", lambda x: F.struct(x.flag.alias("flag"), x.message.alias("m")))
     out = out.withColumn("_keys", key)
     first = F.filter("_all", lambda x, i: F.array_position(F.col("_keys"), F.get("_keys", i)) == i + 1)
     return out.withColumn("_issues", first).select(*kept, "_issues")

@@ -103,23 +103,21 @@ def fill_within(df: DataFrame, key: str, pos: str, cols: list[str], block: str |
     return local.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
 
 
-def number_rows(df: DataFrame, order: Column, unique: str, out: str, one_task: int = 1_000_000,
-                cuts: int = 1000) -> DataFrame:
+def number_rows(df: DataFrame, order: Column, unique: str, out: str, cuts: int = 1000, least: int = 1000) -> DataFrame:
     """Number the rows 1..n by ``order`` (a struct that no two rows share).
 
-    Up to ``one_task`` rows, counted here, one window does it.  Beyond that about ``cuts``
-    values of ``order``, picked by a hash of ``unique``, split the rows into ordered buckets;
-    each bucket is numbered on its own and lifted by the sizes of the buckets before it.
+    At most about ``cuts`` values of ``order``, one for ``least`` rows or more, picked by a hash of
+    ``unique``, split the rows into ordered buckets; each bucket is numbered on its own and
+    lifted by the sizes of the buckets before it.
     """
     total = df.count()
-    if total <= one_task:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(order)))
     keyed = df.withColumn("_o", order)
-    picked = keyed.where(F.pmod(F.xxhash64(unique), F.lit(max(total // cuts, 1))) == 0)
+    picked = keyed.where(F.pmod(F.xxhash64(unique), F.lit(max(total // cuts, least))) == 0)
     bounds = sorted(tuple(r["_o"]) for r in picked.select("_o").collect())
     names = [f.name for f in keyed.schema["_o"].dataType.fields]
     steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, b)]) for b in bounds])
-    keyed = keyed.withColumn("_bucket", F.size(F.filter(steps, lambda b: b <= F.col("_o"))))
+    bucket = F.size(F.filter(steps, lambda b: b <= F.col("_o"))) if bounds else F.lit(0)
+    keyed = keyed.withColumn("_bucket", bucket)
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

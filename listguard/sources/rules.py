@@ -381,5 +381,6 @@ def weighted_keywords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def learned_names(corrections: DataFrame) -> DataFrame:
-    """Last corrected category per name."""
-    return corrections.groupBy("name").agg(F.max_by("category", "id").alias("category"))
+    """Last corrected category per name, by id and, where the table has it, place in the batch."""
+    order = F.struct("id", *[c for c in ("pos",) if c in corrections.columns])
+    return corrections.groupBy("name").agg(F.max_by("category", order).alias("category"))

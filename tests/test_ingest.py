@@ -36,11 +36,11 @@ def test_attach_group_keeps_every_row(spark, hot):
     assert len(out) == 60 and all(r.first == (1 if r.k == "a" else r.i) for r in out)
 
 
-@pytest.mark.parametrize("one_task", [10, 1_000_000])
-def test_number_rows(spark, one_task):
+@pytest.mark.parametrize("least", [10, 1_000_000])
+def test_number_rows(spark, least):
     df = spark.range(3000).select(F.concat(F.lit("s"), F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
     order = F.struct((-F.col("v")).alias("a"), F.col("k").alias("b"))
-    got = skew.number_rows(df, order, "k", "rank", one_task, cuts=20).orderBy("rank").collect()
+    got = skew.number_rows(df, order, "k", "rank", cuts=20, least=least).orderBy("rank").collect()
     assert [r.rank for r in got] == list(range(1, 3001))
     assert [(r.v, r.k) for r in got] == sorted(((r.v, r.k) for r in got), key=lambda x: (-x[0], x[1]))
 
