@@ -15,7 +15,7 @@ from listguard.functions import text as tx
 from listguard.functions.prices import listing_price
 from listguard.operators import keywords as kw
 from listguard.operators.skew import HOT_ROWS, attach_group, columns, small
-from listguard.sources.rules import FLAG_ORDER, FLAGS, ROLES, SELLER_KINDS, RuleBook, literal_rows
+from listguard.sources.rules import FLAG_ORDER, FLAGS, ROLES, SELLER_KINDS, RuleBook
 
 # Placeholder brands of the perfume check.
 PERFUME_PLACEHOLDERS = ["designers collection", "smart collection", "generic", "original", "fashion"]
@@ -179,17 +179,6 @@ def _tester(r):
             F.concat(F.lit("Perfume tester listed for sale: "), r.name_raw))
 
 
-def _sneakers(r):
-    brands = r.rules.short_lists.get("sneaker_brand", [])
-    if brands is None:
-        brands = [x.word for x in literal_rows(r.rules.words("sneaker_brand"))]
-    if not brands or not r.has_role("sneaker"):
-        return None
-    listed = F.array(*[F.lit(b) for b in sorted(brands)])
-    return (r.role("sneaker") & r.brand.isin("generic", "fashion")
-            & tx.let(r.name, lambda n: F.exists(listed, lambda b: F.contains(n, b))), None)
-
-
 def _jerseys(r):
     pattern = r.patterns.get("jersey")
     if pattern is None or not r.has_role("jersey"):
@@ -284,21 +273,6 @@ def _gift(r):
             F.concat(F.lit("Seller not authorised for Gift Card categories: "), r.seller_raw))
 
 
-def _ng_books(r):
-    rules = sorted(literal_rows(r.rules.table("ng_book")), key=lambda x: (x.rule_order, x.title))
-    if not rules:
-        return None
-    listed = F.array(*[F.struct(F.lit(x.title).alias("title"), F.lit(x.seller).cast("string").alias("seller"))
-                       for x in rules])
-    first = tx.let(r.name, lambda n: F.get(F.filter(listed, lambda b: F.contains(n, b.title)), F.lit(0)))
-    title, allowed = first.getField("title"), first.getField("seller")
-    detail = F.when(allowed.isNull(), F.concat(F.lit("No seller authorised for book: '"),
-                                               title, F.lit("'"))
-                    ).otherwise(F.concat(F.lit("Only '"), allowed, F.lit("' may sell '"),
-                                         title, F.lit("'")))
-    return title.isNotNull() & (allowed.isNull() | (r.seller != allowed)), detail
-
-
 def _ng_tvs(r):
     if not r.has_role("ng_tv"):
         return None
@@ -338,7 +312,7 @@ def _ng_rice(r):
 
 
 def _ng_power(r):
-    brands = sorted(x.brand for x in literal_rows(r.rules.table("ng_power_brand")))
+    brands = sorted({x.brand for x in r.rules.table("ng_power_brand").collect()})  # every detail names them all
     if not brands:
         return None
     sizes = F.regexp_extract_all(r.name_raw, F.lit(CAPACITY), F.lit(1))
@@ -357,7 +331,6 @@ ROW_CHECKS = {
     "Seller Approve to sell books": _books,
     "Seller Approved to Sell Perfume": _perfume,
     "Perfume Tester": _tester,
-    "Counterfeit Sneakers": _sneakers,
     "Suspected counterfeit Jerseys": _jerseys,
     "Unnecessary words in NAME": _unnecessary,
     "Single-word NAME": _single_word,
@@ -369,7 +342,6 @@ ROW_CHECKS = {
     "Missing Weight/Volume": _weight,
     "Incomplete Smartphone Name": _smartphone,
     "NG - Gift Card Seller": _gift,
-    "NG - Books Seller": _ng_books,
     "NG - TV Brand Seller": _ng_tvs,
     "NG - HP Toners Seller": _ng_toners,
     "NG - Apple Seller": _ng_apple,
@@ -469,6 +441,30 @@ def duplicate_hits(df: DataFrame, rules: RuleBook, pos: str, hot_rows: int = HOT
                                                     F.lit("'")).alias("detail"))
 
 
+def sneaker_hits(df: DataFrame, rules: RuleBook) -> DataFrame:
+    """``PRODUCT_SET_SID, detail`` of unbranded sneakers whose name holds a listed brand."""
+    codes = (rules.table("category_role").where("role = 'sneaker'").select(tx.clean_code(F.col("code")).alias("_sc"))
+             .distinct())
+    rows = (df.where(tx.lower_key(F.col("BRAND")).isin("generic", "fashion"))
+            .join(codes, tx.clean_code(F.col("CATEGORY_CODE")) == F.col("_sc"), "left_semi"))
+    probe = rows.select("PRODUCT_SET_SID", tx.lower_key(F.col("NAME")).alias("text"))
+    found = kw.containing(probe, rules.words("sneaker_brand"), "word")
+    return found.groupBy("PRODUCT_SET_SID").agg(F.lit(None).cast("string").alias("detail"))
+
+
+def book_hits(df: DataFrame, books: DataFrame) -> DataFrame:
+    """``PRODUCT_SET_SID, detail`` of names whose first listed title the seller may not sell."""
+    probe = df.select("PRODUCT_SET_SID", tx.lower_key(F.col("NAME")).alias("text"),
+                      tx.lower_key(F.col("SELLER_NAME")).alias("s"))
+    first = (kw.containing(probe, books, "title").groupBy("PRODUCT_SET_SID")
+             .agg(F.min(F.struct("rule_order", "title", F.col("seller").cast("string").alias("allowed"), "s")).alias("b"))
+             .select("PRODUCT_SET_SID", "b.*"))
+    detail = F.when(F.col("allowed").isNull(), F.concat(F.lit("No seller authorised for book: '"), "title", F.lit("'"))
+                    ).otherwise(F.concat(F.lit("Only '"), "allowed", F.lit("' may sell '"), "title", F.lit("'")))
+    return (first.where(F.col("allowed").isNull() | (F.col("s") != F.col("allowed")))
+            .select("PRODUCT_SET_SID", detail.alias("detail")))
+
+
 def _joined_hits(df: DataFrame, rules: RuleBook, wanted: set, pos: str, predict, hot_rows: int) -> list:
     """(flag, hits) of the checks that need more than the row; each reads ``df`` on its own."""
     hits = []
@@ -489,6 +485,10 @@ def _joined_hits(df: DataFrame, rules: RuleBook, wanted: set, pos: str, predict,
             detail = F.concat(F.lit("Detected Brand: "), tx.title_case(F.col("brand")))
             hits.append(("Generic branded products with genuine brands",
                          found.select("PRODUCT_SET_SID", detail.alias("detail"))))
+    if "Counterfeit Sneakers" in wanted and "sneaker" in rules.roles_present:
+        hits.append(("Counterfeit Sneakers", sneaker_hits(df, rules)))
+    if "NG - Books Seller" in wanted and "ng_book" in rules.tables:
+        hits.append(("NG - Books Seller", book_hits(df, rules.table("ng_book"))))
     if "Duplicate product" in wanted:
         hits.append(("Duplicate product", duplicate_hits(df, rules, pos, hot_rows)))
     return hits
