@@ -10,6 +10,7 @@ from listguard.functions import text as tx
 from listguard.functions.prices import discount_text, price_text
 from listguard.functions.urls import base_sku, country_from_url, last_slug, official_pattern, sku_from_url
 from listguard.market import DEFAULT_MARKET, Market
+from listguard.operators import keywords as kw
 from listguard.operators.skew import HOT_ROWS, attach_group, columns, first_per_key, map_distinct, small
 
 ADVISORY = {
@@ -84,23 +85,13 @@ def category_indexes(category_map: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return by_path, by_name, by_part
 
 
-def _substrings(c: Column, shortest: int) -> Column:
-    """Distinct pieces of ``c`` of at least ``shortest`` characters."""
-    def every(t: Column) -> Column:
-        n = F.length(t)
-        pieces = F.flatten(F.transform(F.sequence(F.lit(1), n - (shortest - 1)), lambda i: F.transform(
-            F.sequence(F.lit(shortest), n - i + 1), lambda k: F.substr(t, i, k))))
-        return F.array_distinct(F.when(n >= shortest, pieces).otherwise(F.array().cast("array<string>")))
-    return tx.let(c, every)
-
-
 def resolve_category(df: DataFrame, category_map: DataFrame) -> DataFrame:
     """Fill ``CATEGORY_CODE`` in three steps, keeping the existing value when all fail.
 
     1. the whole path; 2. segment names from the right; 3. segments from the right whose
     letters and digits contain, or are contained in, those of a known name: the longest such
     name of three characters or more wins.  Step 3 runs on distinct unresolved segments only
-    and compares substrings by equality, so it needs no nested loop.
+    and finds containing texts by three shared characters, so it needs no nested loop.
     """
     if "CATEGORY_CODE" not in df.columns:
         df = df.withColumn("CATEGORY_CODE", F.lit(""))
@@ -127,10 +118,10 @@ def resolve_category(df: DataFrame, category_map: DataFrame) -> DataFrame:
                                                (-F.col("first._i")).alias("d")).alias("rank")))
         best = keys.groupBy("kn").agg(F.max_by("code", "rank").alias("code"), F.max("rank").alias("rank"))
         wanted = left.select("sn").distinct()
-        inside = (wanted.select("sn", F.explode(_substrings(F.col("sn"), 3)).alias("kn"))
-                  .join(small(best, exact=True), "kn").select("sn", "code", "rank"))
-        around = (best.select("code", "rank", F.explode(_substrings(F.col("kn"), 1)).alias("sn"))
-                  .join(wanted, "sn").select("sn", "code", "rank"))
+        inside = (kw.containing(wanted.select(F.col("sn").alias("text")), best, "kn", shortest=3)
+                  .select(F.col("text").alias("sn"), "code", "rank"))
+        around = (kw.containing(best.select("code", "rank", F.col("kn").alias("text")), wanted, "sn")
+                  .select("sn", "code", "rank"))
         hits = inside.unionByName(around).groupBy("sn").agg(F.max_by("code", "rank").alias("code"))
         stage3 = (left.join(hits, "sn").groupBy("CATEGORY").agg(F.max_by("code", "_i").alias("_c3")))
         return stage2.join(stage3, "CATEGORY", "left").select(

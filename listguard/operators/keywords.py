@@ -74,12 +74,12 @@ def every_match(text: Column, pattern: Column) -> Column:
     return F.regexp_extract_all(text, pattern, F.lit(0))
 
 
-def containing(df: DataFrame, rules: DataFrame, column: str, text: str = "text") -> DataFrame:
+def containing(df: DataFrame, rules: DataFrame, column: str, text: str = "text", shortest: int = 1) -> DataFrame:
     """Rows of ``df`` with each rule whose ``column`` occurs in ``text``; no pair without a shared key is tested.
 
     Each rule is found by three neighbouring characters of its own (shorter rules by themselves), which every
     text that holds it has too; the hash picks them, so that rules spread over keys. Empty rules
-    never match.
+    never match; no rule is shorter than ``shortest``.
     """
     def grams(c: Column, n) -> Column:
         starts = F.sequence(F.lit(1), F.length(c) - F.lit(n) + 1)
@@ -90,10 +90,7 @@ def containing(df: DataFrame, rules: DataFrame, column: str, text: str = "text")
     picked = F.element_at(F.array_sort(F.transform(grams(own, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1)
     keyed = rules.where(F.length(own) > 0).withColumn(
         "_key", F.when(F.length(own) >= 3, picked.getField("g")).otherwise(own))
-    lengths = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]
-    if not lengths:
-        lengths = [3]
-    keys = F.concat(*[grams(F.col(text), n) for n in sorted(lengths)])
+    keys = F.concat(*[grams(F.col(text), n) for n in range(min(shortest, 3), 4)])
     return (df.withColumn("_key", F.explode(keys)).join(keyed, "_key")
             .where(F.contains(F.col(text), own)).drop("_key"))
 
