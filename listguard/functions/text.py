@@ -72,15 +72,6 @@ def word_pattern(words) -> str:
     return "(?iU)(" + "|".join(rf"\b{quote(w)}\b" for w in sorted(words, key=len, reverse=True)) + ")"
 
 
-def grouped_word_pattern(words) -> str:
-    return rf"(?iU)\b({alternation(words)})\b"
-
-
-def bounded_pattern(words) -> str:
-    """Any of ``words`` neither preceded nor followed by a word character."""
-    return rf"(?iU)(?<!\w)({alternation(words)})(?!\w)"
-
-
 def as_text(c: Column) -> Column:
     """A missing value reads as the word ``nan``, as the checks expect."""
     return F.coalesce(c.cast("string"), F.lit("nan"))

@@ -364,7 +364,6 @@ _SELLER_CHECKS = {"Seller Not approved to sell Refurb", "Seller Approve to sell
 
 
 def _pattern_specs(rules: RuleBook, wanted: set) -> list:
-    # Texts as the source table has them: a long list is joined there.
     name, brand = tx.as_text(F.col("NAME")), tx.as_text(F.col("BRAND"))
     specs = []
     if "Seller Not approved to sell Refurb" in wanted:
@@ -477,7 +476,7 @@ def _joined_hits(df: DataFrame, rules: RuleBook, wanted: set, pos: str, predict,
         hits.append(("Prohibited products", kw.prohibited_hits(df, rules.for_country("prohibited"))))
     if "Generic branded products with genuine brands" in wanted:
         brands = rules.words("known_brand")
-        if rules.short_lists.get("known_brand", []) != []:
+        if "word_list" in rules.tables:
             generic = df.where(tx.lower_key(F.col("BRAND")) == "generic")
             if "CATEGORY" in df.columns:
                 generic = generic.where(~F.lower(tx.as_text(F.col("CATEGORY"))).rlike(COVER_WORDS))
@@ -513,10 +512,7 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
     wanted = set(flags)
     row = Row(rules, df.columns)
     looked = row.add(look_up(df, rules, wanted, use_paths))
-    for name, words, text, style in _pattern_specs(rules, wanted):
-        listed = "perfume" if name == "perfume_brand" else name
-        looked, row.patterns[name] = kw.attach_pattern(looked, words, text, f"_pat_{name}", style, source=df,
-                                                       short=rules.short_lists.get(listed, []))
+    looked, row.patterns = kw.attach_patterns(looked, _pattern_specs(rules, wanted), source=df)
     row_checks = {**ROW_CHECKS, **(AUDIT_CHECKS if published else {})}
     if predict is None:
         row_checks["Wrong Category"] = _miscellaneous
@@ -557,8 +553,8 @@ def contains_miscellaneous(df: DataFrame) -> DataFrame:
 
 def highlighted_words(df: DataFrame, rules: RuleBook, listed: str = "unnecessary") -> DataFrame:
     """Names with every word of the list marked."""
-    out, pattern = kw.attach_pattern(df, rules.words(listed), tx.as_text(F.col("NAME")), "_pat", "each",
-                                     short=rules.short_lists.get(listed, []))
+    out, patterns = kw.attach_patterns(df, [(listed, rules.words(listed), tx.as_text(F.col("NAME")), "each")])
+    pattern = patterns[listed]
     if pattern is None:
         return df.limit(0).select("PRODUCT_SET_SID", "NAME")
     return (out.where(kw.hit(tx.lower_key(F.col("NAME")), pattern))

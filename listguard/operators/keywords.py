@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listguard.functions import text as tx
-from listguard.operators.skew import BROADCAST_ROWS
+from listguard.operators.skew import BROADCAST_ROWS, small
 
-STYLES = {
-    "each": lambda words: tx.word_pattern(words),
-    "group": lambda words: tx.grouped_word_pattern(words),
-    "bounded": lambda words: tx.bounded_pattern(words),
-}
+# Marks the key of a word without word characters: its first character.
+SIGN = "\u0001"
 
 
 def word_key(word: Column) -> Column:
-    """The word sequence of a keyword; empty for a keyword without word characters."""
-    return F.array_join(tx.word_tokens(word), " ")
+    """The word sequence of a keyword; for a keyword without word characters its marked first character."""
+    key = F.array_join(tx.word_tokens(word), " ")
+    return F.when(key != "", key).otherwise(F.concat(F.lit(SIGN), F.substr(word, F.lit(1), F.lit(1))))
 
 
 def keyed_rules(rules: DataFrame, column: str = "_key") -> tuple[DataFrame, int]:
@@ -27,38 +25,52 @@ def keyed_rules(rules: DataFrame, column: str = "_key") -> tuple[DataFrame, int]
 
 
 def text_keys(text: Column, longest: int) -> Column:
-    """Every word sequence of the text, and the empty key that joins wordless keywords."""
-    return F.array_union(tx.ngrams(tx.word_tokens(text), longest), F.array(F.lit("")))
+    """Every word sequence of the text, and its other characters marked, which find wordless keywords."""
+    signs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)([^\w\s])"), F.lit(1)))
+    return F.concat(tx.ngrams(tx.word_tokens(text), longest), F.transform(signs, lambda c: F.concat(F.lit(SIGN), c)))
 
 
 def row_pattern(words: Column, style: str) -> Column:
-    """Pattern of one row's own candidate words, longest first."""
+    """Pattern of one row's own candidate words, longest first; null without any."""
     ordered = F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b),
                                                       F.length(b) - F.length(a))
                            .when(a < b, -1).when(a > b, 1).otherwise(0))
     quoted = F.transform(ordered, tx.quote_col)
-    if style == "each":
-        return F.concat(F.lit(r"(?iU)(\b"), F.array_join(quoted, r"\b|\b"), F.lit(r"\b)"))
-    if style == "group":
-        return F.concat(F.lit(r"(?iU)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
-    return F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(quoted, "|"), F.lit(r")(?!\w)"))
+    before, between, after = {"each": (r"(?iU)(\b", r"\b|\b", r"\b)"), "group": (r"(?iU)\b(", "|", r")\b"),
+                              "bounded": (r"(?iU)(?<!\w)(", "|", r")(?!\w)")}[style]
+    return F.when(F.size(words) > 0, F.concat(F.lit(before), F.array_join(quoted, between), F.lit(after)))
 
 
-def attach_pattern(df: DataFrame, words: DataFrame, text: Column, out: str, style: str,
-                   row_id: str = "PRODUCT_SET_SID", short: list | None = None,
-                   source: DataFrame | None = None) -> tuple[DataFrame, Column | None]:
-    """Column holding the pattern to try on each row, or None for an empty word list.
+def attach_patterns(df: DataFrame, lists: list[tuple], row_id: str = "PRODUCT_SET_SID",
+                    source: DataFrame | None = None) -> tuple[DataFrame, dict[str, Column | None]]:
+    """Per word list the column with the pattern to try on each row, None for an empty list.
 
-    A short list, given as ``short``, is one literal.  A long one is joined on word sequences
-    by row, so each row only tries the few words whose sequence it contains; ``source`` is the
-    table to take the texts from when ``df`` is already the result of joins.
+    ``lists`` has (name, words, text, style).  All lists, whatever their length, are joined at once on word
+    sequences by row, so each row only tries the few words whose sequence its text contains; ``source`` is
+    the table to take the texts from when ``df`` is already the result of joins.
     """
-    if short is not None:
-        return df, (F.lit(STYLES[style](sorted(short))) if short else None)
-    keyed, longest = keyed_rules(words.select("word", word_key(F.col("word")).alias("_key")))
-    keys = (df if source is None else source).select(row_id, F.explode(text_keys(text, longest)).alias("_key"))
-    found = (keys.join(keyed, "_key").groupBy(row_id).agg(row_pattern(F.collect_set("word"), style).alias(out)))
-    return df.join(found, row_id, "left"), F.col(out)
+    texts = list({str(text): text for _, _, text, _ in lists}.items())
+    of = {name: i for name, _, text, _ in lists for i, (key, _) in enumerate(texts) if key == str(text)}
+    rules = None
+    for name, words, _, _ in lists:
+        some = words.select(F.lit(name).alias("list"), F.lit(of[name]).alias("src"), "word",
+                            word_key(F.col("word")).alias("_key"))
+        rules = some if rules is None else rules.unionByName(some)
+    sizes = ({r[0]: r[1] for r in rules.groupBy("list").agg(F.max(F.size(F.split("_key", " ")))).collect()}
+             if rules is not None else {})
+    if not sizes:
+        return df, {name: None for name, *_ in lists}
+    longest = max(sizes.values())
+
+    def sourced(src: int, text: Column) -> Column:
+        return F.transform(text_keys(text, longest), lambda k: F.struct(F.lit(src).alias("src"), k.alias("_key")))
+
+    keys = F.concat(*[sourced(i, text) for i, (_, text) in enumerate(texts)])
+    met = (df if source is None else source).select(row_id, F.inline(keys)).join(small(rules), ["src", "_key"])
+    found = met.groupBy(row_id).agg(*[
+        row_pattern(F.collect_set(F.when(F.col("list") == name, F.col("word"))), style).alias(f"_pat_{name}")
+        for name, _, _, style in lists if name in sizes])
+    return df.join(found, row_id, "left"), {name: F.col(f"_pat_{name}") if name in sizes else None for name, *_ in lists}
 
 
 def hit(text: Column, pattern: Column) -> Column:

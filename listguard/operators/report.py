@@ -104,8 +104,9 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
 
     def add(name, cond, message):
         extra.append(F.when(cond, _issue(index[name], message)))
-    out, pattern = kw.attach_pattern(out, rules.words("blacklist"), tx.as_text(F.col("NAME")), "_black", "each",
-                                     short=rules.short_lists.get("blacklist", []), source=df)
+    out, patterns = kw.attach_patterns(
+        out, [("blacklist", rules.words("blacklist"), tx.as_text(F.col("NAME")), "each")], source=df)
+    pattern = patterns["blacklist"]
     if pattern is not None:
         name = tx.as_text(F.col("NAME"))
         add("#blacklist", kw.hit(tx.lower_key(F.col("NAME")), pattern), unnecessary_detail(name, pattern))

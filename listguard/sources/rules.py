@@ -16,9 +16,6 @@ from listguard.functions import text as tx
 from listguard.market import COUNTRY_SKIPS, DEFAULT_MARKET, Market
 from listguard.operators.skew import first_per_key
 
-# Lists up to this many words become one regular expression; longer ones are joined.
-LITERAL_WORDS = 64
-
 ROLES = ["fashion", "sneaker", "weight", "warranty", "variation", "smartphone",
          "duplicate_exempt", "color", "book", "perfume", "jersey", "phone", "laptop",
          "ng_gift", "ng_tv", "ng_hp", "ng_power"]
@@ -186,20 +183,6 @@ class RuleBook:
         return (self.table("keyword_rule").where((F.col("kind") != "jersey") | (F.col("country") == self.country))
                 .select(F.col("kind").alias("list"), F.lower("keyword").alias("word")))
 
-    @cached_property
-    def short_lists(self) -> dict:
-        """Words of every list short enough to be a literal, None for a longer one; one job each."""
-        out = {}
-        for table in ("word_list", "keyword_rule"):
-            if table not in self.tables:
-                continue
-            rows = (self._keyword_table() if table == "keyword_rule"
-                    else self.table("word_list").select("list", F.lower("word").alias("word")))
-            sizes = rows.groupBy("list").agg(F.collect_set("word").alias("w")).select(
-                "list", F.when(F.size("w") <= LITERAL_WORDS, F.col("w")).alias("w"))
-            out.update({r["list"]: r["w"] for r in sizes.collect()})
-        return out
-
     def skipped(self) -> set:
         if "country_skip" in self.tables:
             return {r.flag for r in self.for_country("country_skip").limit(len(FLAGS)).collect()}
