@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 
 def components(links: DataFrame) -> DataFrame:

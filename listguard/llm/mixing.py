@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listguard.llm.rows import WORD, keyed, uniform, unpacked, without
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 #: Fractions that one reduction node takes on average, and copies of each source line for its join.
 FAN_IN = 128

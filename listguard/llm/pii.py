@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from listguard.llm import spans
 from listguard.llm.batches import small_batches
 from listguard.llm.rows import quoted
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 BASE = ["email", "ip", "card", "phone"]
 #: Label 0 is no entity. Spans that the field adds have kinds of their own.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 #: Characters between words, and the words themselves.
 WORD = r"[^\x20\x09-\x0D]+"

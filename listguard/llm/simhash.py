@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from listguard.llm.batches import small_batches
 from listguard.llm.graph import Stars, components
 from listguard.llm.rows import quoted, row_hash, unpacked, without
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 SEED = 42
 #: Shingles hashed at a time, and rows of a signature's group that meet in one cell per side.
 SHINGLES = 1 << 15
 CELL = 1024
 #: Shingle hashes in a sketch, and the like of CELL for groups whose sketches are compared.
-SKETCH = 128
+SKETCH = 256
 MATCHES = 256
+#: Shared hashes of a cell compared at a time.
+COLUMNS = 8192
 #: Slots that signatures are counted in, as powers of two: one for about 256 signatures, within these bounds.
 SLOT_BITS = (18, 22)
 
@@ -71,10 +73,28 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.unique(np.ascontiguousarray(hashes[:, 4:8]).view(np.uint32).ravel())[:SKETCH].tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets by their sketches; exact for sets of SKETCH shingles in all."""
-    union = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True)) / max(1, len(union))
+def similarities(sketches: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of all pairs of shingle sets by their sketches; exact for sets below SKETCH.
+
+    A full sketch knows its set up to its largest hash, any other its whole set, so two sets are compared
+    up to the smaller of both limits: common hashes by products of 0/1 rows, sizes by binary search.
+    """
+    n = len(sketches)
+    limit = np.array([x[-1] if len(x) == SKETCH else np.iinfo(np.uint32).max for x in sketches], dtype=np.uint32)
+    below = np.array([np.searchsorted(x, limit, side="right") for x in sketches], dtype=np.float32)
+    values, at = np.unique(np.concatenate(sketches), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sketches])
+    shared = np.flatnonzero(np.bincount(at, minlength=len(values)) > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    both = np.zeros((n, n), dtype=np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        some = (column >= low) & (column < low + COLUMNS)
+        has = np.zeros((n, min(COLUMNS, len(shared) - low)), dtype=np.float32)
+        has[row[some], column[some] - low] = 1
+        both += has @ has.T
+    return both / np.maximum(below + below.T - both, 1)
 
 
 def with_prints(df: DataFrame, text: str, width: int, bits: int, repeats: bool) -> DataFrame:
@@ -173,32 +193,18 @@ def cell_links(batches: Iterator[pa.RecordBatch], bits: int, distance: int) -> I
 
 
 def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Of each candidate group's cells, links of ``least`` similarity that connect what such links connect.
-
-    Pairs go by distance; pairs that are connected already need no look at their sketches.
-    """
+    """Of each candidate group's cells, links that connect what pairs of ``least`` similarity connect."""
     for table, starts in whole_cells(batches, ["root", "cell"]):
-        column, links = table["fp"].combine_chunks(), ([], [])
+        column, stars = table["fp"].combine_chunks(), Stars(table.num_rows)
         words = print_rows(column, bits)
         sketches = [np.frombuffer(x, dtype=np.uint32) for x in table["sketch"].to_pylist()]
         for low, high in zip(starts, [*starts[1:], table.num_rows]):
-            parent = list(range(high - low))
-
-            def find(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
             some = words[low:high]
             apart = np.array([np.bitwise_count(some ^ row).sum(axis=1, dtype=np.int16) for row in some])
-            i, j = np.nonzero(np.triu(apart <= distance, 1))
-            order = np.argsort(apart[i, j], kind="stable")
-            for x, y in zip(i[order].tolist(), j[order].tolist()):
-                if find(x) != find(y) and similarity(sketches[low + x], sketches[low + y]) >= least:
-                    parent[find(y)] = find(x)
-                    links[0].append(low + x), links[1].append(low + y)
-        yield pa.RecordBatch.from_arrays([column.take(pa.array(x, pa.int64())) for x in links], names=["a", "b"])
+            i, j = np.nonzero(np.triu((apart <= distance) & (similarities(sketches[low:high]) >= least), 1))
+            stars.add(low + i, low + j)
+        a, b = stars.links()
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(x)) for x in (a, b)], names=["a", "b"])
 
 
 def in_cells(rows: DataFrame, key: str, parts, *columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from listguard.llm.rows import quoted
 from listguard.llm.vectors import matrix, sampled, spread_sample, usable
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 #: Top nodes of the data tree, and the vectors that they are picked from (by hash).
 TOP = 32

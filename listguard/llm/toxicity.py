@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from listguard.llm.batches import small_batches
 from listguard.llm.rows import quoted
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 WORDS = re.compile(r"\w+")
 #: Letters of an expression, and the longest one whose counts both classes share.

@@ -108,6 +108,19 @@ def test_similarity_is_checked(spark):
     assert found == {0: 0, 1: 1, 2: 0}
 
 
+def test_similarities_of_sketches(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 2**32, 4000, dtype=np.uint32)
+    sets = [np.unique(rng.choice(pool[:900], size)) for size in (0, 5, 100, 200, 200, 250)]
+    sets += [np.unique(pool[:3000]), np.unique(pool[300:3300])]
+    got = simhash.similarities([s[:simhash.SKETCH] for s in sets])
+    for a in range(len(sets)):
+        for b in range(a):
+            exact = len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b])))
+            assert abs(got[a, b] - exact) < (0.1 if max(a, b) > 5 else 1e-6)
+
+
 def test_simhash_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (None, "lonely words")],
                                  "doc_id long, text string")
