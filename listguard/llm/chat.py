@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listguard.llm.rows import row_hash
-from listguard.session import stage
+from listguard.llm.scratch import stage
 
 #: Turns in one row of rendered text.
 TURNS_PER_PART = 256
@@ -22,22 +22,19 @@ def _rendered(role: Column, text: Column) -> Column:
 def turn_prefixes(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """(conv_id, role, text) with ``pos`` (from 0), ``turns`` and the rolling hash (``p1``, ``p2``) of turns 0 to pos.
 
-    Turns go by number, then role, then text, nulls first. Rows are dealt by ranges of that order, so a
-    conversation of any length spreads over tasks; positions and rolling sums are taken within each
-    range and moved on by the totals of the ranges before. The hash is a sum of hashes of
+    Turns go by number, nulls first, and turns of one number by a hash of role and text, so the order
+    is the same for equal turns. Rows are dealt by ranges of that order, so a conversation of any length
+    spreads over tasks; positions and rolling sums are taken within each range and moved on by the totals
+    of the ranges before. The hash is a sum of hashes of
     (position, role, text), so it rolls on without a look at earlier turns.
     """
     packed = turns.select("conv_id", "turn", "role", "text", row_hash(turns.select("role", "text")).alias("__tie"),
                           F.monotonically_increasing_id().alias("__at"))
-    order = ["conv_id", "turn", "role", "text", "__tie", "__at"]
-    spark = turns.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stage(packed.repartitionByRange(n, "conv_id", "turn", "__tie", "__at")
                   .withColumn("__range", F.spark_partition_id()), "turns")
-    # Within equal turn numbers the order is by the hash of role and text: the same for equal turns.
-    order = ["turn", "__tie", "__at"]
     keys = ["conv_id", "__range"]
-    inside = Window.partitionBy(*keys).orderBy(*order)
+    inside = Window.partitionBy(*keys).orderBy("turn", "__tie", "__at")
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
     whole = Window.partitionBy("conv_id")
     earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
