@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import add
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ from tokenizers import Tokenizer
 from listguard.llm.batches import small_batches
 
 #: Entries that one task remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 WORD_END = "</w>"
 #: Texts that normalise by lower case alone and whose words the plain pattern finds.
 CHUNK = re.compile(r"[^\t-\r ]+")
@@ -45,7 +48,10 @@ class Fragments(dict):
         words = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         words = words.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9")
         self.words = re.compile(words)
-        self.encoded: dict[tuple[str, bool], bytes] = {}
+        plain = [c for c in map(chr, range(256)) if PLAIN.fullmatch(c)]
+        spelled = [self.library.pre_tokenizer.pre_tokenize_str(c) for c in plain]
+        self.signs = {c: found[0][0] for c, found in zip(plain, spelled) if found}
+        self.inner: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """The packed ids of a whole text."""
@@ -69,29 +75,34 @@ class Fragments(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        written = word if word.isascii() and word.isalnum() else self.library.pre_tokenizer.pre_tokenize_str(word)[0][0]
-        known = self[word] = self._cut(written)
+        known = self[word] = self._cut(word if word.isascii() and word.isalnum() else self._written(word))
         return known
 
-    def _cut(self, word: str) -> bytes:
-        inside, start, out = self.inside, 0, []
-        for i in range(1, len(word)):
-            if word[i - 1:i + 1] not in inside:
-                out.append(self._fragment(word[start:i], False))
-                start = i
-        out.append(self._fragment(word[start:], True))
-        return b"".join(out)
+    def _written(self, word: str) -> str:
+        """The word's bytes as the vocabulary writes them."""
+        return "".join([self.signs[c] for c in word])
 
-    def _fragment(self, fragment: str, last: bool) -> bytes:
-        known = self.encoded.get((fragment, last))
+    def _cut(self, word: str) -> bytes:
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in inside]
+        if not cuts:
+            return self._encoded(word, True)
+        parts = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+        return b"".join([*(self._fragment(part) for part in parts[:-1]), self._encoded(parts[-1], True)])
+
+    def _fragment(self, fragment: str) -> bytes:
+        """Ids of a fragment that does not end its word; these are few and come again and again."""
+        known = self.inner.get(fragment)
         if known is None:
-            if len(self.encoded) >= REMEMBERED:
-                self.encoded.clear()
-            symbols = self._merged([*fragment[:-1], fragment[-1] + WORD_END * last])
-            known = np.array([self.vocabulary[s] for s in symbols], dtype="<u4").tobytes()
-            self.encoded[fragment, last] = known
+            if len(self.inner) >= REMEMBERED:
+                self.inner.clear()
+            known = self.inner[fragment] = self._encoded(fragment, False)
         return known
 
+    def _encoded(self, fragment: str, last: bool) -> bytes:
+        symbols = self._merged([*fragment[:-1], fragment[-1] + WORD_END * last])
+        return pack(f"<{len(symbols)}I", *map(self.vocabulary.__getitem__, symbols))
+
     def _merged(self, symbols: list[str]) -> list[str]:
         """The lowest merge first, the leftmost of equals, until none applies."""
         rank, none = self.rank, len(self.rank)
@@ -107,6 +118,12 @@ class Fragments(dict):
         return symbols
 
 
+@lru_cache(maxsize=2)
+def fragments(source: str) -> Fragments:
+    """One for a Python worker: what a task has encoded helps the next."""
+    return Fragments(source)
+
+
 def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary file at ``path`` on the driver, for all executors. Its size is fixed (about 2 MB)."""
     with open(path, encoding="utf-8") as file:
@@ -125,7 +142,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Fragments(source.value)
+        known = fragments(source.value)
         for batch in batches:
             yield pa.array([known.ids(t or "") for t in batch.to_pylist()], pa.binary())
 
