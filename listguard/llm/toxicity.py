@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listguard.llm.batches import small_batches
@@ -22,10 +23,13 @@ SHARED = 2
 #: Probability of an unseen letter, and the range of discounts.
 UNSEEN = 1e-4
 DISCOUNTS = (0.1, 0.95)
-#: Slots of the model that tasks hold: twice its expressions, within these powers of two (24 bytes a slot).
-SLOT_BITS = (16, 21)
-#: Words whose scores a task remembers, and labelled documents that the two weights are fitted on.
+CLASSES = ("ordinary", "toxic")
+#: The most frequent words, of at most LONG letters, whose scores tasks hold; all others get theirs by a join.
 REMEMBERED = 200_000
+LONG = 64
+#: Words taken apart together.
+GATHERED = 8192
+#: Labelled documents that the two weights are fitted on.
 CALIBRATION_ROWS = 20_000
 #: Words that count as the worst of a document.
 WORST = 3
@@ -122,105 +126,138 @@ def count_tables(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     return each, contexts
 
 
-class Model:
-    """Counts in slots by hash, and the log-likelihood ratio of words. The slots' number is bounded."""
-
-    def __init__(self, bits: int, discounts: np.ndarray) -> None:
-        self.shift = np.uint64(64 - bits)
-        self.discounts = discounts
-        self.count = np.zeros((2, 1 << bits), np.float32)
-        self.total = np.zeros((2, 1 << bits), np.float32)
-        self.kinds = np.zeros((2, 1 << bits), np.float32)
-
-    def slot(self, hashed: np.ndarray) -> np.ndarray:
-        return ((hashed * MIX) >> self.shift).astype(np.int64)
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word."""
-        if not words:
-            return np.zeros(0)
-        letters = Letters(words)
-        hashed = [np.zeros(len(letters.codes), np.uint64), *map(letters.hashes, range(1, ORDER + 1))]
-        inner = letters.place >= 1
-        p = np.full((2, len(letters.codes)), UNSEEN)
-        for k in range(1, ORDER + 1):
-            at = np.flatnonzero(inner & (letters.place >= k - 1))
-            g = self.slot(hashed[k][at])
-            context = self.slot(hashed[k - 1][at - 1] if k > 1 else np.zeros(len(at), np.uint64))
-            for c in (0, 1):
-                n, total, kinds, d = self.count[c][g], self.total[c][context], self.kinds[c][context], self.discounts[k, c]
-                known = total > 0
-                share = np.maximum(total, 1)
-                # Slots may hold several expressions; a share stays a probability.
-                seen = np.minimum(np.maximum(n - d, 0) / share, 1)
-                p[c, at] = np.where(known, seen + np.minimum(d * kinds / share, 1) * p[c, at], p[c, at])
-        ratio = np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
-        return np.bincount(letters.word[inner], ratio[inner], minlength=len(words))
-
-
-def model(spark: SparkSession, train: DataFrame) -> Model:
-    """The model of the two classes; its tables arrive as at most 2 ** SLOT_BITS[1] slots."""
-    each, contexts = count_tables(train)
-    sizes = each.groupBy("size").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}")
-                                       for c in ("ordinary", "toxic") for n in (1, 2)],
-                                     F.count(F.lit(1)).alias("all")).collect()
-    discounts = np.full((ORDER + 1, 2), 0.75)
-    for r in sizes:
-        for c, name in enumerate(("ordinary", "toxic")):
+def discounts(each: DataFrame) -> np.ndarray:
+    """Discounts by size and class, from the expressions counted once and twice."""
+    out = np.full((ORDER + 1, 2), 0.75)
+    for r in each.groupBy("size").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}")
+                                        for c in CLASSES for n in (1, 2)]).collect():
+        for c, name in enumerate(CLASSES):
             once, twice = r[f"{name}1"], r[f"{name}2"]
             if once:
-                discounts[r["size"], c] = np.clip(once / (once + 2 * twice), *DISCOUNTS)
-    total = sum(r["all"] for r in sizes)
-    out = Model(int(np.clip(np.ceil(np.log2(2 * total + 1)), *SLOT_BITS)), discounts)
-    multiplier, bits = int(MIX), 64 - int(out.shift)
-
-    def slotted(df: DataFrame, key: str, sums: list[str]):
-        """Sums by slot, added up before they leave the executors."""
-        def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hashed = batch[key].to_numpy(zero_copy_only=False).view(np.uint64)
-                slot = ((hashed * np.uint64(multiplier)) >> np.uint64(64 - bits)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), *[batch[s] for s in sums]], names=["slot", *sums])
-
-        kinds = ", ".join(f"{s} bigint" for s in sums)
-        return (df.select(key, *sums).mapInArrow(slots, f"slot int, {kinds}").groupBy("slot")
-                .agg(*[F.sum(s).cast("float").alias(s) for s in sums]).toArrow())
-
-    found = slotted(each, "g", ["ordinary", "toxic"])
-    for c, name in enumerate(("ordinary", "toxic")):
-        out.count[c][found["slot"].to_numpy()] = found[name].to_numpy()
-    found = slotted(contexts, "context", ["n_ordinary", "kinds_ordinary", "n_toxic", "kinds_toxic"])
-    for c, name in enumerate(("ordinary", "toxic")):
-        out.total[c][found["slot"].to_numpy()] = found[f"n_{name}"].to_numpy()
-        out.kinds[c][found["slot"].to_numpy()] = found[f"kinds_{name}"].to_numpy()
+                out[r["size"], c] = np.clip(once / (once + 2 * twice), *DISCOUNTS)
     return out
 
 
-FEATURES = "struct<mean:double,worst:double>"
-ARROW_FEATURES = pa.struct([("mean", pa.float64()), ("worst", pa.float64())])
-
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches some thousand rows at a time."""
+    waiting, rows = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= GATHERED:
+            yield pa.Table.from_batches(waiting)
+            waiting, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(waiting)
+
+
+def all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of texts, added up over up to REMEMBERED words before they leave the task."""
+    def out(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+                                          names=["word", "n"])
+
+    seen = Counter()
+    for batch in batches:
+        for text in batch["text"].to_pylist():
+            seen.update(WORDS.findall((text or "").lower()))
+        if len(seen) > REMEMBERED:
+            yield out(seen)
+            seen = Counter()
+    yield out(seen)
+
+
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, context, suffix, size): the expressions of words that a score needs, once for each table of words."""
+    for table in gathered(batches):
+        letters = Letters(table["word"].to_pylist())
+        hashed = [np.zeros(len(letters.codes), np.uint64), *map(letters.hashes, range(1, ORDER + 1))]
+        parts = []
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero((letters.place >= k - 1) & (letters.place >= 1))
+            g, first = np.unique(hashed[k][at], return_index=True)
+            ends = at[first]
+            parts.append([g, hashed[k - 1][ends - 1] if k > 1 else np.zeros(len(g), np.uint64), hashed[k - 1][ends],
+                          np.full(len(g), k, np.int32)])
+        g, context, suffix, size = (np.concatenate(c) for c in zip(*parts))
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (g, context, suffix)] + [pa.array(size)],
+                                         names=["g", "context", "suffix", "size"])
+
+
+def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, g): the longest expression that ends at each letter of the word numbered ``w``."""
+    for table in gathered(batches):
+        letters = Letters(table["word"].to_pylist())
+        g = np.zeros(len(letters.codes), np.uint64)
+        for k in range(2, ORDER + 1):
+            g = np.where(letters.place >= k - 1, letters.hashes(k), g)
+        inner = letters.place >= 1
+        yield pa.RecordBatch.from_arrays([pa.array(table["w"].to_numpy()[letters.word[inner]]),
+                                          pa.array(g[inner].view(np.int64))], names=["w", "g"])
 
-class Scorer:
-    """Features of texts: the log-likelihood ratio a letter, over the text and over its worst words."""
 
-    def __init__(self, known: Model) -> None:
-        self.model, self.ratio = known, {}
+def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, ratio): log P(word | toxic) - log P(word | ordinary) of the distinct ``words`` (w, word).
 
-    def features(self, texts: list[str | None]) -> list[dict]:
-        words = [WORDS.findall((t or "").lower()) for t in texts]
-        if len(self.ratio) > REMEMBERED:
-            self.ratio.clear()
-        new = list({w for ws in words for w in ws if w not in self.ratio})
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
-            self.ratio.update(zip(some, self.model.ratios(some).tolist()))
-        out = []
-        for ws in words:
-            ratios = np.fromiter((self.ratio[w] for w in ws), np.float64, len(ws))
-            letters = sum(map(len, ws)) + len(ws)
-            worst = np.sort(np.partition(ratios, -WORST)[-WORST:] if len(ws) > WORST else ratios)[::-1]
-            out.append({"mean": ratios.sum() / max(letters, 1), "worst": np.maximum(worst, 0).sum() / WORST})
-        return out
+    Counts stay in tables keyed by the whole 64-bit hash of an expression and grow with the input. Each
+    distinct expression of the words meets its count and its context's once; then every order takes the
+    probability of the next shorter one by a join, so no key is hotter than the letters are many.
+    """
+    each, contexts = count_tables(train)
+    cut = discounts(each)
+    needed = words.select("word").mapInArrow(asked, "g bigint, context bigint, suffix bigint, size int").groupBy("g").agg(
+        *[F.first(c).alias(c) for c in ("context", "suffix", "size")])
+    met = needed.join(each.select("g", *CLASSES), "g", "left").join(contexts, "context", "left")
+    columns = []
+    for c, name in enumerate(CLASSES):
+        d = F.array(*[F.lit(float(x)) for x in cut[:, c]])[F.col("size")]
+        known, total = F.coalesce(F.col(f"n_{name}"), F.lit(0)) > 0, F.col(f"n_{name}")
+        seen = F.greatest(F.coalesce(F.col(name), F.lit(0)) - d, F.lit(0.0)) / total
+        columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"),
+                    F.when(known, d * F.col(f"kinds_{name}") / total).otherwise(1.0).alias(f"rest{c}")]
+    met = stage(met.select("g", "suffix", "size", *columns), "met")
+    orders, shorter = [], None
+    for k in range(1, ORDER + 1):
+        mine = met.where(F.col("size") == k)
+        if shorter is None:
+            mine = mine.withColumns({f"p{c}": F.lit(UNSEEN) for c in (0, 1)})
+        else:
+            mine = mine.join(shorter.select(F.col("g").alias("suffix"), "p0", "p1"), "suffix")
+        shorter = stage(mine.select("g", *[(F.col(f"seen{c}") + F.col(f"rest{c}") * F.col(f"p{c}")).alias(f"p{c}")
+                                           for c in (0, 1)]), "order")
+        orders.append(shorter.select("g", (F.log(F.col("p1") + 1e-12) - F.log(F.col("p0") + 1e-12)).alias("ratio")))
+    tops = words.select("w", "word").mapInArrow(longest, "w bigint, g bigint")
+    return stage(tops.join(reduce(DataFrame.union, orders[1:]), "g").groupBy("w").agg(F.sum("ratio").alias("ratio")), "ratios")
+
+
+KNOWN = "struct<total:double,letters:bigint,worst:array<double>,rare:array<struct<word:string,n:int>>>"
+ARROW_KNOWN = pa.struct([("total", pa.float64()), ("letters", pa.int64()), ("worst", pa.list_(pa.float64())),
+                         ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
+
+
+def known_part(text: str | None, ratio: dict[str, float]) -> dict:
+    """What the frequent words say of a text, and its other words with their numbers."""
+    words = WORDS.findall((text or "").lower())
+    known = np.fromiter((ratio[w] for w in words if w in ratio), np.float64)
+    rare = Counter(w for w in words if w not in ratio)
+    worst = np.partition(known, -WORST)[-WORST:] if len(known) > WORST else known
+    return {"total": float(known.sum()), "letters": sum(map(len, words)) + len(words), "worst": worst.tolist(),
+            "rare": [{"word": w, "n": n} for w, n in rare.items()]}
+
+
+def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``rows`` (with ``at`` and ``f``, the known part) with ``mean`` and ``worst``: rare words' ratios by a join."""
+    rare = rows.select("at", F.explode("f.rare").alias("r")).select("at", F.xxhash64("r.word").alias("w"), F.col("r.n").alias("n"))
+    found = rare.join(ratios, "w").groupBy("at").agg(
+        F.sum(F.col("ratio") * F.col("n")).alias("more"), F.collect_list(F.struct("ratio", "n")).alias("list"))
+    most = F.slice(F.sort_array(F.flatten(F.transform("list", lambda x: F.array_repeat(
+        x["ratio"], F.least(x["n"], F.lit(WORST))))), asc=False), 1, WORST)
+    found = stage(found.select(F.col("at").alias("__at"), "more", most.alias("most")), "rare")
+    joined = rows.join(found, F.col("at") == F.col("__at"), "left")
+    worst = F.slice(F.sort_array(F.concat("f.worst", F.coalesce("most", F.array().cast("array<double>"))), asc=False), 1, WORST)
+    return joined.select(
+        *rows.columns, ((F.col("f.total") + F.coalesce("more", F.lit(0.0))) / F.greatest(F.col("f.letters"), F.lit(1))).alias("mean"),
+        (F.aggregate(worst, F.lit(0.0), lambda s, x: s + F.greatest(x, F.lit(0.0))) / WORST).alias("worst"))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -243,7 +280,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
 
     Labelled documents outside the held-out and calibration folds are counted whole: every expression of
     up to ORDER letters inside words, by class, smoothed the Kneser-Ney way; the shortest share their
-    counts between classes, so rare expressions fall back to common ground. A document's features are its
+    counts between classes, so rare expressions fall back to common ground. No count is shared by hash slots
+    or dropped: the tables grow with the input and meet the distinct words by joins. A document's features are its
     log-likelihood ratio (toxic against ordinary) a letter, and that of its worst words. Two weights and
     a bias turn them into the score; they are fitted on at most CALIBRATION_ROWS labelled rows of the
     calibration fold.
@@ -261,24 +299,30 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     part = fold(F.col(doc_id))
     counted = df.where(~part.isin(HELD_OUT, CALIBRATION)).select(F.col(doc_id).alias("__d"), F.col(text).alias("text"))
     train = counted.join(marked.where(~fold(F.col("__l")).isin(HELD_OUT, CALIBRATION)), F.col("__d") == F.col("__l"))
-    known = spark.sparkContext.broadcast(model(spark, train.select("text", "toxic")))
+    words = (df.select(F.col(text).alias("text")).mapInArrow(all_words, "word string, n bigint").groupBy("word")
+             .agg(F.sum("n").alias("n")))
+    words = stage(words.select(F.xxhash64("word").alias("w"), "word", "n"), "words")
+    ratios = word_ratios(train.select("text", "toxic"), words)
+    frequent = words.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(REMEMBERED).join(ratios, "w")
+    frequent = frequent.select("word", "ratio").toArrow()
+    held = spark.sparkContext.broadcast(dict(zip(frequent["word"].to_pylist(), frequent["ratio"].to_pylist())))
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(known.value)
         for batch in batches:
-            yield pa.array(scorer.features(batch.to_pylist()), ARROW_FEATURES)
+            yield pa.array([known_part(t, held.value) for t in batch.to_pylist()], ARROW_KNOWN)
 
     rows = stage(df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.col(doc_id).alias("__id"),
-                           F.arrow_udf(scored, FEATURES)(F.col(text)).alias("f")), "features")
+                           F.monotonically_increasing_id().alias("at"), F.arrow_udf(scored, KNOWN)(F.col(text)).alias("f")), "features")
+    rows = features(rows, ratios)
     sample = (rows.where(fold(F.col("__id")) == CALIBRATION).join(marked, F.col("__id") == F.col("__l"))
-              .select(F.xxhash64("__id").alias("h"), "f.mean", "f.worst", "toxic")
+              .select(F.xxhash64("__id").alias("h"), "mean", "worst", "toxic")
               .orderBy("h", "mean", "worst").limit(CALIBRATION_ROWS).toPandas())
     x, y = sample[["mean", "worst"]].to_numpy(dtype=float), sample["toxic"].to_numpy(dtype=float)
     if 0 < y.sum() < len(y):
         scale = x.std(axis=0) + 1e-9
         w = calibrate(x / scale, y)
         bias, weights = float(w[0]), w[1:] / scale
-        logit = F.lit(bias) + F.col("f.mean") * float(weights[0]) + F.col("f.worst") * float(weights[1])
+        logit = F.lit(bias) + F.col("mean") * float(weights[0]) + F.col("worst") * float(weights[1])
         score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))
     else:
         score = F.lit(0.0)

@@ -286,6 +286,72 @@ def test_kneser_ney_counts_against_plain_ones(spark):
     assert counted[key("ab")] == (2, 2)         # two letters share the classes: one letter stands before, in both
     assert key("bd") in counted and counted[key("bd")] == (1, 1)
 
+def plain_ratio(train, word):
+    """Kneser-Ney by dictionaries, from the docstrings alone."""
+    def expressions(w):
+        w = f"\x01{w}\x02"
+        for i in range(1, len(w)):
+            for k in range(1, min(toxicity.ORDER, i + 1) + 1):
+                yield w[i - k + 1:i + 1], k == i + 1
+    counted = [{}, {}]
+    starts = set()
+    for text, c in train:
+        for w in text.split():
+            for g, start in expressions(w):
+                counted[c][g] = counted[c].get(g, 0) + 1
+                if start:
+                    starts.add(g)
+    every = set(counted[0]) | set(counted[1])
+    counts = [{}, {}]
+    for c in (0, 1):
+        before = {}
+        for g in counted[c]:
+            if len(g) > 1:
+                before[g[1:]] = before.get(g[1:], 0) + 1
+        counts[c] = {g: counted[c].get(g, 0) if g in starts or len(g) == toxicity.ORDER else before.get(g, 0) for g in every}
+    both = {g: counts[0][g] + counts[1][g] for g in every}
+    counts = [{g: both[g] if len(g) <= toxicity.SHARED else n for g, n in counts[c].items()} for c in (0, 1)]
+    out = 0.0
+    w = f"\x01{word}\x02"
+    for i in range(1, len(w)):
+        p = [toxicity.UNSEEN] * 2
+        for k in range(1, min(toxicity.ORDER, i + 1) + 1):
+            g = w[i - k + 1:i + 1]
+            for c in (0, 1):
+                sized = [n for x, n in counts[c].items() if len(x) == k]
+                once, twice = sized.count(1), sized.count(2)
+                d = np.clip(once / (once + 2 * twice), *toxicity.DISCOUNTS) if once else 0.75
+                inside = [n for x, n in counts[c].items() if len(x) == k and x[:-1] == g[:-1]]
+                if sum(inside):
+                    p[c] = max(counts[c].get(g, 0) - d, 0) / sum(inside) + d * sum(n > 0 for n in inside) / sum(inside) * p[c]
+        out += np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
+    return out
+
+
+def test_word_ratios_are_exact_without_a_cap(spark):
+    rng = np.random.default_rng(12)
+    def word():
+        return "".join(rng.choice(list("abcdefghij"), int(rng.integers(1, 9))))
+    train = [(" ".join(word() for _ in range(12)), int(i % 3 == 0)) for i in range(30)]
+    words = sorted({word() for _ in range(20)} | set(train[0][0].split()))
+    table = spark.createDataFrame(list(enumerate(words)), "w long, word string")
+    got = {r.w: r.ratio for r in toxicity.word_ratios(spark.createDataFrame(train, "text string, toxic int"), table).collect()}
+    assert not hasattr(toxicity, "SLOT_BITS")
+    for i, w in enumerate(words):
+        assert abs(got[i] - plain_ratio(train, w)) < 1e-6
+
+
+def test_rare_words_score_as_remembered_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} grum{i % 3} grum{i % 3} x{i}" if i % 4 else None) for i in range(200)],
+                                 "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    def scores():
+        return {r.doc_id: r.score for r in toxicity.score_toxicity(docs, marks).collect()}
+    whole = scores()
+    monkeypatch.setattr(toxicity, "REMEMBERED", 5)
+    few = scores()
+    assert len(whole) == 200 and all(abs(whole[i] - few[i]) < 1e-6 for i in whole)
+
 
 # --- BPE ------------------------------------------------------------------------------------------------------------
 
