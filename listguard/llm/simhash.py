@@ -24,6 +24,8 @@ CELL = 1024
 #: Shingle hashes in a sketch, and the like of CELL for groups whose sketches are compared.
 SKETCH = 256
 MATCHES = 256
+#: Sketches rule pairs out this far below the wanted similarity: six standard errors at 0.8.
+MARGIN = 0.15
 #: Shared hashes of a cell compared at a time.
 COLUMNS = 8192
 #: Slots that signatures are counted in, as powers of two: one for about 256 signatures, within these bounds.
@@ -192,19 +194,39 @@ def cell_links(batches: Iterator[pa.RecordBatch], bits: int, distance: int) -> I
         yield pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
 
-def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Of each candidate group's cells, links that connect what pairs of ``least`` similarity connect."""
+def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, least: float,
+                 first: bool) -> Iterator[pa.RecordBatch]:
+    """Of each candidate group's cells, links (a, b, sure) among rows of different ``label``.
+
+    Sure links connect what whole sketches (below SKETCH) prove similar. Others are pairs for the whole sets
+    to decide: in the ``first`` round each row's best partner, afterwards every pair that sketches do not rule out.
+    """
     for table, starts in whole_cells(batches, ["root", "cell"]):
         column, stars = table["fp"].combine_chunks(), Stars(table.num_rows)
-        words = print_rows(column, bits)
+        words, labels = print_rows(column, bits), print_rows(table["label"].combine_chunks(), bits)
         sketches = [np.frombuffer(x, dtype=np.uint32) for x in table["sketch"].to_pylist()]
+        whole = np.array([len(x) < SKETCH for x in sketches])
+        open_pairs = [np.zeros((2, 0), dtype=np.int64)]
         for low, high in zip(starts, [*starts[1:], table.num_rows]):
-            some = words[low:high]
+            some, of = words[low:high], labels[low:high]
             apart = np.array([np.bitwise_count(some ^ row).sum(axis=1, dtype=np.int16) for row in some])
-            i, j = np.nonzero(np.triu((apart <= distance) & (similarities(sketches[low:high]) >= least), 1))
+            same = np.array([(of == row).all(axis=1) for row in of])
+            like = similarities(sketches[low:high])
+            known = whole[low:high, None] & whole[None, low:high]
+            may = np.triu((apart <= distance) & ~same, 1)
+            i, j = np.nonzero(may & known & (like >= least))
             stars.add(low + i, low + j)
+            may &= ~known & (like >= (least if first else least - MARGIN))
+            if first:
+                j = np.flatnonzero(may.any(axis=0))
+                i = np.where(may, like, -1)[:, j].argmax(axis=0)
+            else:
+                i, j = np.nonzero(may)
+            open_pairs.append(np.array([low + i, low + j]))
         a, b = stars.links()
-        yield pa.RecordBatch.from_arrays([column.take(pa.array(x)) for x in (a, b)], names=["a", "b"])
+        i, j = np.concatenate(open_pairs, axis=1)
+        yield pa.RecordBatch.from_arrays([*[column.take(pa.array(np.r_[x, y])) for x, y in ((a, i), (b, j))],
+                                          pa.array(np.arange(len(a) + len(i)) < len(a))], names=["a", "b", "sure"])
 
 
 def in_cells(rows: DataFrame, key: str, parts, *columns: str) -> DataFrame:
@@ -249,13 +271,52 @@ def linked(prints: DataFrame, bits: int, segments: int, distance: int) -> DataFr
     return celled.mapInArrow(lambda b: cell_links(b, bits, distance), "a binary, b binary").distinct()
 
 
-def matched(prints: DataFrame, roots: DataFrame, bits: int, distance: int, least: float) -> DataFrame:
-    """Links (a, b) of similarity ``least`` or more inside the candidate groups ``roots`` (node, root)."""
+def whole_sets(texts: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataFrame:
+    """(node, hashes): all different shingle hashes of the texts whose hash ``t`` is ``wanted`` (node, t)."""
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.ascontiguousarray(distinct(list(shingle_hashes(t, width, bits)))[:, :8]).view(np.int64).ravel()
+                            for t in batch.to_pylist()], pa.list_(pa.int64()))
+
+    found = texts.join(wanted.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    return found.select("t", F.arrow_udf(sets, "array<bigint>")(F.col("text")).alias("hashes")).join(wanted, "t").select("node", "hashes")
+
+
+def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int, bits: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingle hashes have the similarity ``least`` or more."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(prints.join(nodes, F.col("fp") == F.col("node")).select("node", "t"), "wanted")
+    sets = stage(whole_sets(texts, wanted, width, bits), "sets")
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
+
+
+def matched(prints: DataFrame, roots: DataFrame, texts: DataFrame, width: int, bits: int, distance: int, least: float) -> DataFrame:
+    """Links (a, b) that connect what pairs of similarity ``least`` or more connect inside the groups ``roots`` (node, root).
+
+    Sketches only rule pairs out, MARGIN below ``least``; whole sets decide. Best partners are decided first, so that
+    of a large group of copies the second round meets only the pairs that are not connected yet.
+    """
     members = prints.join(roots, F.col("fp") == F.col("node")).select("root", "fp", "sketch")
     crowds = (roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
               .select("root", F.ceil(F.col("n") / MATCHES).cast("int").alias("parts")))
-    celled = in_cells(members.join(crowds, "root"), "root", F.col("parts"), "fp", "sketch")
-    return celled.mapInArrow(lambda b: cell_matches(b, bits, distance, least), "a binary, b binary").distinct()
+    links = None
+    for first in (True, False):
+        if links is None:
+            labelled = members.withColumn("label", F.col("fp"))
+        else:
+            known = components(links).select("node", F.col("root").alias("known"))
+            labelled = members.join(known, F.col("fp") == F.col("node"), "left").select(
+                *members.columns, F.coalesce("known", "fp").alias("label"))
+        celled = in_cells(labelled.join(crowds, "root"), "root", F.col("parts"), "fp", "sketch", "label")
+        found = stage(celled.mapInArrow(lambda b, first=first: cell_matches(b, bits, distance, least, first),
+                                        "a binary, b binary, sure boolean").distinct(), "pairs")
+        right = found.where("sure").select("a", "b").union(
+            verified(found.where("not sure").select("a", "b"), prints, texts, width, bits, least))
+        links = stage(right if links is None else links.union(right), "matched")
+    return links
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, bits: int = 128,
@@ -267,8 +328,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     found if ``distance`` < 2 ``segments`` (4 of 64 bits in 3 segments); farther ones as likely as one
     segment keeps to one bit (README gives the measured share for the defaults: 0.8 similar texts differ
     by about 19 of 128 bits). With ``least``, shingles count once each and candidates are linked if
-    their Jaccard similarity reaches it, by sketches of SKETCH shingle hashes; with None, shingles
-    count with repeats and candidates are links. component_id is the smallest ``doc_id`` reachable over links,
+    their Jaccard similarity reaches it, on their whole sets of shingle hashes (sketches of SKETCH hashes
+    only rule pairs out, MARGIN below); with None, shingles count with repeats and candidates are links. component_id is the smallest ``doc_id`` reachable over links,
     the own included.
 
     Equal fingerprints are one node, so copies never meet in pairs. Null and empty texts have the zero
@@ -278,12 +339,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """
     names = [c for c in (keep or df.columns) if c.lower() not in ("fingerprint", "component_id")]
     narrow = df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.col(doc_id).alias("__id"),
-                       F.col(text).alias("__text"))
+                       F.xxhash64(F.col(text)).alias("__t"), F.col(text).alias("__text"))
     rows = stage(with_prints(narrow, "__text", width, bits, repeats=least is None), "prints")
-    prints = stage(rows.groupBy("fp").agg(F.min("__id").alias("first"), F.min("sketch").alias("sketch")), "distinct")
+    prints = rows.groupBy("fp").agg(F.min("__id").alias("first"), F.min(F.struct("sketch", F.col("__t").alias("t"))).alias("k"))
+    prints = stage(prints.select("fp", "first", "k.*"), "distinct")
     roots = components(linked(prints.select("fp"), bits, segments, distance))
     if least is not None:
-        roots = components(matched(prints.select("fp", "sketch"), roots, bits, distance, least))
+        texts = df.select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+        roots = components(matched(prints.select("fp", "sketch", "t"), roots, texts, width, bits, distance, least))
     named = (prints.join(roots, F.col("fp") == F.col("node"), "left")
              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -108,6 +108,22 @@ def test_similarity_is_checked(spark):
     assert found == {0: 0, 1: 1, 2: 0}
 
 
+def test_long_pairs_are_decided_on_whole_sets(spark):
+    rng = np.random.default_rng(21)
+    texts, truth = [], []
+    for n in range(40):
+        words = [f"p{n}w{x}" for x in range(1000)]
+        copy = list(words)
+        for at in rng.choice(200, 22 if n % 2 else 23, replace=False):  # five shingles of 996 change for each word
+            copy[2 + 5 * int(at)] = f"new{at}"
+        sets = [{tuple(w[i:i + 5]) for i in range(996)} for w in (words, copy)]
+        texts += [" ".join(words), " ".join(copy)]
+        truth.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(
+        documents(spark, texts), distance=64, segments=40).collect()}
+    assert 0 < sum(truth) < 40 and [found[2 * n + 1] == 2 * n for n in range(40)] == truth
+
+
 def test_similarities_of_sketches(monkeypatch):
     monkeypatch.setattr(simhash, "COLUMNS", 7)
     rng = np.random.default_rng(6)
