@@ -26,6 +26,9 @@ SKETCH = 256
 MATCHES = 256
 #: Sketches rule pairs out this far below the wanted similarity: six standard errors at 0.8.
 MARGIN = 0.15
+#: Groups of least shingle hashes that make further candidates, and the share of pairs at ``least`` they may miss.
+BANDS = 32
+MISSED = 1e-5
 #: Shared hashes of a cell compared at a time.
 COLUMNS = 8192
 #: Slots that signatures are counted in, as powers of two: one for about 256 signatures, within these bounds.
@@ -99,24 +102,53 @@ def similarities(sketches: list[np.ndarray]) -> np.ndarray:
     return both / np.maximum(below + below.T - both, 1)
 
 
-def with_prints(df: DataFrame, text: str, width: int, bits: int, repeats: bool) -> DataFrame:
-    """``df`` with ``fp`` and ``sketch`` (empty if shingles count with repeats) instead of ``text``."""
+def band_rows(least: float) -> int:
+    """Least hashes in a band: as many as let BANDS miss no more than MISSED of the pairs at ``least``."""
+    return max([r for r in range(1, 65) if (1 - least ** r) ** BANDS <= MISSED], default=1)
+
+
+def bands(hashes: np.ndarray, rows: int) -> np.ndarray:
+    """BANDS keys of a set of hashes: each of ``rows`` hashes least in an order of their own.
+
+    Two sets of similarity s have a key in common with probability 1 - (1 - s ** rows) ** BANDS, long or short.
+    """
+    values = np.ascontiguousarray(hashes[:, :8]).view(np.uint64).ravel()
+    random = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * rows), dtype=np.uint64)
+    out = np.empty(BANDS * rows, dtype=np.uint64)
+    for i, (mask, factor) in enumerate(zip(*random)):
+        out[i] = ((values ^ mask) * (factor | np.uint64(1))).min()
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in out.reshape(BANDS, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def reach(bits: int, least: float) -> int:
+    """Bits by which pairs of similarity ``least`` differ at most: five deviations above the mean of short texts."""
+    share = min(0.5, 1.25 * np.arccos(2 * least / (1 + least)) / np.pi)
+    return min(bits, int(np.ceil(bits * share + 5 * np.sqrt(bits * share * (1 - share)))))
+
+
+def with_prints(df: DataFrame, text: str, width: int, bits: int, least: float | None) -> DataFrame:
+    """``df`` with ``fp``, ``sketch`` and ``bands`` (both empty if shingles count with repeats) instead of ``text``."""
     small_batches(df.sparkSession)
+    rows = band_rows(least) if least is not None else 0
 
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("fp", pa.binary()), ("sketch", pa.binary())])
+        kind = pa.struct([("fp", pa.binary()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             out = []
             for text in batch.to_pylist():
-                hashes, ends = list(shingle_hashes(text or "", width, bits)), b""
-                if hashes and not repeats:
+                hashes, ends, keys = list(shingle_hashes(text or "", width, bits)), b"", []
+                if hashes and rows:
                     hashes = [distinct(hashes)]
-                    ends = sketch(hashes[0])
-                out.append({"fp": fingerprint(hashes, bits), "sketch": ends})
+                    ends, keys = sketch(hashes[0]), bands(hashes[0], rows)
+                out.append({"fp": fingerprint(hashes, bits), "sketch": ends, "bands": keys})
             yield pa.array(out, kind)
 
-    found = df.withColumn("__p", F.arrow_udf(prints, "struct<fp:binary,sketch:binary>")(F.col(text)))
-    return found.select(*without(df, text), "__p.fp", "__p.sketch")
+    found = df.withColumn("__p", F.arrow_udf(prints, "struct<fp:binary,sketch:binary,bands:array<bigint>>")(F.col(text)))
+    return found.select(*without(df, text), "__p.fp", "__p.sketch", "__p.bands")
 
 
 def segment_bounds(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -194,8 +226,7 @@ def cell_links(batches: Iterator[pa.RecordBatch], bits: int, distance: int) -> I
         yield pa.RecordBatch.from_arrays([column.take(pa.array(a)), column.take(pa.array(b))], names=["a", "b"])
 
 
-def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, least: float,
-                 first: bool) -> Iterator[pa.RecordBatch]:
+def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, least: float, first: bool) -> Iterator[pa.RecordBatch]:
     """Of each candidate group's cells, links (a, b, sure) among rows of different ``label``.
 
     Sure links connect what whole sketches (below SKETCH) prove similar. Others are pairs for the whole sets
@@ -203,17 +234,16 @@ def cell_matches(batches: Iterator[pa.RecordBatch], bits: int, distance: int, le
     """
     for table, starts in whole_cells(batches, ["root", "cell"]):
         column, stars = table["fp"].combine_chunks(), Stars(table.num_rows)
-        words, labels = print_rows(column, bits), print_rows(table["label"].combine_chunks(), bits)
+        labels = print_rows(table["label"].combine_chunks(), bits)
         sketches = [np.frombuffer(x, dtype=np.uint32) for x in table["sketch"].to_pylist()]
         whole = np.array([len(x) < SKETCH for x in sketches])
         open_pairs = [np.zeros((2, 0), dtype=np.int64)]
         for low, high in zip(starts, [*starts[1:], table.num_rows]):
-            some, of = words[low:high], labels[low:high]
-            apart = np.array([np.bitwise_count(some ^ row).sum(axis=1, dtype=np.int16) for row in some])
+            of = labels[low:high]
             same = np.array([(of == row).all(axis=1) for row in of])
             like = similarities(sketches[low:high])
             known = whole[low:high, None] & whole[None, low:high]
-            may = np.triu((apart <= distance) & ~same, 1)
+            may = np.triu(~same, 1)
             i, j = np.nonzero(may & known & (like >= least))
             stars.add(low + i, low + j)
             may &= ~known & (like >= (least if first else least - MARGIN))
@@ -261,8 +291,13 @@ def linked(prints: DataFrame, bits: int, segments: int, distance: int) -> DataFr
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
     signed = prints.select("fp", F.explode(F.arrow_udf(keys, "array<bigint>")(F.col("fp"))).alias("key"))
+    return met(signed, prints.count() * bits, bits, distance)
+
+
+def met(signed: DataFrame, total: int, bits: int, distance: int) -> DataFrame:
+    """Links (a, b) that connect the fingerprints that share a key and differ by ``distance`` bits or less."""
     # Counts by slot of the key bound every key's count from above, whatever else falls into the slot.
-    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - slot_bits(prints.count() * bits)).cast("int")
+    slot = F.shiftrightunsigned(F.xxhash64("key"), 64 - slot_bits(total)).cast("int")
     signed = signed.withColumn("slot", slot)
     crowds = (signed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
               .select("slot", F.ceil(F.col("n") / CELL).cast("int").alias("parts")))
@@ -293,7 +328,7 @@ def verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, width: int,
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
 
 
-def matched(prints: DataFrame, roots: DataFrame, texts: DataFrame, width: int, bits: int, distance: int, least: float) -> DataFrame:
+def matched(prints: DataFrame, roots: DataFrame, texts: DataFrame, width: int, bits: int, least: float) -> DataFrame:
     """Links (a, b) that connect what pairs of similarity ``least`` or more connect inside the groups ``roots`` (node, root).
 
     Sketches only rule pairs out, MARGIN below ``least``; whole sets decide. Best partners are decided first, so that
@@ -311,7 +346,7 @@ def matched(prints: DataFrame, roots: DataFrame, texts: DataFrame, width: int, b
             labelled = members.join(known, F.col("fp") == F.col("node"), "left").select(
                 *members.columns, F.coalesce("known", "fp").alias("label"))
         celled = in_cells(labelled.join(crowds, "root"), "root", F.col("parts"), "fp", "sketch", "label")
-        found = stage(celled.mapInArrow(lambda b, first=first: cell_matches(b, bits, distance, least, first),
+        found = stage(celled.mapInArrow(lambda b, first=first: cell_matches(b, bits, least, first),
                                         "a binary, b binary, sure boolean").distinct(), "pairs")
         right = found.where("sure").select("a", "b").union(
             verified(found.where("not sure").select("a", "b"), prints, texts, width, bits, least))
@@ -326,8 +361,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     Documents whose fingerprints differ by ``distance`` bits or less are candidates. All candidates are
     found if ``distance`` < 2 ``segments`` (4 of 64 bits in 3 segments); farther ones as likely as one
-    segment keeps to one bit (README gives the measured share for the defaults: 0.8 similar texts differ
-    by about 19 of 128 bits). With ``least``, shingles count once each and candidates are linked if
+    segment keeps to one bit. With ``least``, documents that share one of BANDS keys of least shingle hashes are
+    candidates too, so all but about MISSED of the pairs of that similarity are met, long or short. With ``least``, shingles count once each and candidates are linked if
     their Jaccard similarity reaches it, on their whole sets of shingle hashes (sketches of SKETCH hashes
     only rule pairs out, MARGIN below); with None, shingles count with repeats and candidates are links. component_id is the smallest ``doc_id`` reachable over links,
     the own included.
@@ -340,13 +375,17 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     names = [c for c in (keep or df.columns) if c.lower() not in ("fingerprint", "component_id")]
     narrow = df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.col(doc_id).alias("__id"),
                        F.xxhash64(F.col(text)).alias("__t"), F.col(text).alias("__text"))
-    rows = stage(with_prints(narrow, "__text", width, bits, repeats=least is None), "prints")
-    prints = rows.groupBy("fp").agg(F.min("__id").alias("first"), F.min(F.struct("sketch", F.col("__t").alias("t"))).alias("k"))
+    rows = stage(with_prints(narrow, "__text", width, bits, least), "prints")
+    prints = rows.groupBy("fp").agg(F.min("__id").alias("first"), F.min(F.struct("sketch", F.col("__t").alias("t"), "bands")).alias("k"))
     prints = stage(prints.select("fp", "first", "k.*"), "distinct")
-    roots = components(linked(prints.select("fp"), bits, segments, distance))
+    links = linked(prints.select("fp"), bits, segments, distance)
+    if least is not None:
+        banded = prints.select("fp", F.explode("bands").alias("key"))
+        links = links.union(met(banded, prints.count() * BANDS, bits, max(distance, reach(bits, least))))
+    roots = components(links)
     if least is not None:
         texts = df.select(F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-        roots = components(matched(prints.select("fp", "sketch", "t"), roots, texts, width, bits, distance, least))
+        roots = components(matched(prints.select("fp", "sketch", "t"), roots, texts, width, bits, least))
     named = (prints.join(roots, F.col("fp") == F.col("node"), "left")
              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

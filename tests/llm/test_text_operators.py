@@ -124,6 +124,22 @@ def test_long_pairs_are_decided_on_whole_sets(spark):
     assert 0 < sum(truth) < 40 and [found[2 * n + 1] == 2 * n for n in range(40)] == truth
 
 
+def test_candidates_meet_at_the_wanted_similarity():
+    rng = np.random.default_rng(22)
+    rows, missed, far = simhash.band_rows(0.8), 0, 0
+    for n in range(3000):
+        shared = (4, 8, 40, 160)[n % 4]
+        more = shared // 4 if n % 2 else 0  # one set inside the other, or each with its own rest
+        own = (shared // 4 - more, more) if more else (shared // 8, shared // 4 - shared // 8)
+        both = rng.integers(0, 256, (shared, 16), dtype=np.uint8)
+        sets = [np.r_[both, rng.integers(0, 256, (x, 16), dtype=np.uint8)] for x in own]
+        a, b = (simhash.bands(x, rows) for x in sets)
+        missed += not (a == b).any()
+        prints = [np.frombuffer(simhash.fingerprint([x], 128), np.uint8) for x in sets]
+        far += int(np.bitwise_count(prints[0] ^ prints[1]).sum()) > simhash.reach(128, 0.8)
+    assert missed + far <= 1
+
+
 def test_similarities_of_sketches(monkeypatch):
     monkeypatch.setattr(simhash, "COLUMNS", 7)
     rng = np.random.default_rng(6)
