@@ -24,10 +24,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are whole, so shorter ones need no match
 
 #: Words after which a string may be a secret. Each starts with one of OPENINGS.
-SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|auth|bearer|credential|private_?key|access_?key|signature", re.I | re.A)
+SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api[\x20_-]?key|auth|bearer|credential|private[\x20_-]?key|access[\x20_-]?key|signature",
+                       re.I | re.A)
 OPENINGS = ("passw", "passphrase", "pwd", "secret", "token", "api", "auth", "bearer", "credential", "private", "access",
             "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may stand between candidates that follow each other (lines of a block, parts joined by dots or in
+#: quotes), and the short last part of such a row: after a dot, or before the line that ends a block.
+BETWEEN = re.compile(r"""[\s.,:;+"'\\]{1,64}""")
+LAST = re.compile(r"""\.[A-Za-z0-9+/_=-]+|\s+[A-Za-z0-9+/_=]+(?=\s*-----END)""")
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,63}"
 
 #: Characters after a sensitive word in which candidates start, and those of the surroundings.
@@ -56,19 +61,33 @@ def base_spans(text: str, lowered: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, lowered: str, taken: list[tuple[str, int, int]]) -> list[dict]:
-    """Strings of letters and digits shortly after a sensitive word, outside the base spans."""
+    """Strings of letters and digits after a sensitive word, outside the base spans.
+
+    They start within REACH of the word or follow the candidate before them, however long the row is.
+    """
     if not any(w in lowered for w in OPENINGS):
         return []
     out, at, ends = [], 0, sorted((s, e) for _, s, e in taken)
+
+    def add(start: int, end: int, follows: bool = False) -> None:
+        value = text[start:end]
+        letters, turns = any(c.isalpha() for c in value), sum(a.islower() and b.isupper() for a, b in zip(value, value[1:]))
+        mixed = letters and (follows or any(c.isdigit() for c in value) or turns * 6 > len(value))
+        if mixed and not any(s < end and start < e for s, e in ends):
+            out.append({"start": start, "end": end, "before": text[max(0, start - AROUND):start],
+                        "value": value, "after": text[end:end + AROUND]})
+
     for word in SENSITIVE.finditer(text):
+        reach = word.end() + REACH
         for m in CANDIDATE.finditer(text, max(word.end(), at)):
-            if m.start() > word.end() + REACH:
+            if m.start() > reach and not (at > word.start() and BETWEEN.fullmatch(text, at, m.start())):
                 break
             at = m.end()
-            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if mixed and not any(s < m.end() and m.start() < e for s, e in ends):
-                out.append({"start": m.start(), "end": m.end(), "before": text[max(0, m.start() - AROUND):m.start()],
-                            "value": m[0], "after": text[m.end():m.end() + AROUND]})
+            add(m.start(), at)
+            while out and out[-1]["end"] == at and (last := LAST.match(text, at)):
+                start = at + len(last[0]) - len(last[0].lstrip().removeprefix("."))
+                at = last.end()
+                add(start, at, follows=True)
     return out
 
 
@@ -138,8 +157,12 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
             out = []
             for scan in batch.to_pylist():
                 found = [(s["kind"], s["start"], s["end"]) for s in scan["spans"]]
-                found += [("novel", c["start"], c["end"]) for c in scan["candidates"]
-                          if novelty.of(c["before"], c["value"], c["after"]) >= NOVELTY]
+                before = False  # the short last part of a row is judged by the candidate before it as well
+                for c in scan["candidates"]:
+                    before = ((before or len(c["value"]) >= 16)
+                              and novelty.of(c["before"], c["value"], c["after"]) >= NOVELTY)
+                    if before:
+                        found.append(("novel", c["start"], c["end"]))
                 out.append(spans.ordered(found, KINDS))
             yield pa.array(out, pa.list_(spans.ARROW_SPAN))
 
