@@ -211,7 +211,8 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
     columns = []
     for c, name in enumerate(CLASSES):
         d = F.array(*[F.lit(float(x)) for x in cut[:, c]])[F.col("size")]
-        known, total = F.coalesce(F.col(f"n_{name}"), F.lit(0)) > 0, F.col(f"n_{name}")
+        # An expression that neither class has tells nothing of the class: its order is passed over in both.
+        known, total = F.col(name).isNotNull() & (F.coalesce(F.col(f"n_{name}"), F.lit(0)) > 0), F.col(f"n_{name}")
         seen = F.greatest(F.coalesce(F.col(name), F.lit(0)) - d, F.lit(0.0)) / total
         columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"),
                     F.when(known, d * F.col(f"kinds_{name}") / total).otherwise(1.0).alias(f"rest{c}")]

@@ -369,7 +369,7 @@ def plain_ratio(train, word):
                 once, twice = sized.count(1), sized.count(2)
                 d = np.clip(once / (once + 2 * twice), *toxicity.DISCOUNTS) if once else 0.75
                 inside = [n for x, n in counts[c].items() if len(x) == k and x[:-1] == g[:-1]]
-                if sum(inside):
+                if sum(inside) and g in every:
                     p[c] = max(counts[c].get(g, 0) - d, 0) / sum(inside) + d * sum(n > 0 for n in inside) / sum(inside) * p[c]
         out += np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
     return out
