@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and their comparison SQL."""
+"""The operators over their whole tables, with production parameters, and their comparison SQL."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listguard.llm import bpe, chat, mixing, pii, secret_scan, sharding, simhash, spans, topk, toxicity, vector_dedup
+from listguard.llm import (bpe, chat, lexical, mixing, pii, secret_scan, sharding, simhash, spans, spelling,
+                           token_counts, topk, toxicity, vector_dedup)
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, BYTE_VOCABULARY, limit=1024).drop("text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -84,6 +99,10 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe": op10_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_counts": op13_token_counts,
 }
 
-SQL: dict[str, str] = {"op8_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {"op8_chat_formatting": chat.SQL, "op11_spelling_variants": spelling.SQL,
+                       "op12_lexical_search": lexical.SQL}
