@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from operator import add
 from struct import pack
 
@@ -18,8 +19,11 @@ from tokenizers import Tokenizer
 
 from listguard.llm.batches import small_batches
 
-#: Entries that one task remembers before it starts afresh.
+#: Entries that one task remembers before it starts afresh, and the longest word or fragment among them.
 REMEMBERED = 400_000
+LONGEST = 64
+#: Symbols from which merges are drawn from a heap.
+MANY = 128
 WORD_END = "</w>"
 #: Texts that normalise by lower case alone and whose words the plain pattern finds.
 CHUNK = re.compile(r"[^\t-\r ]+")
@@ -73,10 +77,12 @@ class Fragments(dict):
         return b"".join(out)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        known = self[word] = self._cut(word if word.isascii() and word.isalnum() else self._written(word))
-        return known
+        found = self._cut(word if word.isascii() and word.isalnum() else self._written(word))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
+        return found
 
     def _written(self, word: str) -> str:
         """The word's bytes as the vocabulary writes them."""
@@ -94,9 +100,11 @@ class Fragments(dict):
         """Ids of a fragment that does not end its word; these are few and come again and again."""
         known = self.inner.get(fragment)
         if known is None:
-            if len(self.inner) >= REMEMBERED:
-                self.inner.clear()
-            known = self.inner[fragment] = self._encoded(fragment, False)
+            known = self._encoded(fragment, False)
+            if len(fragment) <= LONGEST:
+                if len(self.inner) >= REMEMBERED:
+                    self.inner.clear()
+                self.inner[fragment] = known
         return known
 
     def _encoded(self, fragment: str, last: bool) -> bytes:
@@ -105,6 +113,8 @@ class Fragments(dict):
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """The lowest merge first, the leftmost of equals, until none applies."""
+        if len(symbols) > MANY:
+            return self._merged_by_heap(symbols)
         rank, none = self.rank, len(self.rank)
         ranks = [rank.get(pair, none) for pair in zip(symbols, symbols[1:])]
         while ranks and (best := min(ranks)) < none:
@@ -117,6 +127,26 @@ class Fragments(dict):
                 ranks[at] = rank.get((symbols[at], symbols[at + 1]), none)
         return symbols
 
+    def _merged_by_heap(self, symbols: list[str]) -> list[str]:
+        """The same in n log n: symbols linked to their neighbours, pairs waiting by rank and place."""
+        rank, n = self.rank, len(symbols)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(rank[pair], at, pair) for at, pair in enumerate(zip(symbols, symbols[1:])) if pair in rank]
+        heapify(waiting)
+        while waiting:
+            _, at, pair = heappop(waiting)
+            follower = after[at]
+            if follower == n or (symbols[at], symbols[follower]) != pair:
+                continue  # one of the two has been merged meanwhile
+            symbols[at], symbols[follower] = symbols[at] + symbols[follower], ""
+            after[at] = after[follower]
+            if after[at] < n:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < n and (pair := (symbols[left], symbols[after[left]])) in rank:
+                    heappush(waiting, (rank[pair], left, pair))
+        return [s for s in symbols if s]
+
 
 @lru_cache(maxsize=2)
 def fragments(source: str) -> Fragments:

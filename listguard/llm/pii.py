@@ -70,8 +70,8 @@ def emails(text: str) -> Iterator[tuple[str, int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = list(emails(text))
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255
-                                                                  for p in m[0].split("."))]
+    found += [("ip", *m.span()) for m in IP.finditer(text)
+              if all(len(part := p.lstrip("0")) <= 3 and int(part or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
         if 12 <= len(digits) <= 19 and luhn(digits):

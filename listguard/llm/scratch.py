@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from listguard.session import shared_folder
 
-_written: list[str] = []
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The tables staged while the context lasts, for ``clear`` once nothing reads them any more."""
+    mine: list[str] = []
+    _collected.append(mine)
+    try:
+        yield mine
+    finally:
+        _collected.remove(mine)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -18,13 +31,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpus-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    _written.append(path)
+    for mine in _collected:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes every table staged by this driver so far. For jobs whose earlier results are all written."""
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables; tables of other jobs stay."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(hadoop).delete(path, True)

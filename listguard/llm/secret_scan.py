@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -28,10 +30,11 @@ SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api[\x20_-]?key|auth|
                        re.I | re.A)
 OPENINGS = ("passw", "passphrase", "pwd", "secret", "token", "api", "auth", "bearer", "credential", "private", "access",
             "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST, GAP = 16, 64
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: What may stand between candidates that follow each other (lines of a block, parts joined by dots or in
 #: quotes), and the short last part of such a row: after a dot, or before the line that ends a block.
-BETWEEN = re.compile(r"""[\s.,:;+"'\\]{1,64}""")
+BETWEEN = re.compile(r"""[\s.,:;+"'\\]{1,%d}""" % GAP)
 LAST = re.compile(r"""\.[A-Za-z0-9+/_=-]+|\s+[A-Za-z0-9+/_=]+(?=\s*-----END)""")
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,63}"
 
@@ -67,23 +70,31 @@ def candidates(text: str, lowered: str, taken: list[tuple[str, int, int]]) -> li
     """
     if not any(w in lowered for w in OPENINGS):
         return []
-    out, at, ends = [], 0, sorted((s, e) for _, s, e in taken)
+    out, at, starts = [], 0, sorted(s for _, s, _ in taken)
+    ends = list(accumulate((e for _, _, e in sorted(taken, key=lambda x: x[1])), max))  # the last end so far
 
     def add(start: int, end: int, follows: bool = False) -> None:
         value = text[start:end]
         letters, turns = any(c.isalpha() for c in value), sum(a.islower() and b.isupper() for a, b in zip(value, value[1:]))
         mixed = letters and (follows or any(c.isdigit() for c in value) or turns * 6 > len(value))
-        if mixed and not any(s < end and start < e for s, e in ends):
+        earlier = bisect_left(starts, end)
+        if mixed and not (earlier and ends[earlier - 1] > start):
             out.append({"start": start, "end": end, "before": text[max(0, start - AROUND):start],
                         "value": value, "after": text[end:end + AROUND]})
 
     for word in SENSITIVE.finditer(text):
         reach = word.end() + REACH
-        for m in CANDIDATE.finditer(text, max(word.end(), at)):
-            if m.start() > reach and not (at > word.start() and BETWEEN.fullmatch(text, at, m.start())):
+        while True:
+            # Nothing is looked for beyond the places where a candidate may start and its least length.
+            last_start = max(reach, at + GAP) if at > word.start() else reach
+            start = CANDIDATE.search(text, max(word.end(), at), last_start + LEAST)
+            if start is None:
                 break
-            at = m.end()
-            add(m.start(), at)
+            start = start.start()
+            if start > reach and not BETWEEN.fullmatch(text, at, start):
+                break
+            at = CANDIDATE.match(text, start).end()
+            add(start, at)
             while out and out[-1]["end"] == at and (last := LAST.match(text, at)):
                 start = at + len(last[0]) - len(last[0].lstrip().removeprefix("."))
                 at = last.end()
@@ -159,7 +170,7 @@ def find_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
                 found = [(s["kind"], s["start"], s["end"]) for s in scan["spans"]]
                 before = False  # the short last part of a row is judged by the candidate before it as well
                 for c in scan["candidates"]:
-                    before = ((before or len(c["value"]) >= 16)
+                    before = ((before or len(c["value"]) >= LEAST)
                               and novelty.of(c["before"], c["value"], c["after"]) >= NOVELTY)
                     if before:
                         found.append(("novel", c["start"], c["end"]))

@@ -156,8 +156,8 @@ def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", vec_id: st
     most CHUNK vectors; queries come in groups of about QUERIES. A group and a chunk grow a cover tree each,
     and pairs of their nodes are searched together. First each query meets one chunk of its own node,
     which tells a score its kth reaches. Then it meets the chunks of every node whose radius can still
-    beat that. Of equal vectors only the k + 1 smallest ids can be among the best of any query, so
-    copies beyond them are left out. Pivots only steer the work; nothing is approximate.
+    beat that. Of equal vectors, k rows of an id and of these the 2k of smallest ids hold the best k for any query,
+    whose own id takes at most k of them; copies beyond are left out. Pivots only steer the work; nothing is approximate.
 
     Vectors that are null or empty or hold nulls, NaN or infinities, and rows without id, take no part; vectors
     meet only others of their length. A query with fewer candidates returns all. Rows that repeat an id
@@ -166,8 +166,11 @@ def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", vec_id: st
     value = F.col(quoted(vector))
     rows = df.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), value.alias("v"), is_query.alias("asks")).where(
         usable(value) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
-    copies = Window.partitionBy("v").orderBy("vec_id")
-    first = rows.select("vec_id", "v", "dim").withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)
+    # A query takes at most k equal vectors, and at most k of a repeated id are its own.
+    first = rows.select("vec_id", "v", "dim").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))).where(F.col("nth") <= k)
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(
+        F.col("nth") <= 2 * k)
 
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     main = dims["dim"] if dims else 1
@@ -201,11 +204,11 @@ def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", vec_id: st
 
     group = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(groups)).cast("int")
     cells = ["dim", "node", "chunk", "part"]
-    spread = (data.join(F.broadcast(sizes), ["dim", "node"])  # TOP + lengths lines
-              .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int"))
-              .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*cells, "vec_id", "v"))
+    chunked = (data.join(F.broadcast(sizes), ["dim", "node"])  # TOP + lengths lines
+               .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int")))
 
     def found(queries: DataFrame) -> DataFrame:
+        spread = chunked.join(queries.select(*cells).distinct(), cells[:3]).select(*cells, "vec_id", "v")
         return (queries.groupBy(*cells).cogroup(spread.groupBy(*cells))
                 .applyInArrow(lambda q, d: find_best(q, d, k, scale), "query_id bigint, vec_id bigint, score bigint"))
 

@@ -245,3 +245,27 @@ def test_cover_tree_covers_and_parts():
 def test_products_beyond_doubles_are_exact():
     a = np.array([[2.0**40 + 1, 3.0]])
     assert topk.products(a, a)[0, 0] == (2**40 + 1) ** 2 + 9
+
+
+# --- tables on the way -----------------------------------------------------------------------------------------------
+
+def test_clearing_spares_the_tables_of_other_jobs(spark):
+    from listguard.llm import scratch
+
+    kept = scratch.stage(spark.range(5), "own")
+    with scratch.collected() as mine:
+        gone = scratch.stage(spark.range(7), "other")
+        assert gone.count() == 7
+    scratch.clear(spark, mine)
+    assert mine == [] and kept.count() == 5
+
+
+def test_top_k_keeps_equal_vectors_of_other_ids_beside_a_repeated_id(spark):
+    rows = [(100, [1.0, 2.0])] * 12 + [(200, [1.0, 2.0]), (300, [0.5, 0.5])] + [(50, [1.0, 2.0])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(frame, F.col("vec_id") == 100, k=3).collect())
+    assert found == [(100, 1, 50), (100, 2, 50), (100, 3, 50)]
+    found = sorted((r.rank, r.vec_id) for r in topk.top_k(frame, F.col("vec_id") == 100, k=10).collect())
+    assert found == [(1, 50), (2, 50), (3, 50), (4, 200), (5, 300)]
+    found = sorted((r.rank, r.vec_id) for r in topk.top_k(frame, F.col("vec_id") == 200, k=14).collect())
+    assert found == [(i, 50 if i < 4 else 100) for i in range(1, 15)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -420,3 +421,33 @@ def test_cuts_change_no_ids(word):
         known = bpe.Fragments(file.read())
     whole = known._merged([*word[:-1], word[-1] + bpe.WORD_END])
     assert known._cut(word) == np.array([known.vocabulary[s] for s in whole], dtype="<u4").tobytes()
+
+
+# --- very long words, numbers and rows ---------------------------------------------------------------------------------
+
+def timed(seconds, work):
+    start = time.process_time()
+    result = work()
+    assert time.process_time() - start < seconds
+    return result
+
+
+def test_very_long_parts_of_numbers_do_not_end_the_job():
+    text = "0" * 10_000 + "1.2.3.4 and " + "1" * 10_000 + ".1.1.1 10.0.0.256 10.0.0.0255"
+    assert [s for s in pii.base_spans(text) if s[0] == "ip"] == [("ip", 0, 10_007), ("ip", len(text) - 11, len(text))]
+
+
+def test_a_million_sensitive_words_are_scanned_in_one_pass():
+    for text in ("token " * 170_000, "token = abcdef1 " * 60_000, "token=" + "aB3" * 300_000):
+        timed(10, lambda: secret_scan.candidates(text, text.lower(), secret_scan.base_spans(text, text.lower())))
+
+
+def test_a_word_of_a_million_letters_is_encoded_in_n_log_n(spark):
+    with open(VOCABULARY, encoding="utf-8") as file:
+        source = file.read()
+    known, library = bpe.Fragments(source), Tokenizer.from_str(source)
+    rng = np.random.default_rng(4)
+    for text in ("a" * 16_000, "ab" * 4000 + "the" * 300, "".join(rng.choice(list("abcdehtiorns"), 9000)), "é" * 5000):
+        assert np.frombuffer(known.ids(text), np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    timed(20, lambda: known.ids("a" * 1_000_000))
+    assert max(map(len, known), default=0) <= bpe.LONGEST
