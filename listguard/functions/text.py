@@ -219,8 +219,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    """All ``n``-word sequences of a token array."""
+def sequences(tokens: Column, n: int) -> Column:
+    """All sequences of ``n`` words of a token array."""
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
@@ -228,4 +228,4 @@ def _runs(tokens: Column, n: int) -> Column:
 
 def ngrams(tokens: Column, longest: int) -> Column:
     """Distinct 1..``longest``-word sequences of a token array."""
-    return let(tokens, lambda t: F.array_distinct(F.concat(t, *[_runs(t, n) for n in range(2, longest + 1)])))
+    return let(tokens, lambda t: F.array_distinct(F.concat(t, *[sequences(t, n) for n in range(2, longest + 1)])))

@@ -118,7 +118,7 @@ def resolve_category(df: DataFrame, category_map: DataFrame) -> DataFrame:
                                                (-F.col("first._i")).alias("d")).alias("rank")))
         best = keys.groupBy("kn").agg(F.max_by("code", "rank").alias("code"), F.max("rank").alias("rank"))
         wanted = left.select("sn").distinct()
-        inside = (kw.containing(wanted.select(F.col("sn").alias("text")), best, "kn", shortest=3)
+        inside = (kw.containing(wanted.select(F.col("sn").alias("text")), best, "kn")
                   .select(F.col("text").alias("sn"), "code", "rank"))
         around = (kw.containing(best.select("code", "rank", F.col("kn").alias("text")), wanted, "sn")
                   .select("sn", "code", "rank"))

@@ -1,33 +1,89 @@
-"""Keyword rules against names: equality joins on word sequences, then the exact pattern."""
+"""Keyword rules against names: equality joins on each rule's rarest key, then the exact test.
+
+A rule is found by its rarest word. Only where many rules share even their rarest word do they take two
+words that follow each other, then three, and so on; the keys depend on the rules alone. Names are cut into
+sequences of just the lengths in use, so pairs grow with the rules that a name nearly holds, not with the rules.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listguard.functions import text as tx
-from listguard.operators.skew import BROADCAST_ROWS, small
+from listguard.session import stage
 
 # Marks the key of a word without word characters: its first character.
 SIGN = "\u0001"
+# Rules that may share a key before a longer one is tried, and copies of a rule that a frequent key's rows meet.
+CROWD = 32
+SALTS = 8
+
+
+def rarest_keys(words: DataFrame, options: Callable[[int], Column], size: Column, sizes: Callable[[int], int]
+                ) -> tuple[DataFrame, list[int]]:
+    """(word, _key) of every different ``word``, and the key lengths in use.
+
+    ``options(n)`` lists a word's keys of length ``n`` and ``size`` is its own length; ``sizes(n)`` follows n. A word takes
+    its rarest key, counted over the words, and goes on to longer ones while that is crowded. Each round
+    holds the crowded words alone and is written.
+    """
+    pending, done, used, n = words.select("word").distinct(), None, [], sizes(0)
+    while True:
+        each = pending.select("word", F.explode(F.array_distinct(options(n))).alias("_key"))
+        shared = each.groupBy("_key").agg(F.count("*").alias("n"))
+        best = F.min(F.struct("n", "_key")).alias("b")
+        picked = stage(each.join(shared, "_key").groupBy("word").agg(best)
+                       .select("word", "b._key", ((F.col("b.n") > CROWD) & (size > n)).alias("crowded")), "keys")
+        ready = picked.where("NOT crowded").select("word", "_key")
+        done = ready if done is None else done.union(ready)
+        used.append(n)
+        pending = picked.where("crowded").select("word")
+        if not pending.head(1):
+            return done, used
+        n = sizes(n)
+
+
+def spread(rules: DataFrame) -> DataFrame:
+    """Every rule SALTS times, for rows that carry a salt: a key of very many rows goes to several tasks."""
+    return rules.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
 
+def salt(row_id: str) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int").alias("_salt")
 
-def word_key(word: Column) -> Column:
-    """The word sequence of a keyword; for a keyword without word characters its marked first character."""
-    key = F.array_join(tx.word_tokens(word), " ")
-    return F.when(key != "", key).otherwise(F.concat(F.lit(SIGN), F.substr(word, F.lit(1), F.lit(1))))
 
+def word_keys(rules: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
+    """(word, _key) for the texts of ``column``: word sequences, or the marked first character of a text without words."""
+    words = rules.where(F.col(column) != "").select(F.col(column).alias("word"))
+    tokens = tx.word_tokens(F.col("word"))
 
-def keyed_rules(rules: DataFrame, column: str = "_key") -> tuple[DataFrame, int]:
-    """Rules by key, hinted for broadcast when their count allows it, and the longest key in words."""
-    n, longest = rules.agg(F.count("*"), F.max(F.size(F.split(column, " ")))).head()
-    return (F.broadcast(rules) if n <= BROADCAST_ROWS else rules), max(longest or 1, 1)
+    def options(n: int) -> Column:
+        sign = F.array(F.concat(F.lit(SIGN), F.substr("word", F.lit(1), F.lit(1))))
+        return tx.let(tokens, lambda t: F.when(F.size(t) > 0, tx.sequences(t, n)).otherwise(sign))
 
+    return rarest_keys(words, options, F.size(tokens), lambda n: n + 1)
 
-def text_keys(text: Column, longest: int) -> Column:
-    """Every word sequence of the text, and its other characters marked, which find wordless keywords."""
+
+def keyed_rules(rules: DataFrame, column: str) -> tuple[DataFrame, list[int]]:
+    """Rules with the ``_key`` of their ``column`` and ``_salt``, written once, and the key lengths in use."""
+    keys, used = word_keys(rules, column)
+    met = rules.join(keys.withColumnRenamed("word", "_word"), F.col(column) == F.col("_word")).drop("_word")
+    return spread(stage(met, "rules")), used
+
+
+def text_keys(text: Column, used: list[int]) -> Column:
+    """The text's word sequences of the lengths in use, and its other characters marked, which find wordless keywords."""
     signs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)([^\w\s])"), F.lit(1)))
-    return F.concat(tx.ngrams(tx.word_tokens(text), longest), F.transform(signs, lambda c: F.concat(F.lit(SIGN), c)))
+    marks = F.transform(signs, lambda c: F.concat(F.lit(SIGN), c))
+    return tx.let(tx.word_tokens(text), lambda t: F.array_distinct(F.concat(*[tx.sequences(t, n) for n in used], marks)))
+
+
+def word_sequence(text: Column) -> Column:
+    """All words of the text, each between spaces."""
+    return F.concat(F.lit(" "), F.array_join(tx.word_tokens(text), " "), F.lit(" "))
 
 
 def row_pattern(words: Column, style: str) -> Column:
@@ -53,24 +109,26 @@ def attach_patterns(df: DataFrame, lists: list[tuple], row_id: str = "PRODUCT_SE
     of = {name: i for name, _, text, _ in lists for i, (key, _) in enumerate(texts) if key == str(text)}
     rules = None
     for name, words, _, _ in lists:
-        some = words.select(F.lit(name).alias("list"), F.lit(of[name]).alias("src"), "word",
-                            word_key(F.col("word")).alias("_key"))
+        some = words.select(F.lit(name).alias("list"), F.lit(of[name]).alias("src"), "word")
         rules = some if rules is None else rules.unionByName(some)
-    sizes = ({r[0]: r[1] for r in rules.groupBy("list").agg(F.max(F.size(F.split("_key", " ")))).collect()}
-             if rules is not None else {})
-    if not sizes:
+    if rules is None:
+        return df, {}
+    rules, used = keyed_rules(rules.withColumn("_seq", word_sequence(F.col("word"))), "word")
+    filled = {r[0] for r in rules.select("list").distinct().collect()}  # names of lists, which the caller wrote
+    if not filled:
         return df, {name: None for name, *_ in lists}
-    longest = max(sizes.values())
 
     def sourced(src: int, text: Column) -> Column:
-        return F.transform(text_keys(text, longest), lambda k: F.struct(F.lit(src).alias("src"), k.alias("_key")))
+        return tx.let(word_sequence(text), lambda words: F.transform(text_keys(text, used), lambda k: F.struct(
+            F.lit(src).alias("src"), k.alias("_key"), words.alias("_words"))))
 
     keys = F.concat(*[sourced(i, text) for i, (_, text) in enumerate(texts)])
-    met = (df if source is None else source).select(row_id, F.inline(keys)).join(small(rules), ["src", "_key"])
+    met = ((df if source is None else source).select(row_id, salt(row_id), F.inline(keys)).join(rules, ["src", "_key", "_salt"])
+           .where(F.startswith("_key", F.lit(SIGN)) | F.contains("_words", F.col("_seq"))))
     found = met.groupBy(row_id).agg(*[
         row_pattern(F.collect_set(F.when(F.col("list") == name, F.col("word"))), style).alias(f"_pat_{name}")
-        for name, _, _, style in lists if name in sizes])
-    return df.join(found, row_id, "left"), {name: F.col(f"_pat_{name}") if name in sizes else None for name, *_ in lists}
+        for name, _, _, style in lists if name in filled])
+    return df.join(found, row_id, "left"), {name: F.col(f"_pat_{name}") if name in filled else None for name, *_ in lists}
 
 
 def hit(text: Column, pattern: Column) -> Column:
@@ -86,25 +144,35 @@ def every_match(text: Column, pattern: Column) -> Column:
     return F.regexp_extract_all(text, pattern, F.lit(0))
 
 
-def containing(df: DataFrame, rules: DataFrame, column: str, text: str = "text", shortest: int = 1) -> DataFrame:
-    """Rows of ``df`` with each rule whose ``column`` occurs in ``text``; no pair without a shared key is tested.
+def containing(df: DataFrame, rules: DataFrame, column: str, text: str = "text") -> DataFrame:
+    """Rows of ``df`` with each rule whose ``column`` occurs in ``text``; empty rules never match."""
+    return candidates(df, rules, column, text).where(F.contains(F.col(text), F.col(column)))
+
 
-    Each rule is found by three neighbouring characters of its own (shorter rules by themselves), which every
-    text that holds it has too; the hash picks them, so that rules spread over keys. Empty rules
-    never match; no rule is shorter than ``shortest``.
+def candidates(df: DataFrame, rules: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows of ``df`` with the rules that ``text`` may contain; no pair without a shared key is formed.
+
+    Each rule is found by its rarest three neighbouring characters, counted over the rules (shorter rules by
+    themselves), which every text that holds it has too; where these are crowded, by its rarest six, then twelve,
+    and so on.
     """
-    def grams(c: Column, n) -> Column:
+    def cut(c: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(c) - F.lit(n) + 1)
-        cut = F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n))))
-        return F.when(F.length(c) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    own = F.col(column)
-    picked = F.element_at(F.array_sort(F.transform(grams(own, 3), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), 1)
-    keyed = rules.where(F.length(own) > 0).withColumn(
-        "_key", F.when(F.length(own) >= 3, picked.getField("g")).otherwise(own))
-    keys = F.concat(*[grams(F.col(text), n) for n in range(min(shortest, 3), 4)])
-    return (df.withColumn("_key", F.explode(keys)).join(keyed, "_key")
-            .where(F.contains(F.col(text), own)).drop("_key"))
+        grams = F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
+        return F.when(F.length(c) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    own, size = F.col(column), F.length("word")
+    words = rules.where(F.length(own) > 0).select(own.alias("word"))
+    keys, _ = rarest_keys(words, lambda n: F.when(size >= n, cut(F.col("word"), n)).otherwise(F.array("word")), size,
+                          lambda n: 2 * n or 3)
+    keyed = spread(stage(rules.join(keys.withColumnRenamed("word", "_word"), own == F.col("_word")).drop("_word"), "rules"))
+    # Lengths of keys: a few sizes, and those of rules shorter than the size they reached.
+    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
+    if not lengths:
+        return df.join(rules, F.lit(False))
+    by_text = F.array_distinct(F.concat(*[cut(F.col(text), n) for n in lengths]))
+    return (df.withColumn("_key", F.explode(by_text)).withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+            .join(keyed, ["_key", "_salt"]).drop("_key", "_salt"))
 
 
 def bounded_word(word: Column) -> Column:
@@ -132,17 +200,18 @@ def restricted_brand_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUC
     rules = rules.withColumns({"brand_marked": marked(F.col("brand")), "marks": F.transform("variations", marked)})
     rules = rules.withColumn("_rule", F.struct(*rules.columns))
     whole = F.concat(F.lit("="), F.col("brand"))
-    words = F.array_distinct(F.transform(F.concat(F.array("brand"), F.col("variations")), word_key))
-    keyed, longest = keyed_rules(
-        rules.select("_rule", F.explode(F.array_union(F.array(whole), words)).alias("_key")))
+    words = F.array_union(F.array("brand"), F.col("variations"))
+    by_word, used = keyed_rules(rules.select("_rule", F.explode(words).alias("_of")), "_of")
+    by_brand = spread(rules.select("_rule", whole.alias("_key")))
+    keyed = by_word.select("_rule", "_key", "_salt").unionByName(by_brand)
     name, brand = F.lower(tx.as_text(F.col("NAME"))), tx.lower_key(F.col("BRAND"))
     probe = df.select(row_id, name.alias("n"), brand.alias("b"),
                       tx.lower_key(F.col("SELLER_NAME")).alias("s"),
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
-    keys = F.array_union(F.array_union(text_keys(F.col("n"), longest), text_keys(F.col("b"), longest)),
+    keys = F.array_union(F.array_union(text_keys(F.col("n"), used), text_keys(F.col("b"), used)),
                          F.array(F.concat(F.lit("="), F.col("b"))))
     met = (probe.select("*", marked(F.col("n")).alias("mn"), marked(F.col("b")).alias("mb"),
-                        F.explode(keys).alias("_key")).join(keyed, "_key")
+                        salt(row_id), F.explode(keys).alias("_key")).join(keyed, ["_key", "_salt"])
            .select(row_id, "n", "b", "s", "c", "mn", "mb", "_rule.*"))
     tested = met.select(
         "*", ((F.col("b") == F.col("brand")) | F.contains("mn", F.col("brand_marked"))).alias("main"),
@@ -180,12 +249,11 @@ def prohibited_hits(df: DataFrame, rules: DataFrame, row_id: str = "PRODUCT_SET_
     The detail lists keywords in rule order, leaving out one already contained in the text so
     far; the name is marked with the last keyword found.
     """
-    keyed, longest = keyed_rules(rules.select("*", word_key(F.col("keyword")).alias("_key"),
-                                              marked(F.lower("keyword")).alias("_marked")))
+    keyed, used = keyed_rules(rules.withColumn("_marked", marked(F.lower("keyword"))), "keyword")
     probe = df.select(row_id, tx.as_text(F.col("NAME")).alias("raw"),
                       tx.clean_code(F.col("CATEGORY_CODE")).alias("c"))
-    met = (probe.select("*", marked(F.lower("raw")).alias("_m"), F.explode(text_keys(F.col("raw"), longest)).alias("_key"))
-           .join(keyed, "_key")
+    met = (probe.select("*", marked(F.lower("raw")).alias("_m"), salt(row_id), F.explode(text_keys(F.col("raw"), used)).alias("_key"))
+           .join(keyed, ["_key", "_salt"])
            .where(((F.size("categories") == 0) | F.array_contains("categories", F.col("c")))
                   & F.contains("_m", F.col("_marked"))))
     found = met.groupBy(row_id).agg(
@@ -209,12 +277,12 @@ def known_brand_hits(df: DataFrame, brands: DataFrame, row_id: str = "PRODUCT_SE
 
     known = (brands.select(F.lower(tx.strip_ws(F.col("word"))).alias("brand")).where("brand <> ''").distinct()
              .withColumn("_key", plain(F.col("brand"))).where("_key <> ''"))
-    n, longest = known.agg(F.count("*"), F.max(F.length("_key"))).head()
-    known, longest = (F.broadcast(known) if n <= BROADCAST_ROWS else known), longest or 1
+    known = stage(known, "brands")
+    longest = known.agg(F.max(F.length("_key"))).head()[0] or 1
     probe = df.select(row_id, plain(tx.as_text(F.col("NAME"))).alias("n"))
     cuts = F.filter(F.sequence(F.lit(1), F.least(F.length("n"), F.lit(longest))),
                     lambda i: ~F.coalesce(F.substr(F.col("n"), i + 1, F.lit(1)).rlike(r"(?U)[\p{L}\p{N}]"),
                                           F.lit(False)))
     starts = F.when(F.length("n") > 0, F.transform(cuts, lambda i: F.substr(F.col("n"), F.lit(1), i)))
-    met = probe.select(row_id, F.explode(starts).alias("_key")).join(known, "_key")
+    met = probe.select(row_id, salt(row_id), F.explode(starts).alias("_key")).join(spread(known), ["_key", "_salt"])
     return met.groupBy(row_id).agg(F.max_by("brand", F.struct(F.length("brand"), "brand")).alias("brand"))
