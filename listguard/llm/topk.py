@@ -208,7 +208,9 @@ def top_k(df: DataFrame, is_query: Column, vector: str = "embedding", vec_id: st
                .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int")))
 
     def found(queries: DataFrame) -> DataFrame:
-        spread = chunked.join(queries.select(*cells).distinct(), cells[:3]).select(*cells, "vec_id", "v")
+        asked_for = queries.select(*cells[:3], F.col("part").alias("__part")).distinct()
+        spread = chunked.join(asked_for, cells[:3]).select(*[F.col(c).alias(c) for c in cells[:3]],
+                                                           F.col("__part").alias("part"), "vec_id", "v")
         return (queries.groupBy(*cells).cogroup(spread.groupBy(*cells))
                 .applyInArrow(lambda q, d: find_best(q, d, k, scale), "query_id bigint, vec_id bigint, score bigint"))
 
