@@ -21,16 +21,16 @@ def collected() -> Iterator[list[str]]:
     try:
         yield mine
     finally:
-        _collected.remove(mine)
+        _collected.pop()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and goes on from the written table.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in folders ``by`` a column if given, and goes on from the written table.
 
     Nothing upstream runs twice, a lost executor costs no earlier step, and rows keep their order and places.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpus-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     for mine in _collected:
         mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 
 from listguard.llm.batches import small_batches
 from listguard.llm.rows import quoted
-from listguard.llm.scratch import stage
+from listguard.llm.scratch import clear, collected, stage
 
 WORDS = re.compile(r"\w+")
 #: Letters of an expression, and the longest one whose counts both classes share.
 ORDER = 6
 SHARED = 2
-#: Probability of an unseen letter, and the range of discounts.
+#: Probability of an unseen letter, the range of discounts, and the occurrences that both classes' counts weigh in each.
 UNSEEN = 1e-4
 DISCOUNTS = (0.1, 0.95)
+PRIOR = 2.0
+#: Ridge of the two weights, small enough that few calibration rows still tell well separated classes apart.
+RIDGE = 0.01
 CLASSES = ("ordinary", "toxic")
 #: The most frequent words, of at most LONG letters, whose scores tasks hold; all others get theirs by a join.
 REMEMBERED = 200_000
@@ -110,7 +113,8 @@ def count_tables(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     counted = (words.mapInArrow(expressions, kinds).groupBy("g")
                .agg(*[F.first(c).alias(c) for c in ("context", "suffix", "start", "size")],
                     F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    counted = stage(counted, "expressions")
+    with collected() as written:
+        counted = stage(counted, "expressions")
     # Letters before: one for each longer expression that ends in this one, in each class.
     before = counted.where("size > 1").groupBy(F.col("suffix").alias("g")).agg(
         *[F.count(F.when(F.col(c) > 0, 1)).alias(f"b_{c}") for c in ("ordinary", "toxic")])
@@ -121,20 +125,24 @@ def count_tables(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = each.select("g", "context", "size", *[F.when(F.col("size") <= SHARED, both).otherwise(F.col(c)).alias(c)
                                                  for c in ("ordinary", "toxic")])
     each = stage(each, "counts")
-    contexts = each.groupBy("context").agg(*[f(c).alias(p + c) for c in ("ordinary", "toxic") for p, f in (
-        ("n_", F.sum), ("kinds_", lambda x: F.count(F.when(F.col(x) > 0, 1))))])
+    clear(train.sparkSession, written)
+    n = together()
+    contexts = each.groupBy("context").agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], F.sum(n).alias("n"),
+                                           F.count(F.when(n > 0, 1)).alias("kinds"))
     return each, contexts
 
 
+def together() -> Column:
+    """Both classes' count of an expression; where the classes share their counts, each has it already."""
+    return F.when(F.col("size") <= SHARED, F.col("ordinary")).otherwise(F.col("ordinary") + F.col("toxic"))
+
+
 def discounts(each: DataFrame) -> np.ndarray:
-    """Discounts by size and class, from the expressions counted once and twice."""
-    out = np.full((ORDER + 1, 2), 0.75)
-    for r in each.groupBy("size").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}{n}")
-                                        for c in CLASSES for n in (1, 2)]).collect():
-        for c, name in enumerate(CLASSES):
-            once, twice = r[f"{name}1"], r[f"{name}2"]
-            if once:
-                out[r["size"], c] = np.clip(once / (once + 2 * twice), *DISCOUNTS)
+    """Discounts by size, from the expressions counted once and twice in both classes together."""
+    out = np.full(ORDER + 1, 0.75)
+    for r in each.groupBy("size").agg(*[F.count(F.when(together() == n, 1)).alias(f"c{n}") for n in (1, 2)]).collect():
+        if r["c1"]:
+            out[r["size"]] = np.clip(r["c1"] / (r["c1"] + 2 * r["c2"]), *DISCOUNTS)
     return out
 
 
@@ -168,7 +176,10 @@ def all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, context, suffix, size): the expressions of words that a score needs, once for each table of words."""
+    """(g, context, suffix, size, start): the expressions of words that a score needs, once for each table of words.
+
+    ``start`` marks expressions at a word's beginning.
+    """
     for table in gathered(batches):
         letters = Letters(table["word"].to_pylist())
         hashed = [np.zeros(len(letters.codes), np.uint64), *map(letters.hashes, range(1, ORDER + 1))]
@@ -178,10 +189,10 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, first = np.unique(hashed[k][at], return_index=True)
             ends = at[first]
             parts.append([g, hashed[k - 1][ends - 1] if k > 1 else np.zeros(len(g), np.uint64), hashed[k - 1][ends],
-                          np.full(len(g), k, np.int32)])
-        g, context, suffix, size = (np.concatenate(c) for c in zip(*parts))
-        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (g, context, suffix)] + [pa.array(size)],
-                                         names=["g", "context", "suffix", "size"])
+                          np.full(len(g), k, np.int32), letters.place[ends] == k - 1])
+        g, context, suffix, size, start = (np.concatenate(c) for c in zip(*parts))
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (g, context, suffix)] +
+                                         [pa.array(size), pa.array(start)], names=["g", "context", "suffix", "size", "start"])
 
 
 def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,36 +210,58 @@ def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
     """(w, ratio): log P(word | toxic) - log P(word | ordinary) of the distinct ``words`` (w, word).
 
+    After a context, the discount taken from the counts of both classes together is the weight of the next shorter
+    order; both classes share it, so an expression that neither has seen tells little of the class. The rest goes to the
+    letters by the class's own counts, with the shares of both classes weighing in as PRIOR occurrences. A class
+    that has not seen the context takes the shorter order as it is. Each class's probabilities after a context add
+    up to one.
+
     Counts stay in tables keyed by the whole 64-bit hash of an expression and grow with the input. Each
     distinct expression of the words meets its count and its context's once; then every order takes the
-    probability of the next shorter one by a join, so no key is hotter than the letters are many.
+    probability of the next shorter one by a join, so no key is hotter than the letters are many. Tables
+    go once the next one is written.
     """
-    each, contexts = count_tables(train)
+    spark = words.sparkSession
+    with collected() as counted:
+        each, contexts = count_tables(train)
     cut = discounts(each)
-    needed = words.select("word").mapInArrow(asked, "g bigint, context bigint, suffix bigint, size int").groupBy("g").agg(
-        *[F.first(c).alias(c) for c in ("context", "suffix", "size")])
-    met = needed.join(each.select("g", *CLASSES), "g", "left").join(contexts, "context", "left")
+    needed = words.select("word").mapInArrow(
+        asked, "g bigint, context bigint, suffix bigint, size int, start boolean").groupBy("g").agg(
+        *[F.first(c).alias(c) for c in ("context", "suffix", "size", "start")])
+    n = F.coalesce(together(), F.lit(0))
+    met = (needed.join(each.select("g", *CLASSES), "g", "left").withColumn("c", n)
+           .join(contexts, "context", "left"))
+    d = F.array(*[F.lit(float(x)) for x in cut])[F.col("size")]
+    rest, share = d * F.col("kinds") / F.col("n"), F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("n")
     columns = []
     for c, name in enumerate(CLASSES):
-        d = F.array(*[F.lit(float(x)) for x in cut[:, c]])[F.col("size")]
-        # An expression that neither class has tells nothing of the class: its order is passed over in both.
-        known, total = F.col(name).isNotNull() & (F.coalesce(F.col(f"n_{name}"), F.lit(0)) > 0), F.col(f"n_{name}")
-        seen = F.greatest(F.coalesce(F.col(name), F.lit(0)) - d, F.lit(0.0)) / total
-        columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"),
-                    F.when(known, d * F.col(f"kinds_{name}") / total).otherwise(1.0).alias(f"rest{c}")]
-    met = stage(met.select("g", "suffix", "size", *columns), "met")
-    orders, shorter = [], None
+        known = F.coalesce(f"n_{name}", F.lit(0)) > 0
+        seen = ((1 - rest) * F.coalesce(name, F.lit(0)) + PRIOR * share) / (F.col(f"n_{name}") + PRIOR)
+        columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"), F.when(known, rest).otherwise(1.0).alias(f"rest{c}")]
+    with collected() as sized:
+        met = stage(met.select("g", "suffix", "start", "size", *columns), "met", by="size")
+    clear(spark, counted)
+    ratio = (F.log(F.col("p1") + 1e-12) - F.log(F.col("p0") + 1e-12)).alias("ratio")
+    tops, shorter, last = [], None, []
     for k in range(1, ORDER + 1):
         mine = met.where(F.col("size") == k)
         if shorter is None:
             mine = mine.withColumns({f"p{c}": F.lit(UNSEEN) for c in (0, 1)})
         else:
             mine = mine.join(shorter.select(F.col("g").alias("suffix"), "p0", "p1"), "suffix")
-        shorter = stage(mine.select("g", *[(F.col(f"seen{c}") + F.col(f"rest{c}") * F.col(f"p{c}")).alias(f"p{c}")
-                                           for c in (0, 1)]), "order")
-        orders.append(shorter.select("g", (F.log(F.col("p1") + 1e-12) - F.log(F.col("p0") + 1e-12)).alias("ratio")))
-    tops = words.select("w", "word").mapInArrow(longest, "w bigint, g bigint")
-    return stage(tops.join(reduce(DataFrame.union, orders[1:]), "g").groupBy("w").agg(F.sum("ratio").alias("ratio")), "ratios")
+        mine = mine.select("g", "start", *[(F.col(f"seen{c}") + F.col(f"rest{c}") * F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)])
+        with collected() as written:
+            shorter = stage(mine if k < ORDER else mine.select("g", ratio), "order")
+        clear(spark, last + [f"{sized[0]}/size={k}"])
+        last = written
+        if k == ORDER:
+            tops.append(shorter)
+        elif k > 1:  # the longest expression of a letter is shorter than ORDER at a word's beginning alone
+            tops.append(stage(shorter.where("start").select("g", ratio), "tops"))
+    letters = words.select("w", "word").mapInArrow(longest, "w bigint, g bigint")
+    ratios = stage(letters.join(reduce(DataFrame.union, tops), "g").groupBy("w").agg(F.sum("ratio").alias("ratio")), "ratios")
+    clear(spark, last)
+    return ratios
 
 
 KNOWN = "struct<total:double,letters:bigint,worst:array<double>,rare:array<struct<word:string,n:int>>>"
@@ -264,7 +297,7 @@ def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights (bias first) of standardised features, by Newton steps with a small ridge."""
     z = np.c_[np.ones(len(x)), x]
-    w, ridge = np.zeros(z.shape[1]), np.diag([0.0, *[1.0] * x.shape[1]])
+    w, ridge = np.zeros(z.shape[1]), np.diag([0.0, *[RIDGE] * x.shape[1]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         hessian = z.T @ (z * (p * (1 - p))[:, None]) + ridge + 1e-6 * np.eye(len(w))
@@ -281,7 +314,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
 
     Labelled documents outside the held-out and calibration folds are counted whole: every expression of
     up to ORDER letters inside words, by class, smoothed the Kneser-Ney way; the shortest share their
-    counts between classes, so rare expressions fall back to common ground. No count is shared by hash slots
+    counts between classes, and all share the weights of falling back, so rare expressions rest on common ground. No count is shared by hash slots
     or dropped: the tables grow with the input and meet the distinct words by joins. A document's features are its
     log-likelihood ratio (toxic against ordinary) a letter, and that of its worst words. Two weights and
     a bias turn them into the score; they are fitted on at most CALIBRATION_ROWS labelled rows of the

@@ -365,13 +365,22 @@ def plain_ratio(train, word):
         p = [toxicity.UNSEEN] * 2
         for k in range(1, min(toxicity.ORDER, i + 1) + 1):
             g = w[i - k + 1:i + 1]
-            for c in (0, 1):
-                sized = [n for x, n in counts[c].items() if len(x) == k]
-                once, twice = sized.count(1), sized.count(2)
-                d = np.clip(once / (once + 2 * twice), *toxicity.DISCOUNTS) if once else 0.75
-                inside = [n for x, n in counts[c].items() if len(x) == k and x[:-1] == g[:-1]]
-                if sum(inside) and g in every:
-                    p[c] = max(counts[c].get(g, 0) - d, 0) / sum(inside) + d * sum(n > 0 for n in inside) / sum(inside) * p[c]
+            together = {x: n if k <= toxicity.SHARED else n + counts[1][x] for x, n in counts[0].items() if len(x) == k}
+            sized = list(together.values())
+            once, twice = sized.count(1), sized.count(2)
+            d = np.clip(once / (once + 2 * twice), *toxicity.DISCOUNTS) if once else 0.75
+            after = [x for x in together if x[:-1] == g[:-1]]
+            n = sum(together[x] for x in after)
+            if n:
+                rest = d * len(after) / n
+                before = list(p)
+                for c in (0, 1):
+                    def given(x):  # the letter's share after the context, in the class with the weight of both
+                        own = counts[c].get(x, 0) + toxicity.PRIOR * max(together.get(x, 0) - d, 0) / n / (1 - rest)
+                        return own / (sum(counts[c][y] for y in after) + toxicity.PRIOR)
+                    if sum(counts[c][y] for y in after):
+                        assert abs(sum(map(given, after)) - 1) < 1e-9
+                        p[c] = (1 - rest) * given(g) + rest * before[c]
         out += np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
     return out
 
