@@ -300,7 +300,7 @@ def audit_flow(spark, sf):
 
 def reported(spark, sf, code="KE"):
     """Prepared listings with the columns the report reads besides."""
-    rows = ingest.prepare(listings(spark, sf), None, MARKET, block="l_partkey")
+    rows = ingest.prepare(listings(spark, sf), None, MARKET)
     docs = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("short text"),
                                 F.concat(F.lit("long "), F.repeat(F.coalesce("NAME", F.lit("x")), 30)),
                                 F.concat(F.lit("<IMG src=x>"), F.repeat(F.coalesce("NAME", F.lit("x")), 30))),

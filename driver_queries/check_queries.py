@@ -10,6 +10,7 @@ from listguard.operators import checks as C
 from listguard.operators import ingest, keywords, verdict as V
 from listguard.functions import text as tx
 from listguard.plans import flows
+from listguard.session import stage
 from listguard.sources import rules as R
 
 QUERIES, SQL = {}, {}
@@ -44,7 +45,7 @@ def add(name, sql=None):
 
 def prepared(spark, sf, code=None):
     """Products of the listing view; every country when ``code`` is None."""
-    return ingest.prepare(listings(spark, sf), code, MARKET, block="l_partkey")
+    return ingest.prepare(listings(spark, sf), code, MARKET)
 
 
 def _check(flag):
@@ -150,13 +151,14 @@ def f07(spark, sf):
 
 @add("f08_flagged_rows", S.verdict_parts("KE", "d") + "SELECT DISTINCT sid, ord FROM own")
 def f08(spark, sf):
-    out = C.run_checks(prepared(spark, sf), rule_book(spark, sf))
+    out = C.run_checks(stage(prepared(spark, sf), "prepared"), rule_book(spark, sf))
     return out.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode("_found").alias("x")).select("sid", "x.ord")
 
 
 @add("f09_approved", S.verdict_parts("KE", "d") + "SELECT PRODUCT_SET_SID FROM d WHERE PRODUCT_SET_SID NOT IN (SELECT sid FROM own)")
 def f09(spark, sf):
-    out = C.run_checks(prepared(spark, sf), rule_book(spark, sf))
+    out = C.run_checks(stage(prepared(spark, sf), "prepared"), rule_book(spark, sf))
+    out = stage(out.select("PRODUCT_SET_SID", "_mask"), "checked")
     return V.approved(out, out.where("_mask <> 0")).select("PRODUCT_SET_SID")
 
 
@@ -166,7 +168,7 @@ _SKIP = ("Counterfeit Sneakers", "Product Warranty", "Generic BRAND Issues")
 @add("f10_country_skips", S.verdict_parts("KE", "d", _SKIP) + "SELECT DISTINCT sid, ord FROM own WHERE ord NOT IN (2, 3, 4, 6, 7, 10, 11)")
 def f10(spark, sf):
     # Uganda leaves out three checks; without rules of its own only shared checks remain.
-    out = C.run_checks(prepared(spark, sf), rule_book(spark, sf, "UG"))
+    out = C.run_checks(stage(prepared(spark, sf), "prepared"), rule_book(spark, sf, "UG"))
     rows = out.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode("_found").alias("x")).select("sid", "x.ord")
     return rows.where(~F.col("ord").isin(2, 3, 4, 6, 7, 10, 11))
 
@@ -174,13 +176,13 @@ def f10(spark, sf):
 # ---- verdicts ------------------------------------------------------------------------------
 
 def flagged(spark, sf, code):
-    return flows.flagged_listings(listings(spark, sf), rule_book(spark, sf, code), block="l_partkey")
+    return flows.flagged_listings(listings(spark, sf), rule_book(spark, sf, code))
 
 
 @add("v01_duplicate_expansion", S.verdict_parts("KE", "d_ke") + """SELECT DISTINCT k2.sid, o.ord FROM own o JOIN keys k1 ON o.sid = k1.sid
 JOIN keys k2 ON k1.dk = k2.dk WHERE (k2.sid, o.ord) NOT IN (SELECT (sid, ord) FROM own)""")
 def v01(spark, sf):
-    checked = C.run_checks(prepared(spark, sf, "KE"), rule_book(spark, sf))
+    checked = flows.listing_tables(listings(spark, sf), rule_book(spark, sf))[1]
     extra = F.col("_dm").bitwiseAND(F.bitwise_not(F.col("_mask")))
     out = V.duplicate_mask(checked).where("_dm IS NOT NULL")
     return out.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode(V.flags_of(extra)).alias("ord"))
@@ -189,37 +191,37 @@ def v01(spark, sf):
 @add("v02_match_key_expansion", S.verdict_parts("KE", "d_ke") + """SELECT DISTINCT k2.sid, o.ord FROM own o JOIN keys k1 ON o.sid = k1.sid
 JOIN keys k2 ON k1.mk = k2.mk WHERE o.ord IN (2, 4, 6, 7, 9)""")
 def v02(spark, sf):
-    checked = C.run_checks(prepared(spark, sf, "KE"), rule_book(spark, sf))
+    checked = flows.listing_tables(listings(spark, sf), rule_book(spark, sf))[1]
     out = V.shared_mask(checked).where("_mm IS NOT NULL")
     return out.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode(V.flags_of(F.col("_mm"))).alias("ord"))
 
 
 @add("v03_first_flag", S.verdict_parts("KE", "d_ke") + 'SELECT "ProductSetSid", "FLAG" FROM verdict WHERE "Status" = \'Rejected\'')
 def v03(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey").where("Status = 'Rejected'").select("ProductSetSid", "FLAG")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf)).where("Status = 'Rejected'").select("ProductSetSid", "FLAG")
 
 
 @add("v04_verdict_kenya", S.verdict_parts("KE", "d_ke") + "SELECT * FROM verdict")
 def v04(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf))
 
 
 @add("v04_verdict_nigeria", S.verdict_parts("NG", "d_ng") + "SELECT * FROM verdict")
 def v04_ng(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf, "NG"), block="l_partkey")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf, "NG"))
 
 
 @add("v05_approved_rows", S.verdict_parts("KE", "d_ke") + "SELECT * FROM verdict WHERE \"Status\" = 'Approved'")
 def v05(spark, sf):
-    return flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey").where("Status = 'Approved'")
+    return flows.validate(listings(spark, sf), rule_book(spark, sf)).where("Status = 'Approved'")
 
 
 @add("v06_full_merge", S.verdict_parts("KE", "d_ke") + """SELECT d.PRODUCT_SET_SID, d.NAME, d.BRAND, d.GLOBAL_PRICE, v."Status", v."Reason", v."FLAG", v."SellerName"
 FROM d LEFT JOIN verdict v ON v."ProductSetSid" = d.PRODUCT_SET_SID""")
 def v06(spark, sf):
     rules = rule_book(spark, sf)
-    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
-    return V.merge_full(rows, V.verdict(rows, rules)).select(
+    rows, flagged_rows = flows.listing_tables(listings(spark, sf), rules)
+    return V.merge_full(rows.drop("SELLER_NAME"), V.verdict(V.expand(flagged_rows), rules)).select(
         "PRODUCT_SET_SID", "NAME", "BRAND", "GLOBAL_PRICE", "Status", "Reason", "FLAG", "SellerName")
 
 
@@ -244,7 +246,7 @@ SELECT v."ProductSetSid", v."ParentSKU", CASE action WHEN 'reject' THEN 'Rejecte
 FROM verdict v LEFT JOIN named n ON n.sid = v."ProductSetSid" LEFT JOIN {S.flag_values()} m ON m.flag = n.nf""")
 def v07(spark, sf):
     rules = rule_book(spark, sf)
-    return V.apply_decisions(flows.validate(listings(spark, sf), rules, block="l_partkey"), decisions(spark, sf), rules)
+    return V.apply_decisions(flows.validate(listings(spark, sf), rules), decisions(spark, sf), rules)
 
 
 _V09 = S.verdict_parts("KE", "d_ke") + """, nextflag AS (SELECT f.sid, (SELECT min(s.ord) FROM shared s WHERE s.sid = f.sid AND s.ord <> 16) AS ord
@@ -269,8 +271,8 @@ def v09_counts(spark, sf):
 FROM d LEFT JOIN verdict v ON v."ProductSetSid" = d.PRODUCT_SET_SID""")
 def v10(spark, sf):
     rules = rule_book(spark, sf)
-    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
-    return V.audit_export(rows.select("PRODUCT_SET_SID", "NAME", "_mask"), V.verdict(rows, rules))
+    rows, flagged_rows = flows.listing_tables(listings(spark, sf), rules)
+    return V.audit_export(rows.select("PRODUCT_SET_SID", "NAME"), V.verdict(V.expand(flagged_rows), rules))
 
 
 # ---- validation KPIs -----------------------------------------------------------------------
@@ -282,25 +284,25 @@ from listguard.operators import analytics as A  # noqa: E402
  (SELECT count(*) FROM d WHERE """ + S.country() + """ IN ('MULTIPLE', 'MULTI')) AS multi_country FROM verdict""")
 def a16(spark, sf):
     rules = rule_book(spark, sf, "NG")
-    rows = flows.flagged_listings(listings(spark, sf), rules, block="l_partkey")
-    return A.validation_kpis(V.verdict(rows, rules), rows)
+    rows, flagged_rows = flows.listing_tables(listings(spark, sf), rules)
+    return A.validation_kpis(V.verdict(V.expand(flagged_rows), rules), rows)
 
 
 @add("a17_flag_counts", S.verdict_parts("KE", "d_ke") + """SELECT "FLAG", count(*) AS n FROM verdict WHERE "Status" = 'Rejected' GROUP BY 1""")
 def a17(spark, sf):
-    return A.flag_counts(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
+    return A.flag_counts(flows.validate(listings(spark, sf), rule_book(spark, sf)))
 
 
 @add("a17_top_flag", S.verdict_parts("KE", "d_ke") + """SELECT "FLAG", count(*) AS n FROM verdict WHERE "Status" = 'Rejected' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1""")
 def a17_top(spark, sf):
-    return A.top_flag(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
+    return A.top_flag(flows.validate(listings(spark, sf), rule_book(spark, sf)))
 
 
 @add("a18_seller_summary", S.verdict_parts("KE", "d_ke") + """SELECT CAST(row_number() OVER (ORDER BY "Rejected" DESC, SELLER_NAME) AS integer) AS "Rank", * FROM (
  SELECT "SellerName" AS SELLER_NAME, count(*) FILTER ("Status" = 'Rejected') AS "Rejected", count(*) FILTER ("Status" = 'Approved') AS "Approved"
  FROM verdict GROUP BY 1)""")
 def a18(spark, sf):
-    return A.seller_summary(flows.validate(listings(spark, sf), rule_book(spark, sf), block="l_partkey"))
+    return A.seller_summary(flows.validate(listings(spark, sf), rule_book(spark, sf)))
 
 
 # ---- rule loaders --------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from listguard.functions import text as tx
 from listguard.functions.prices import listing_price
 from listguard.operators import keywords as kw
 from listguard.operators.skew import HOT_ROWS, attach_group, columns, small
+from listguard.session import stage
 from listguard.sources.rules import FLAG_ORDER, FLAGS, ROLES, SELLER_KINDS, RuleBook
 
 # Placeholder brands of the perfume check.
@@ -494,6 +495,10 @@ def _joined_hits(df: DataFrame, rules: RuleBook, wanted: set, pos: str, predict,
 
 
 FOUND = "array<struct<ord:int,detail:string>>"
+# Checks that read the rows more than once, and the columns that these and their look-ups use.
+JOINED_CHECKS = {"Wrong Category", "Restricted brands", "Prohibited products", "Counterfeit Sneakers", "NG - Books Seller",
+                 "Generic branded products with genuine brands", "Duplicate product"}
+READ_BY_JOINED = ["PRODUCT_SET_SID", "NAME", "BRAND", "SELLER_NAME", "CATEGORY", "CATEGORY_CODE"]
 
 
 def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, skip=(),
@@ -541,7 +546,10 @@ def run_checks(df: DataFrame, rules: RuleBook, flags: list[str] | None = None, s
 
 
 def check(df: DataFrame, rules: RuleBook, flag: str, **kwargs) -> DataFrame:
-    """Products one check flags, with its detail."""
+    """Products one check flags, with its detail; a check that reads the rows several times gets them written."""
+    if flag in JOINED_CHECKS:
+        read = {*READ_BY_JOINED, kwargs.get("pos", "_pos")}
+        df = stage(df.select(*[F.col(f"`{c}`") for c in df.columns if c in read]), "prepared")
     out = run_checks(df, rules, [flag], **kwargs).where("_mask <> 0")
     return out.select("PRODUCT_SET_SID", F.get("_found", F.lit(0)).getField("detail").alias("DETAIL"))
 

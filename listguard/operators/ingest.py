@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from listguard.functions import text as tx
 from listguard.market import COUNTRIES, DEFAULT_MARKET, MULTI_COUNTRY, Market
-from listguard.operators.skew import fill_within, first_per_key
+from listguard.operators.skew import HOT_ROWS, attach_group, fill_within, first_per_key
 
 # Accepted names of the listing columns, in lower case.
 LISTING_ALIASES = {
@@ -152,14 +152,17 @@ def country_value(market: Market = DEFAULT_MARKET):
     return F.regexp_replace(c, "^" + tx.quote(market.shop_prefix.upper()), "")
 
 
-def filter_country(df: DataFrame, code: str, market: Market = DEFAULT_MARKET) -> DataFrame:
-    """Rows of one country; Nigeria also keeps rows listed in several countries."""
+def with_country(df: DataFrame, code: str, market: Market = DEFAULT_MARKET) -> DataFrame:
+    """Rows with their plain country, ``_IS_MULTI_COUNTRY``, and ``_kept`` for those of one country."""
     df = df.withColumn("ACTIVE_STATUS_COUNTRY", country_value(market))
     c = F.col("ACTIVE_STATUS_COUNTRY")
-    if code == "NG":
-        return (df.where((c == "NG") | c.isin(*MULTI_COUNTRY))
-                .withColumn("_IS_MULTI_COUNTRY", c.isin(*MULTI_COUNTRY)))
-    return df.where(c == code).withColumn("_IS_MULTI_COUNTRY", F.lit(False))
+    multi = c.isin(*MULTI_COUNTRY) if code == "NG" else F.lit(False)
+    return df.withColumn("_IS_MULTI_COUNTRY", multi).withColumn("_kept", (c == code) | F.col("_IS_MULTI_COUNTRY"))
+
+
+def filter_country(df: DataFrame, code: str, market: Market = DEFAULT_MARKET) -> DataFrame:
+    """Rows of one country; Nigeria also keeps rows listed in several countries."""
+    return with_country(df, code, market).where("_kept").drop("_kept")
 
 
 def detected_countries(df: DataFrame, market: Market = DEFAULT_MARKET) -> DataFrame:
@@ -188,22 +191,43 @@ def variation_count(df: DataFrame) -> DataFrame:
 
 
 def prepare(df: DataFrame, code: str | None, market: Market = DEFAULT_MARKET, pos: str = "_pos",
-            block: str | None = None) -> DataFrame:
-    """Fill, keep one country (all when ``code`` is None), count variations, keep first rows."""
-    block = block or ("_split" if "_split" in df.columns else None)
+            hot_rows: int = HOT_ROWS) -> DataFrame:
+    """First row of every product of one country (all when ``code`` is None), its gaps filled, its rows counted.
+
+    Only first rows leave, so nothing is filled but them: a gap takes the last value known before the row, in
+    any country, else the first one after it. Each is an aggregate with map-side combining, so a product of
+    very many rows costs its task no more than its parts' results.
+    """
     errors = schema_errors(df.columns)
     if errors:
         raise ValueError("; ".join(errors))
-    df = df.withColumn("PRODUCT_SET_SID", tx.strip_ws(tx.as_text(F.col("PRODUCT_SET_SID"))))
-    keep = (lambda d: d) if code is None else (lambda d: filter_country(d, code, market))
-    counts = variation_count(keep(df))
-    spread = keep(propagate_metadata(df, pos, block))
+    absent = {c: F.lit(None).cast("string") for c in SPREAD_COLUMNS if c not in df.columns}
+    df = df.withColumn("PRODUCT_SET_SID", tx.strip_ws(tx.as_text(F.col("PRODUCT_SET_SID")))).withColumns(absent)
+    known = {c: F.col(c).isNotNull() for c in SPREAD_COLUMNS}
     if code is None:
-        spread = spread.withColumn("_IS_MULTI_COUNTRY", F.lit(False))
-    stated = F.coalesce(tx.num(F.col("COUNT_VARIATIONS")), F.lit(1.0))
-    return (first_rows(spread, pos).join(counts, "PRODUCT_SET_SID")
-            .withColumn("COUNT_VARIATIONS", F.greatest(F.col("_rows").cast("double"), stated))
-            .drop("_rows"))
+        rows = df.withColumn("_IS_MULTI_COUNTRY", F.lit(False))
+        others = [c for c in rows.columns if c != "PRODUCT_SET_SID"]
+        first, count = F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), pos), F.count("*")
+        filled = {c: F.min_by(c, F.when(known[c], F.col(pos))) for c in SPREAD_COLUMNS}
+    else:
+        rows = with_country(df, code, market)
+        others = [c for c in rows.columns if c not in ("PRODUCT_SET_SID", "_kept")]
+        starts = rows.groupBy("PRODUCT_SET_SID").agg(
+            F.min(F.when(F.col("_kept"), F.col(pos))).alias("_start"), F.count_if("_kept").alias("_rows"), F.count("*").alias("_n")
+        ).where("_start IS NOT NULL")
+        rows = attach_group(rows, starts, ["PRODUCT_SET_SID"], [pos], "_n", hot_rows).where("_start IS NOT NULL")
+        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.when(F.col("_kept"), F.col(pos)))
+        count, at, start = F.any_value("_rows"), F.col(pos), F.col("_start")
+        filled = {c: F.coalesce(F.max_by(c, F.when(known[c] & (at <= start), at)),
+                                F.min_by(c, F.when(known[c] & (at > start), at))) for c in SPREAD_COLUMNS}
+    found = rows.groupBy("PRODUCT_SET_SID").agg(first.alias("_first"), count.alias("_rows"),
+                                                *[v.alias(f"_fill_{c}") for c, v in filled.items()])
+    stated = F.coalesce(tx.num(F.col("_fill_COUNT_VARIATIONS")), F.lit(1.0))
+    value = {c: F.col(f"_fill_{c}") for c in SPREAD_COLUMNS}
+    value["COUNT_VARIATIONS"] = F.greatest(F.col("_rows").cast("double"), stated)
+    value["PRODUCT_SET_SID"] = F.col("PRODUCT_SET_SID")
+    names = [*df.columns, "_IS_MULTI_COUNTRY"]
+    return found.select(*[(value[c] if c in value else F.col("_first").getField(c)).alias(c) for c in names])
 
 
 def common_products(df: DataFrame, file_col: str = "_file") -> DataFrame:

@@ -23,15 +23,23 @@ def category_predictor(rules: RuleBook, stop_words=None):
                               given("category_keyword"), given("correction"), stop_words)
 
 
-def flagged_listings(df: DataFrame, rules: RuleBook, pos: str = "_pos", block: str | None = None,
-                     skip=(), predict=None) -> DataFrame:
-    """Prepared products with own and shared flags.
+def listing_tables(df: DataFrame, rules: RuleBook, pos: str = "_pos", skip=(), predict=None) -> tuple[DataFrame, DataFrame]:
+    """(prepared products, their flags), both written.
 
-    Two tables are written on the way: the prepared products, which the joined checks read
-    again with few columns each, and the flagged ones, which both group expansions read.
+    The prepared products hold all columns and are written once; the joined checks read few of them each. The flags
+    go with the columns that expansions and verdicts need, so whatever follows reads narrow rows.
     """
-    prepared = stage(ingest.prepare(df, rules.country, rules.market, pos, block), "prepared")
-    return expand(stage(run_checks(prepared, rules, skip=skip, pos=pos, predict=predict), "flagged"))
+    prepared = stage(ingest.prepare(df, rules.country, rules.market, pos), "prepared")
+    checked = run_checks(prepared, rules, skip=skip, pos=pos, predict=predict)
+    return prepared, stage(checked.select(*[c for c in CHECKED if c in checked.columns]), "flagged")
+
+
+CHECKED = ["PRODUCT_SET_SID", "PARENTSKU", "NAME", "BRAND", "SELLER_NAME", "COLOR", "_found", "_mask"]
+
+
+def flagged_listings(df: DataFrame, rules: RuleBook, **kwargs) -> DataFrame:
+    """Products with own and shared flags, in the narrow form of ``listing_tables``."""
+    return expand(listing_tables(df, rules, **kwargs)[1])
 
 
 def validate(df: DataFrame, rules: RuleBook, **kwargs) -> DataFrame:
@@ -48,7 +56,8 @@ def audit_verdicts(df: DataFrame, rules: RuleBook, pages: DataFrame | None = Non
     category_map = rules.table("category_map") if "category_map" in rules.tables else None
     ready = audit.repair(rows, rules.country, rules.market, category_map)
     ready = stage(ready, "ready")
-    checked = stage(run_checks(ready, rules, pos=pos, predict=predict, published=True), "checked")
+    checked = run_checks(ready, rules, pos=pos, predict=predict, published=True)
+    checked = stage(checked.select(*[c for c in CHECKED if c in checked.columns]), "checked")
     return ready, verdict(expand(checked), rules)
 
 
