@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDER[0]
 
 
+#: Removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that write tables inside leave no shuffle files behind: whoever reads on reads the tables."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -58,5 +75,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of earlier steps.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/listguard-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
