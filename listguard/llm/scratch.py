@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listguard.session import shared_folder
+from listguard.session import shared_folder, shuffles_removed
 
 _collected: list[list[str]] = []
 
@@ -30,7 +30,8 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     Nothing upstream runs twice, a lost executor costs no earlier step, and rows keep their order and places.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/corpus-{uuid.uuid4().hex}-{name}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     for mine in _collected:
         mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
