@@ -6,6 +6,7 @@ projection over that array, so a page never leaves its row and nothing is shuffl
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,10 +17,10 @@ from listguard.functions import text as tx
 from listguard.functions.text import let
 from listguard.market import DEFAULT_MARKET, Market
 
-NODES = ("array<struct<ord:int,last:int,parent:int,depth:int,tag:string,classes:array<string>,"
+NODES = ("array<struct<ord:int,last:int,parent:int,depth:int,up:bigint,tag:string,classes:array<string>,"
          "attrs:map<string,string>,text:string>>")
 _NODE = pa.struct([("ord", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
-                   ("tag", pa.string()), ("classes", pa.list_(pa.string())),
+                   ("up", pa.int64()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
                    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -76,36 +77,85 @@ STOP_HEADS = (r"(?iU)^(specifications?|customer\s+feedback|related\s+results|sel
               r"|return\s+policy|seller\s+information)")
 
 
+# The ancestors that selectors ask for. Each is one of several (tags, attribute, how, value), where a
+# missing tag or attribute asks for nothing; ``word`` is one of the attribute's words, ``part`` any part of it.
+ANCESTORS = {
+    "crumb bar": [(("nav",), "class", "word", "breadcrumb"), ((), "class", "word", "-fdr")],
+    "crumb list": [(("ol",), "class", "word", "breadcrumb")],
+    "crumb label": [(("nav",), "aria-label", "part", "breadcrumb")],
+    "crumb box": [(("div",), "class", "word", "-bre")],
+    "crumb class": [(("div",), "class", "part", "breadcrumb")],
+    "price box": [(("div",), "class", "word", "-prc-w")],
+    "stars": [((), "class", "part", "stars")],
+    "review": [((), "class", "part", "review")],
+    "variant list": [(("ul",), "class", "word", "-pvs"), (("ul",), "class", "part", "var")],
+    "swatch": [((), "data-type", "is", "color"), ((), "data-type", "is", "size"),
+               (("li",), "class", "part", "color"), (("li",), "class", "part", "size")],
+    "variant box": [(("div",), "class", "part", "var"), (("div",), "class", "part", "size"), (("div",), "class", "part", "color")],
+    "order form": [(("form",), "id", "is", "product_addtocart_form"), (("form",), "action", "part", "checkout"),
+                   (("section",), "class", "word", "-pvs")],
+    "body": [(("body",), None, None, None)],
+    "page head": [(("header", "nav"), None, None, None)],
+    "seller box": [(("div",), "class", "part", "seller-info")],
+    "seller section": [(("section",), "class", "part", "seller")],
+    "seller detail": [(("div",), "class", "part", "seller-detail")],
+    "list": [(("ul",), None, None, None)],
+    "table": [(("table",), None, None, None)],
+}
+_BIT = {name: 1 << i for i, name in enumerate(ANCESTORS)}
+
+
+def _selected(tag: str, attrs: dict) -> int:
+    """The bits of the ANCESTORS that an element is."""
+    bits = 0
+    for name, tests in ANCESTORS.items():
+        for tags, key, how, value in tests:
+            if tags and tag not in tags:
+                continue
+            held = attrs.get(key)
+            if key is None or held is not None and (
+                    value in held.split() if how == "word" else value in held if how == "part" else value == held):
+                bits |= _BIT[name]
+                break
+    return bits
+
+
 class _Nodes(HTMLParser):
-    """Flat list of elements and texts in document order."""
+    """Flat list of elements and texts in document order, read in one pass over the tags.
+
+    The stack holds the open elements and, with each, the bits of all ANCESTORS open down to it; a node takes the bits above it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
+        self.rows, self.open, self.bits, self.tags = [], [], [0], Counter()
 
     def _add(self, tag, attrs=(), text=None):
-        row = {"ord": len(self.rows), "last": len(self.rows), "parent": self.open[-1]["ord"] if self.open else -1,
-               "depth": len(self.open), "tag": tag, "text": text,
-               "attrs": list({k: v or "" for k, v in reversed(attrs)}.items()) if attrs else [], "classes": []}
-        row["classes"] = next((v.split() for k, v in row["attrs"] if k == "class"), [])
+        found = {k: v or "" for k, v in reversed(attrs)}
+        at = len(self.rows)
+        row = {"ord": at, "last": at, "parent": self.open[-1]["ord"] if self.open else -1, "depth": len(self.open),
+               "up": self.bits[-1], "tag": tag, "text": text, "attrs": list(found.items()), "classes": found.get("class", "").split()}
         self.rows.append(row)
-        return row
+        return row, found
 
     def handle_starttag(self, tag, attrs):
-        row = self._add(tag, attrs)
+        row, found = self._add(tag, attrs)
         if tag not in VOID:
             self.open.append(row)
+            self.bits.append(self.bits[-1] | _selected(tag, found))
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._add(tag, attrs)
 
     def handle_endtag(self, tag):
-        if any(r["tag"] == tag for r in self.open):
-            while True:
-                row = self.open.pop()
-                row["last"] = len(self.rows) - 1
-                if row["tag"] == tag:
-                    return
+        while self.tags[tag]:
+            row = self.open.pop()
+            self.bits.pop()
+            self.tags[row["tag"]] -= 1
+            row["last"] = len(self.rows) - 1
+            if row["tag"] == tag:
+                return
 
     def handle_data(self, data):
         if self.open and self.open[-1]["tag"] in ("script", "style"):
@@ -163,18 +213,19 @@ def first(nodes: Column, cond) -> Column:
 
 
 def inside(nodes: Column, n: Column) -> Column:
-    return F.filter(nodes, lambda m: (m.ord > n.ord) & (m.ord <= n.last))
+    """The nodes below ``n``: they follow it in ``nodes``, which may be a whole page or all below some node."""
+    before = F.get(nodes, F.lit(0)).getField("ord")
+    return F.slice(nodes, n.ord - before + 2, n.last - n.ord)
 
 
-def under(nodes: Column, n: Column, cond) -> Column:
-    """True when an ancestor of ``n`` meets ``cond``."""
-    return F.exists(nodes, lambda a: (a.ord < n.ord) & (n.ord <= a.last) & cond(a))
+def under(n: Column, ancestor: str) -> Column:
+    """True when an ancestor of ``n`` is one of the ANCESTORS so named."""
+    return n.up.bitwiseAND(F.lit(_BIT[ancestor])) != 0
 
 
 def text_of(nodes: Column, n: Column, sep: str = "") -> Column:
     """Trimmed texts below ``n`` joined by ``sep``; null where there is no node."""
-    texts = F.transform(F.filter(nodes, lambda m: (m.tag == "#text") & (m.ord > n.ord) & (m.ord <= n.last)),
-                        lambda m: tx.strip_ws(m.text))
+    texts = F.transform(F.filter(inside(nodes, n), lambda m: m.tag == "#text"), lambda m: tx.strip_ws(m.text))
     return F.when(n.isNotNull(), F.array_join(texts, sep))
 
 
@@ -204,8 +255,9 @@ def absolute(url: Column, base: Column) -> Column:
 def listing_cards(pages: DataFrame, base_url: str = "") -> DataFrame:
     """One row per product card of a listing page."""
     cards = page_nodes(pages, ["page_id"]).select(
-        "page_id", "nodes", F.posexplode(F.filter("nodes", lambda n: (n.tag == "article") & has(n, "prd"))).alias("i", "card"))
-    own = cards.select("page_id", "i", "card", inside(F.col("nodes"), F.col("card")).alias("cn"))
+        "page_id", F.posexplode(F.transform(F.filter("nodes", lambda n: (n.tag == "article") & has(n, "prd")), lambda n: F.struct(
+            n.alias("card"), inside(F.col("nodes"), n).alias("cn")))).alias("i", "c"))
+    own = cards.select("page_id", "i", "c.card", "c.cn")
     cn, base = F.col("cn"), F.lit(base_url)
     href = F.coalesce(first_attr(cn, lambda n: (n.tag == "a") & has(n, "core"), "href"), F.lit(""))
 
@@ -253,8 +305,8 @@ def page_count(nodes: Column) -> Column:
 
 def breadcrumb(nodes: Column) -> Column:
     """Last breadcrumb that is not the home page."""
-    crumbs = F.filter(nodes, lambda n: ((n.tag == "span") & under(nodes, n, lambda a: ((a.tag == "nav") & has(a, "breadcrumb")) | has(a, "-fdr")))
-                      | ((n.tag == "li") & under(nodes, n, lambda a: (a.tag == "ol") & has(a, "breadcrumb"))))
+    crumbs = F.filter(nodes, lambda n: ((n.tag == "span") & under(n, "crumb bar"))
+                      | ((n.tag == "li") & under(n, "crumb list")))
     texts = F.filter(F.transform(crumbs, lambda n: text_of(nodes, n)),
                      lambda t: ~F.lower(t).isin("home", "accueil", ""))
     return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
@@ -341,14 +393,14 @@ def html_fields(nodes: Column, full: Column, market: Market) -> dict[str, Column
                           lambda n: F.coalesce(filled(attr(n, "data-src")), attr(n, "src"), F.lit("")))
     prices = [lambda n: (n.tag == "span") & has(n, "-b", "-ltr", "-tal", "-fs24"), lambda n: (n.tag == "span") & has(n, "prc"),
               lambda n: (n.tag == "span") & attr(n, "data-price").isNotNull(), lambda n: (n.tag == "span") & has(n, "-b", "-ltr", "-tal"),
-              lambda n: (n.tag == "span") & under(nodes, n, lambda a: (a.tag == "div") & has(a, "-prc-w"))]
+              lambda n: (n.tag == "span") & under(n, "price box")]
     discounts = [lambda n: (n.tag == "span") & has(n, "bdg", "_dsct", "_sm"), lambda n: (n.tag == "span") & has(n, "_dsct"),
                  lambda n: class_like(n, "discount")]
     ratings = [lambda n: (n.tag == "div") & has(n, "stars", "_s"),
-               lambda n: (n.tag == "span") & under(nodes, n, lambda a: class_like(a, "stars")),
+               lambda n: (n.tag == "span") & under(n, "stars"),
                lambda n: (n.tag == "div") & attr(n, "data-rating").isNotNull()]
     reviews = [lambda n: (n.tag == "a") & F.contains(attr(n, "href"), F.lit("#reviews")), lambda n: (n.tag == "span") & class_like(n, "revw"),
-               lambda n: (n.tag == "span") & under(nodes, n, lambda a: class_like(a, "review"))]
+               lambda n: (n.tag == "span") & under(n, "review")]
     unrated = F.when(full.rlike(r"(?iU)no\s+ratings?\s+(?:yet|available)"), F.lit("0"))
     stock = F.coalesce(*[F.when(F.length(text(c)) < 80, filled(text(c))) for c in (
         lambda n: (n.tag == "span") & class_like(n, "stock"), lambda n: (n.tag == "div") & class_like(n, "stock"),
@@ -388,18 +440,15 @@ def _pills(nodes: Column, cond, market: Market) -> Column:
 def variant_values(nodes: Column, full: Column, market: Market = DEFAULT_MARKET) -> Column:
     """Distinct variant values by the first strategy that yields any."""
     def a(n):
-        return (n.tag == "li") & under(nodes, n, lambda u: (u.tag == "ul") & (has(u, "-pvs") | class_like(u, "var")))
+        return (n.tag == "li") & under(n, "variant list")
 
     def b(n):
-        spot = lambda u: (attr(u, "data-type").isin("color", "size")) | ((u.tag == "li") & (class_like(u, "color") | class_like(u, "size")))
-        return ((n.tag == "span") & (has(n, "color-selector") | under(nodes, n, spot))) | ((n.tag == "label") & class_like(n, "color"))
+        return ((n.tag == "span") & (has(n, "color-selector") | under(n, "swatch"))) | ((n.tag == "label") & class_like(n, "color"))
 
     def d(n):
-        return (n.tag == "button") & under(nodes, n, lambda u: (u.tag == "div") & (class_like(u, "var") | class_like(u, "size") | class_like(u, "color")))
+        return (n.tag == "button") & under(n, "variant box")
     options = F.filter(F.transform(F.filter(nodes, lambda n: (n.tag == "option") & (F.coalesce(attr(n, "value"), F.lit("x")) != "")
-                                            & attr(n, "disabled").isNull() & under(nodes, n, lambda u: ((u.tag == "form") & (
-                                                (attr(u, "id") == "product_addtocart_form") | F.contains(attr(u, "action"), F.lit("checkout"))))
-                                                | ((u.tag == "section") & has(u, "-pvs")))), lambda n: text_of(nodes, n)),
+                                            & attr(n, "disabled").isNull() & under(n, "order form")), lambda n: text_of(nodes, n)),
                        lambda t: t != "")
     tried = F.array(_pills(nodes, a, market), _pills(nodes, b, market), options, _pills(nodes, d, market))
     found = F.array_distinct(F.coalesce(F.get(F.filter(tried, lambda v: F.size(v) > 0), F.lit(0)), F.array().cast("array<string>")))
@@ -469,14 +518,12 @@ def spec_value(spec: Column, *names: str) -> Column:
 
 def category_path(nodes: Column) -> Column:
     """Breadcrumb links joined by `` > ``, without the home link and an over-long last one."""
-    spots = [lambda a: (a.tag == "ol") & has(a, "breadcrumb"),
-             lambda a: (a.tag == "nav") & F.coalesce(F.contains(attr(a, "aria-label"), F.lit("breadcrumb")), F.lit(False)),
-             lambda a: (a.tag == "div") & has(a, "-bre"), None, lambda a: (a.tag == "div") & class_like(a, "breadcrumb")]
+    spots = ["crumb list", "crumb label", "crumb box", None, "crumb class"]
 
     def links(spot):
         if spot is None:
             return F.filter(nodes, lambda n: (n.tag == "a") & class_like(n, "crumb"))
-        return F.filter(nodes, lambda n: (n.tag == "a") & under(nodes, n, spot))
+        return F.filter(nodes, lambda n: (n.tag == "a") & under(n, spot))
 
     def texts(found):
         return F.filter(F.transform(found, lambda n: text_of(nodes, n)), lambda t: t != "")
@@ -498,8 +545,8 @@ def official_store(nodes: Column, market: Market) -> Column:
     words = r"(?iU)\bofficial\s+store\b"
     badge = F.exists(nodes, lambda n: (n.tag == "a") & (F.contains(attr(n, "href"), F.lit(market.official_tag))
                                                        | F.contains(attr(n, "tag"), F.lit(market.official_tag))))
-    said = F.exists(nodes, lambda n: (n.tag == "#text") & n.text.rlike(words) & under(nodes, n, lambda a: a.tag == "body")
-                    & ~under(nodes, n, lambda a: a.tag.isin("header", "nav")))
+    said = F.exists(nodes, lambda n: (n.tag == "#text") & n.text.rlike(words) & under(n, "body")
+                    & ~under(n, "page head"))
     shown = F.exists(nodes, lambda n: (n.tag == "img") & attr(n, "alt").rlike(words))
     yes = F.coalesce(badge, F.lit(False)) | F.coalesce(said, F.lit(False)) | F.coalesce(shown, F.lit(False))
     return F.when(yes, F.lit("Yes")).otherwise("No")
@@ -508,17 +555,18 @@ def official_store(nodes: Column, market: Market) -> Column:
 def seller_name(nodes: Column, ld_seller: Column, market: Market) -> Column:
     """Seller by four scoped strategies."""
     name = market.name.lower()
-    scoped = [lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(nodes, n, lambda a: (a.tag == "div") & class_like(a, "seller-info")),
-              lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(nodes, n, lambda a: (a.tag == "section") & class_like(a, "seller")),
-              lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(nodes, n, lambda a: (a.tag == "div") & class_like(a, "seller-detail")),
+    scoped = [lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(n, "seller box"),
+              lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(n, "seller section"),
+              lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & under(n, "seller detail"),
               lambda n: (n.tag == "a") & class_like(n, "seller-name"), lambda n: (n.tag == "a") & class_like(n, "store-name")]
 
     def fit(t, deny):
         return F.when(F.length(t).between(2, 60) & ~any_word(t, deny), t)
     by_class = [fit(first_text(nodes, c), [*SELLER_DENY, name]) for c in scoped]
-    heads = F.filter(nodes, lambda n: n.tag.isin("h2", "h3", "h4", "b", "strong", "div", "section")
-                     & text_of(nodes, n).rlike(r"(?iU)seller\s+information"))
-    below = F.transform(heads, lambda h: F.get(F.filter(F.transform(F.filter(
+    head = first(nodes, lambda n: n.tag.isin("h2", "h3", "h4", "b", "strong", "div", "section")
+                 & text_of(nodes, n).rlike(r"(?iU)seller\s+information"))
+    # Links after a later heading also follow the first one, which decides therefore.
+    below = let(head, lambda h: F.get(F.filter(F.transform(F.filter(
         nodes, lambda n: (n.tag == "a") & attr(n, "href").isNotNull() & (n.ord > h.ord)),
         lambda n: fit(text_of(nodes, n), [*SELLER_DENY_BELOW, name])), lambda t: t.isNotNull()), F.lit(0)))
     after_price = F.coalesce(*[first(nodes, c) for c in (
@@ -535,13 +583,13 @@ def seller_name(nodes: Column, ld_seller: Column, market: Market) -> Column:
     beside = let(heading, lambda h: F.get(F.filter(F.transform(F.filter(
         nodes, lambda n: (n.parent == h.parent) & (n.ord > h.last) & (n.tag != "#text")), lambda n: text_of(nodes, n)),
         lambda t: F.length(t).between(2, 60)), F.lit(0)))
-    return F.coalesce(*by_class, F.get(F.filter(below, lambda t: t.isNotNull()), F.lit(0)), by_slug, filled(ld_seller), beside)
+    return F.coalesce(*by_class, below, by_slug, filled(ld_seller), beside)
 
 
 def warranty(nodes: Column, full: Column) -> dict[str, Column]:
     stated = filled(tx.strip_ws(F.regexp_extract(full, r"(?iU)(\d+[\s\-]?(?:year|month|yr|mo)[s]?\s+(?:warranty|guarantee))", 1)))
-    rows = F.filter(nodes, lambda n: ((n.tag == "li") & under(nodes, n, lambda a: a.tag == "ul"))
-                    | ((n.tag == "tr") & under(nodes, n, lambda a: a.tag == "table")) | ((n.tag == "div") & has(n, "-fs14")))
+    rows = F.filter(nodes, lambda n: ((n.tag == "li") & under(n, "list"))
+                    | ((n.tag == "tr") & under(n, "table")) | ((n.tag == "div") & has(n, "-fs14")))
     texts = F.filter(F.transform(rows, lambda n: text_of(nodes, n, " ")), lambda t: t.rlike("(?i)warranty"))
     cleaned = F.transform(texts, lambda t: tx.strip_ws(F.regexp_replace(t, r"[Ww]arranty\s*[:\-]?\s*", "")))
     row = F.get(F.filter(cleaned, lambda v: (v != "") & (F.length(v) < 80)), F.lit(0))
@@ -573,15 +621,15 @@ def _missing_line(lines: Column, label: str, value: Column) -> Column:
 
 def list_after(nodes: Column, pattern: str) -> Column:
     """Items of the first list that follows a heading matching ``pattern``, joined by `` | ``."""
-    def lists(h):
-        later = F.filter(nodes, lambda n: (n.tag == "ul") & (n.ord > h.last))
-        stop = F.coalesce(F.get(F.transform(F.filter(nodes, lambda n: n.tag.isin("h2", "h3", "h4") & (n.ord > h.last)),
-                                            lambda n: n.ord), F.lit(0)), F.lit(2147483647))
-        return F.filter(later, lambda u: u.ord < stop)
+    lists, stops = (F.filter(nodes, lambda n: n.tag == "ul"), F.filter(nodes, lambda n: n.tag.isin("h2", "h3", "h4")))
+
+    def following(h):
+        stop = F.coalesce(first(stops, lambda n: n.ord > h.last).getField("ord"), F.lit(2147483647))
+        return let(stop, lambda o: F.filter(lists, lambda u: (u.ord > h.last) & (u.ord < o)))
     heads = F.filter(nodes, lambda n: n.tag.isin("h2", "h3", "h4", "b", "strong") & text_of(nodes, n).rlike(pattern))
-    found = F.flatten(F.transform(heads, lists))
+    found = F.flatten(F.transform(heads, following))
     items = let(F.get(found, F.lit(0)), lambda u: F.filter(F.transform(F.filter(
-        nodes, lambda n: (n.tag == "li") & (n.parent == u.ord)), lambda n: text_of(nodes, n, " ")), lambda t: t != ""))
+        inside(nodes, u), lambda n: (n.tag == "li") & (n.parent == u.ord)), lambda n: text_of(nodes, n, " ")), lambda t: t != ""))
     return filled(F.array_join(items, " | "))
 
 
