@@ -124,6 +124,63 @@ def p16(spark, sf):
     return products(spark, sf).select("p_partkey", "DESCRIPTION", "KEY_FEATURES", "WHATS_IN_BOX")
 
 
+# A second page per part: what the first one has in the first place looked for stands in a later place here. Which one
+# depends on the part: seven for the variants, six for the price, five for the seller, four for the stock and the breadcrumbs.
+_SIZE = "CAST(30 + p_size % 10 AS string)"
+_VARIED = f"""concat('<html><head><title>', CASE WHEN p_partkey % 7 = 6 THEN 'Teal gold thing' ELSE 'Thing' END, '</title>', CASE p_partkey % 6
+ WHEN 4 THEN concat('<script>window.__STORES__ = {{{{"pdp":{{{{"product":{{{{"price":"4,', CAST(100 + p_size AS string), '","image":"http://s/', CAST(p_partkey AS string), '.png"}}}}}}}}}}}}; var after = 1;</script>')
+ WHEN 5 THEN concat('<script>dataLayer.push({{{{"ecommerce":{{{{"detail":{{{{"price":"5,', CAST(100 + p_size AS string), '"}}}}}}}}}}}}) // more</script>')
+ ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN concat('<meta property="og:image" content="http://o/', CAST(p_partkey AS string), '.jpg">') ELSE '' END, '</head><body>',
+ CASE p_partkey % 4 WHEN 0 THEN concat('<ol class="breadcrumb"><li>Home</li><li>', p_type, '</li></ol>') WHEN 1 THEN concat('<div class="-fdr"><span>', p_type, '</span><span> home </span></div>')
+  WHEN 2 THEN concat('<nav class="x breadcrumb"><a>no</a><span></span><span>Tools</span><p><span>', p_type, '</span></p></nav>') ELSE '<nav><span>none</span></nav>' END,
+ '<h1>Thing</h1>',
+ CASE p_partkey % 6 WHEN 0 THEN concat('<p><span class="prc">KSh 3,', CAST(100 + p_size AS string), '</span></p>') WHEN 1 THEN concat('<p><span data-price="x">KSh 3,', CAST(100 + p_size AS string), '</span></p>')
+  WHEN 2 THEN concat('<p><span class="-ltr -tal -b">KSh 3,', CAST(100 + p_size AS string), '</span></p>') WHEN 3 THEN concat('<div class="-prc-w"><p><span>KSh 3,', CAST(100 + p_size AS string), '</span></p></div>') ELSE '' END,
+ CASE WHEN p_partkey % 2 = 0 THEN concat('<span class="x _dsct">', CAST(p_size AS string), '%</span>') ELSE concat('<p class="my-discount">', CAST(p_size AS string), '% off</p>') END,
+ CASE WHEN p_partkey % 2 = 1 THEN concat('<img class="-fw -fh" data-src="" src="http://a.png"><img class="-fh -fw" data-src="http://x/product/', CAST(p_partkey AS string), '.jpg">') ELSE '' END,
+ CASE p_partkey % 3 WHEN 0 THEN '<div class="my-stars"><p><span>4.5 of 5</span></p></div><a href="/p#reviews">12 reviews</a>' WHEN 1 THEN '<div data-rating="3.9"></div><span class="revw-x">13 said</span>' ELSE '<p>No ratings yet</p>' END,
+ CASE p_partkey % 7 WHEN 0 THEN concat('<p data-type="color"><span>Ash</span></p><p data-type="size"><span>EU ', {_SIZE}, '</span></p>') WHEN 1 THEN concat('<label class="my-color">Ash</label><li class="size-x"><b><span>EU ', {_SIZE}, '</span></b></li>')
+  WHEN 2 THEN concat('<form action="/checkout/now"><select><option value="">Pick</option><option value="1">Ash</option><option disabled>Gone</option><option>EU ', {_SIZE}, '</option></select></form><select><option>No</option></select>')
+  WHEN 3 THEN concat('<div class="size-row"><p><button>Ash</button></p><button>EU ', {_SIZE}, '</button><button>Share</button></div>') WHEN 4 THEN '<span class="color-selector">AshPlum</span>'
+  WHEN 5 THEN concat('<section class="a -pvs">Variation available <b>Ash</b> EU', {_SIZE}, '</section>') ELSE '' END,
+ CASE p_partkey % 4 WHEN 0 THEN '<span class="my-stock">FEW left</span>' WHEN 1 THEN '<p class="stock">low supply</p>' WHEN 2 THEN '<p>hurry, only 5 of them</p>' ELSE '<div class="out-of-stock"></div>' END,
+ CASE p_partkey % 5 WHEN 0 THEN concat('<section class="my-seller"><a href="/s">Shop ', p_type, '</a></section>') WHEN 1 THEN concat('<a class="x-seller-name">Shop ', p_type, '</a>')
+  WHEN 2 THEN concat('<h3>Seller Information</h3><p><a href="/f">Follow us</a><a href="/z">Shop ', p_type, '</a></p>') WHEN 3 THEN concat('<a href="/home/">Home</a><a href="/good-mart/">Mart ', CAST(p_size AS string), '</a>')
+  ELSE '<b>Seller information</b><p> </p><p>Fine Goods</p>' END, '</body></html>')"""
+
+
+def varied(spark, sf):
+    return spark.sql(f"SELECT p_partkey, {_VARIED} AS html FROM {{part}}", part=table(spark, sf, "part"))
+
+
+def varied_fields(spark, sf):
+    return P.product_fields(varied(spark, sf), ["p_partkey"], "https://x.example.com", MARKET)
+
+
+@add("p03_breadcrumb_branches", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_type END AS crumb FROM part""")
+def p03_branches(spark, sf):
+    return P.page_nodes(varied(spark, sf), ["p_partkey"]).select("p_partkey", P.breadcrumb(F.col("nodes")).alias("crumb"))
+
+
+@add("p05_p06_later_selectors", """SELECT p_partkey, concat(CASE p_partkey % 6 WHEN 4 THEN '4' WHEN 5 THEN '5' ELSE '3' END, 100 + p_size) AS "PRICE", concat(p_size, CASE WHEN p_partkey % 2 = 0 THEN '%' ELSE '% off' END) AS "DISCOUNT",
+ CASE p_partkey % 4 WHEN 0 THEN 'Few left' WHEN 1 THEN 'Low supply' WHEN 2 THEN 'Hurry, only 5' ELSE 'Out of Stock' END AS "STOCK_STATUS", CASE p_partkey % 3 WHEN 0 THEN '4.5' WHEN 1 THEN '3.9' ELSE '0' END AS "RATING",
+ CASE p_partkey % 3 WHEN 0 THEN '12' WHEN 1 THEN '13' ELSE '0' END AS "REVIEW_COUNT",
+ CASE WHEN p_partkey % 6 = 4 THEN concat('http://s/', p_partkey, '.png') WHEN p_partkey % 2 = 0 THEN concat('http://o/', p_partkey, '.jpg') ELSE concat('http://x/product/', p_partkey, '.jpg') END AS "MAIN_IMAGE" FROM part""")
+def p05(spark, sf):
+    return varied_fields(spark, sf).select("p_partkey", "PRICE", "DISCOUNT", "STOCK_STATUS", "RATING", "REVIEW_COUNT", "MAIN_IMAGE")
+
+
+@add("p07_later_strategies", """SELECT p_partkey, CASE WHEN p_partkey % 7 < 4 THEN concat('EU ', 30 + p_size % 10) WHEN p_partkey % 7 = 5 THEN concat('EU', 30 + p_size % 10) END AS "SIZES_AVAILABLE",
+ CASE p_partkey % 7 WHEN 4 THEN 'Ash, Plum' WHEN 6 THEN 'Teal, Gold' ELSE 'Ash' END AS "COLOR", CASE WHEN p_partkey % 7 IN (4, 6) THEN '2' ELSE '1' END AS "COUNT_VARIATIONS" FROM part""")
+def p07_later(spark, sf):
+    return varied_fields(spark, sf).select("p_partkey", "SIZES_AVAILABLE", "COLOR", "COUNT_VARIATIONS")
+
+
+@add("p13_later_strategies", """SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN concat('Mart ', p_size) WHEN 4 THEN 'Fine Goods' ELSE concat('Shop ', p_type) END AS "SELLER_NAME" FROM part""")
+def p13(spark, sf):
+    return varied_fields(spark, sf).select("p_partkey", "SELLER_NAME")
+
+
 @add("p10_captured_pages")
 def p10(spark, sf):
     """Every page field of the captured pages."""
