@@ -30,8 +30,9 @@ CLASSES = ("ordinary", "toxic")
 #: The most frequent words, of at most LONG letters, whose scores tasks hold; all others get theirs by a join.
 REMEMBERED = 200_000
 LONG = 64
-#: Words taken apart together.
+#: Words taken apart together, and turns (a power of two) in which expressions and words meet the counts.
 GATHERED = 8192
+PARTS = 2
 #: Labelled documents that the two weights are fitted on.
 CALIBRATION_ROWS = 20_000
 #: Words that count as the worst of a document.
@@ -61,7 +62,7 @@ class Letters:
         """Hash of the last ``order`` letters up to each letter; only for places >= order - 1."""
         out = np.full(len(self.codes), order, np.uint64) * MIX
         for back in range(order - 1, -1, -1):
-            shifted = self.codes if not back else np.r_[np.zeros(back, np.uint64), self.codes[:-back]]
+            shifted = np.r_[np.zeros(back, np.uint64), self.codes][:len(self.codes)]
             out = (out ^ shifted) * MIX
             out ^= out >> np.uint64(29)
         return out
@@ -175,10 +176,10 @@ def all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(seen)
 
 
-def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def asked(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
     """(g, context, suffix, size, start): the expressions of words that a score needs, once for each table of words.
 
-    ``start`` marks expressions at a word's beginning.
+    ``start`` marks expressions at a word's beginning. Only those whose hash falls into the ``part`` of PARTS.
     """
     for table in gathered(batches):
         letters = Letters(table["word"].to_pylist())
@@ -186,6 +187,7 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for k in range(1, ORDER + 1):
             at = np.flatnonzero((letters.place >= k - 1) & (letters.place >= 1))
+            at = at[hashed[k][at] >> np.uint64(32) & np.uint64(PARTS - 1) == part]
             g, first = np.unique(hashed[k][at], return_index=True)
             ends = at[first]
             parts.append([g, hashed[k - 1][ends - 1] if k > 1 else np.zeros(len(g), np.uint64), hashed[k - 1][ends],
@@ -219,18 +221,14 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
     Counts stay in tables keyed by the whole 64-bit hash of an expression and grow with the input. Each
     distinct expression of the words meets its count and its context's once; then every order takes the
     probability of the next shorter one by a join, so no key is hotter than the letters are many. Tables
-    go once the next one is written.
+    go once the next one is written, and the widest joins run in PARTS turns, so that less is on disk at a time.
     """
     spark = words.sparkSession
     with collected() as counted:
         each, contexts = count_tables(train)
     cut = discounts(each)
-    needed = words.select("word").mapInArrow(
-        asked, "g bigint, context bigint, suffix bigint, size int, start boolean").groupBy("g").agg(
-        *[F.first(c).alias(c) for c in ("context", "suffix", "size", "start")])
-    n = F.coalesce(together(), F.lit(0))
-    met = (needed.join(each.select("g", *CLASSES), "g", "left").withColumn("c", n)
-           .join(contexts, "context", "left"))
+    with collected() as sized:
+        contexts = stage(contexts, "contexts")
     d = F.array(*[F.lit(float(x)) for x in cut])[F.col("size")]
     rest, share = d * F.col("kinds") / F.col("n"), F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("n")
     columns = []
@@ -238,9 +236,18 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
         known = F.coalesce(f"n_{name}", F.lit(0)) > 0
         seen = ((1 - rest) * F.coalesce(name, F.lit(0)) + PRIOR * share) / (F.col(f"n_{name}") + PRIOR)
         columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"), F.when(known, rest).otherwise(1.0).alias(f"rest{c}")]
+    met, counted = [], counted + sized
     with collected() as sized:
-        met = stage(met.select("g", "suffix", "start", "size", *columns), "met", by="size")
+        for part in range(PARTS):
+            needed = words.select("word").mapInArrow(
+                lambda b, p=part: asked(b, p), "g bigint, context bigint, suffix bigint, size int, start boolean").groupBy("g").agg(
+                *[F.first(c).alias(c) for c in ("context", "suffix", "size", "start")])
+            mine = each.where(F.shiftright("g", 32).bitwiseAND(PARTS - 1) == part).select("g", *CLASSES)
+            joined = (needed.join(mine, "g", "left").withColumn("c", F.coalesce(together(), F.lit(0)))
+                      .join(contexts, "context", "left"))
+            met.append(stage(joined.select("g", "suffix", "start", "size", *columns), "met", by="size"))
     clear(spark, counted)
+    met = reduce(DataFrame.union, met)
     ratio = (F.log(F.col("p1") + 1e-12) - F.log(F.col("p0") + 1e-12)).alias("ratio")
     tops, shorter, last = [], None, []
     for k in range(1, ORDER + 1):
@@ -252,16 +259,19 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
         mine = mine.select("g", "start", *[(F.col(f"seen{c}") + F.col(f"rest{c}") * F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)])
         with collected() as written:
             shorter = stage(mine if k < ORDER else mine.select("g", ratio), "order")
-        clear(spark, last + [f"{sized[0]}/size={k}"])
+        clear(spark, last + [f"{path}/size={k}" for path in sized])
         last = written
         if k == ORDER:
             tops.append(shorter)
         elif k > 1:  # the longest expression of a letter is shorter than ORDER at a word's beginning alone
             tops.append(stage(shorter.where("start").select("g", ratio), "tops"))
-    letters = words.select("w", "word").mapInArrow(longest, "w bigint, g bigint")
-    ratios = stage(letters.join(reduce(DataFrame.union, tops), "g").groupBy("w").agg(F.sum("ratio").alias("ratio")), "ratios")
+    tops, ratios = reduce(DataFrame.union, tops), []
+    for part in range(PARTS):
+        mine = words.where(F.col("w").bitwiseAND(PARTS - 1) == part).select("w", "word")
+        letters = mine.mapInArrow(longest, "w bigint, g bigint")
+        ratios.append(stage(letters.join(tops, "g").groupBy("w").agg(F.sum("ratio").alias("ratio")), "ratios"))
     clear(spark, last)
-    return ratios
+    return reduce(DataFrame.union, ratios)
 
 
 KNOWN = "struct<total:double,letters:bigint,worst:array<double>,rare:array<struct<word:string,n:int>>>"
