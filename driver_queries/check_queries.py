@@ -173,6 +173,17 @@ def f10(spark, sf):
     return rows.where(~F.col("ord").isin(2, 3, 4, 6, 7, 10, 11))
 
 
+@add("f10_skip_table", S.verdict_parts("KE", "d", _SKIP) + "SELECT DISTINCT sid, ord FROM own")
+def f10_table(spark, sf):
+    """All flags but those that the country's rows of the skip table, repeated and foreign ones among them, leave out."""
+    skips = spark.createDataFrame([("NG", "Missing COLOR"), *[("KE", f) for f in _SKIP for _ in range(40)], ("KE", "no flag")],
+                                  "country string, flag string")
+    rules = rule_book(spark, sf)
+    rules = R.RuleBook(spark, {**rules.tables, "country_skip": skips}, MARKET, "KE")
+    out = C.run_checks(stage(prepared(spark, sf), "prepared"), rules)
+    return out.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode("_found").alias("x")).select("sid", "x.ord")
+
+
 # ---- verdicts ------------------------------------------------------------------------------
 
 def flagged(spark, sf, code):
@@ -266,6 +277,31 @@ def v09_counts(spark, sf):
     return V.bulk_approve_counts(V.bulk_approve(flagged(spark, sf, "KE"), rule_book(spark, sf), "BRAND name repeated in NAME"))
 
 
+# The user approves the flag for every second product only.
+@add("v09_bulk_approve_ids", _V09 + f"""SELECT n.sid AS "ProductSetSid", CASE WHEN n.ord IS NULL THEN 'Approved' ELSE 'Rejected' END AS "Status",
+ coalesce(m.flag, 'Approved by User') AS "FLAG" FROM nextflag n LEFT JOIN {S.flag_values()} m ON m.ord = n.ord
+ WHERE n.sid IN (SELECT concat(l_orderkey, '-', l_linenumber) FROM lineitem WHERE l_orderkey % 4 < 2)""")
+def v09_ids(spark, sf):
+    from driver_queries.views import table
+    ids = spark.sql("SELECT concat(CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string)) AS PRODUCT_SET_SID FROM {lineitem} "
+                    "WHERE l_orderkey % 4 < 2", lineitem=table(spark, sf, "lineitem"))
+    out = V.bulk_approve(flagged(spark, sf, "KE"), rule_book(spark, sf), "BRAND name repeated in NAME", ids)
+    return out.select("ProductSetSid", "Status", "FLAG")
+
+
+_PAYLOAD = """SELECT concat('{{"action":"', CASE o_custkey % 3 WHEN 0 THEN 'undo' WHEN 1 THEN 'reject' ELSE 'restore' END, '","payload":{{"',
+ CAST(o_orderkey AS string), '-1":"', o_orderpriority, '","', CAST(o_orderkey AS string), '-2":"REJECT_COLOR"}}}}') AS payload,
+ CAST(o_orderdate AS timestamp) AS ts FROM {orders}"""
+
+
+@add("v08_payload_decisions", """SELECT concat(o_orderkey, '-', n) AS sid, CASE o_custkey % 3 WHEN 1 THEN 'reject' ELSE 'restore' END AS action,
+ CASE n WHEN 1 THEN o_orderpriority ELSE 'REJECT_COLOR' END AS reason_key, CAST(NULL AS varchar) AS comment, CAST(o_orderdate AS timestamp) AS ts
+FROM orders, (VALUES (1), (2)) v(n)""")
+def v08_payload(spark, sf):
+    from driver_queries.views import table
+    return V.decisions_from_payload(spark.sql(_PAYLOAD, orders=table(spark, sf, "orders")))
+
+
 @add("v10_audit_export", S.verdict_parts("KE", "d_ke") + """SELECT d.PRODUCT_SET_SID, d.NAME, CASE WHEN coalesce(v."Status", 'Approved') = 'Approved' THEN 'ok' ELSE v."FLAG" END AS "FINAL_FLAG",
  CASE WHEN coalesce(v."Status", 'Approved') = 'Approved' THEN 'ok' ELSE v."Comment" END AS "FLAG_REASON"
 FROM d LEFT JOIN verdict v ON v."ProductSetSid" = d.PRODUCT_SET_SID""")

@@ -58,12 +58,15 @@ def n02(spark, sf):
 
 @add("n03_repair_encoding", f"""SELECT doc_id, text FROM documents""")
 def n03(spark, sf):
-    """Texts damaged by reading UTF-8 as Latin-1 come back unchanged."""
+    """Texts damaged by reading UTF-8 as Latin-1 or Windows-1252 come back unchanged."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     plain = docs.withColumn("text", tx.drop_control(F.col("text")))
     # Decoding the bytes as Latin-1 is what the damage is; ISO-8859-1 maps every byte.
     broken = plain.withColumn("text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
-    return ingest.repair_encoding(broken, ["text"])
+    # Every second text was read as Windows-1252 instead; it has no character for five of the bytes.
+    as_windows = F.translate("text", ingest._TO, ingest._FROM)
+    read = F.when((F.col("doc_id") % 2 == 0) & ~F.col("text").rlike("[\x81\x8d\x8f\x90\x9d]"), as_windows).otherwise(F.col("text"))
+    return ingest.repair_encoding(broken.withColumn("text", read), ["text"])
 
 
 SQL["n03_repair_encoding"] = "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS text FROM documents"
@@ -110,11 +113,11 @@ def n10(spark, sf):
                                       tx.match_key(F.col("BRAND"), F.col("NAME"), F.col("COLOR")).alias("k"))
 
 
-def _colors_sql():
+def _colors_sql(text="text", explicit="source"):
     parts = []
     for base, variants in tx.COLOR_VARIANTS.items():
         words = "|".join(variants)
-        parts.append(rf"CASE WHEN regexp_matches(lower(text), '\b({words})\b') OR regexp_matches(lower(source), '({words})') THEN '{base}' END")
+        parts.append(rf"CASE WHEN regexp_matches(lower(coalesce({text}, '')), '\b({words})\b') OR coalesce(regexp_matches(lower({explicit}), '({words})'), false) THEN '{base}' END")
     return "array_to_string(list_sort(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)), ',')"
 
 
@@ -144,10 +147,12 @@ _b = "lower(trim(BRAND))"
 
 
 @add("n13_product_attributes", S.with_("listings") + f"""SELECT {ID}, trim(CASE WHEN coalesce({_b} <> '' AND NOT contains({_plain_name(S.strip('NAME'))}, {_b})
- AND {_b} NOT IN ('generic', 'fashion'), false) THEN concat({_b}, ' ', {_plain_name(S.strip('NAME'))}) ELSE {_plain_name(S.strip('NAME'))} END) AS base_name FROM listings""")
+ AND {_b} NOT IN ('generic', 'fashion'), false) THEN concat({_b}, ' ', {_plain_name(S.strip('NAME'))}) ELSE {_plain_name(S.strip('NAME'))} END) AS base_name,
+ {_colors_sql(S.strip('NAME'), 'COLOR')} AS colors, '' AS sizes, '' AS storage, '' AS memory, '' AS quantities, coalesce({S.strip('NAME')}, '') AS raw_name FROM listings""")
 def n13(spark, sf):
-    return listings(spark, sf).select("PRODUCT_SET_SID", "l_partkey", tx.product_attributes(
-        F.col("NAME"), F.col("COLOR"), F.col("BRAND")).getField("base_name").alias("base_name"))
+    found = listings(spark, sf).select("PRODUCT_SET_SID", "l_partkey", tx.product_attributes(
+        F.col("NAME"), F.col("COLOR"), F.col("BRAND")).alias("a")).select("PRODUCT_SET_SID", "l_partkey", "a.*")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("colors", "sizes", "storage", "memory", "quantities")})
 
 
 @add("n14_matcher_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM documents")
@@ -166,9 +171,20 @@ def n15(spark, sf):
         "CATEGORY", tx.path_top(c).alias("top"), tx.path_leaf(c).alias("leaf"), F.size(tx.path_segments(c)).alias("n"))
 
 
-@add("n26_local_price", """SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN concat('GH₵ ', format('{:,.2f}', o_totalprice * 15.5)) ELSE '' END AS ghana FROM orders""")
+_USD = "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN 'x' WHEN 3 THEN '-5' ELSE CAST(o_totalprice AS string) END"
+
+
+def _local(symbol, rate, decimals):
+    value = f"CAST(o_totalprice AS double) * {rate}"
+    return f"CASE WHEN o_orderkey % 7 > 3 AND o_totalprice > 0 THEN concat('{symbol} ', format('{{:,.{decimals}f}}', {value})) ELSE '' END"
+
+
+@add("n26_local_price", f"""SELECT o_orderkey, {_local('KSh', 128.0, 0)} AS kenya, {_local('USh', 3750.0, 0)} AS uganda, {_local('₦', 1550.0, 0)} AS nigeria,
+ {_local('GH₵', 15.5, 2)} AS ghana, {_local('MAD', 10.1, 2)} AS morocco, {_local('$', 1.0, 2)} AS elsewhere FROM orders""")
 def n26(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", prices.local_price(F.col("o_totalprice"), "Ghana").alias("ghana"))
+    usd = spark.sql(f"SELECT o_orderkey, {_USD} AS usd FROM {{orders}}", orders=table(spark, sf, "orders"))
+    return usd.select("o_orderkey", *[prices.local_price(F.col("usd"), c).alias(c.lower()) for c in (
+        "Kenya", "Uganda", "Nigeria", "Ghana", "Morocco", "Elsewhere")])
 
 
 # Product addresses made from listings: a stock code, a long number, or neither.

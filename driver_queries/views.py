@@ -102,14 +102,14 @@ FROM {part} CROSS JOIN (SELECT 'KE' AS country UNION ALL SELECT 'NG' AS country)
 SELECT c.country AS country, concat(' ', brand) AS brand,
   CASE WHEN n % 3 = 0 THEN '' ELSE concat('Supplier#00000000', CAST(n % 10 AS string), ', Supplier#000000011') END
     AS approved_sellers,
-  CASE WHEN n % 4 = 0 THEN concat(CAST(1000000 + n AS string), '.0,', CAST(1000001 + n AS string)) ELSE NULL END
+  CASE WHEN n % 8 <> 1 THEN concat(CAST(1000000 + n AS string), '.0,', CAST(1000001 + n AS string)) ELSE NULL END
     AS categories,
   CASE WHEN n % 5 = 0 THEN 'Anvil, hot rod' WHEN n % 5 = 1 THEN 'bolt' ELSE NULL END AS variations, n AS _pos
 FROM (SELECT DISTINCT p_brand AS brand, CAST(split_part(p_brand, '#', 2) AS integer) AS n FROM {part}) b
 CROSS JOIN (SELECT 'KE' AS country UNION ALL SELECT 'NG' AS country) c""",
     "prohibited_sheet": """
 SELECT c.country AS country, word AS keyword,
-  CASE WHEN n % 3 = 0 THEN concat(CAST(1000000 + n AS string), ',', CAST(1000010 + n AS string)) ELSE '' END
+  CASE WHEN n % 13 = 0 THEN '' ELSE concat(CAST(1000000 + n AS string), ',', CAST(1000010 + n AS string)) END
     AS categories, n AS _pos
 FROM (SELECT DISTINCT p_name AS word, length(p_name) AS n FROM {part}
   UNION SELECT DISTINCT split_part(p_name, ' ', 2) AS word, 20 + length(p_name) AS n FROM {part}) w

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,27 +122,29 @@ def fix_encoding_artifacts(df: DataFrame, cols=("NAME", "PARENTSKU")) -> DataFra
     return df.withColumns({c: tx.fix_mojibake(F.col(c)) for c in cols if c in df.columns})
 
 
+# Windows-1252 where it differs from Latin-1: its characters and their bytes, read as Latin-1.
+_WINDOWS = {bytes([b]).decode("cp1252", "ignore"): chr(b) for b in range(0x80, 0xA0)}
+_WINDOWS.pop("")
+_TO, _FROM = "".join(_WINDOWS.values()), "".join(_WINDOWS)
+
+
 def repair_encoding(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Undo UTF-8 text that was read as Windows-1252 or Latin-1, and drop control characters.
 
-    Only values with a non-ASCII character can be damaged; the rest skip the Python step.
+    A text is repaired if each of its characters is one of the charset's and their bytes are valid UTF-8 that
+    reads otherwise; Windows-1252 comes first. Built-in functions throughout.
     """
-    @F.pandas_udf("string")
-    def reencoded(values: pd.Series) -> pd.Series:
-        def fix(v):
-            for charset in ("cp1252", "latin-1"):
-                try:
-                    fixed = v.encode(charset).decode("utf-8")
-                except (UnicodeDecodeError, UnicodeEncodeError):
-                    continue
-                if fixed != v and "�" not in fixed:
-                    return fixed
-            return v
-        return values.map(fix, na_action="ignore")
+    def reread(c: Column, foreign: str, single: Column) -> Column:
+        # Characters beyond the charset are ruled out before any byte is made.
+        read = F.when(~c.rlike(foreign), F.encode(single, "ISO-8859-1")).cast("string")
+        return F.when(F.is_valid_utf8(read) & (read != c) & ~F.contains(read, F.lit("\ufffd")), read)
+
+    def repaired(c: Column) -> Column:
+        windows = reread(c, rf"[^\x00-\x7F\xA0-\xFF{_FROM}]", F.translate(c, _FROM, _TO))
+        return F.coalesce(windows, reread(c, r"[^\x00-\xFF]", c), c)
 
     names = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    suspect = {c: F.when(F.col(c).rlike(r"[^\x00-\x7F]"), F.col(c)) for c in names}
-    return df.withColumns({c: tx.drop_control(F.coalesce(reencoded(suspect[c]), F.col(c)))
+    return df.withColumns({c: tx.drop_control(F.when(F.col(c).rlike(r"[^\x00-\x7F]"), repaired(F.col(c))).otherwise(F.col(c)))
                            for c in names})
 
 

@@ -185,7 +185,8 @@ class RuleBook:
 
     def skipped(self) -> set:
         if "country_skip" in self.tables:
-            return {r.flag for r in self.for_country("country_skip").limit(len(FLAGS)).collect()}
+            known = F.col("flag").isin(*[f for f, *_ in FLAGS])  # so no more rows than flags come back
+            return {r.flag for r in self.for_country("country_skip").where(known).select("flag").distinct().collect()}
         return set(COUNTRY_SKIPS.get(self.country, ()))
 
     @cached_property
