@@ -144,8 +144,13 @@ def repair_encoding(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         return F.coalesce(windows, reread(c, r"[^\x00-\xFF]", c), c)
 
     names = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: tx.drop_control(F.when(F.col(c).rlike(r"[^\x00-\x7F]"), repaired(F.col(c))).otherwise(F.col(c)))
-                           for c in names})
+    if not names:
+        return df
+    # One expression for all columns: written out for each, the code of many would pass what the JVM compiles.
+    all_texts = F.transform(F.array(*[F.col(f"`{c}`") for c in names]), lambda c: tx.drop_control(
+        F.when(c.rlike(r"[^\x00-\x7F]"), repaired(c)).otherwise(c)))
+    return df.withColumn("_texts", all_texts).withColumns(
+        {c: F.get("_texts", F.lit(i)) for i, c in enumerate(names)}).drop("_texts")
 
 
 def country_value(market: Market = DEFAULT_MARKET):
