@@ -19,8 +19,10 @@ from tokenizers import Tokenizer
 
 from listguard.llm.batches import small_batches
 
-#: Entries that one task remembers before it starts afresh, and the longest word or fragment among them.
-REMEMBERED = 400_000
+#: Bytes of words and ids, with what Python adds to each entry, that a worker remembers before it starts afresh, and
+#: the longest word or fragment among them.
+REMEMBERED = 32 << 20
+ENTRY = 200
 LONGEST = 64
 #: Symbols from which merges are drawn from a heap.
 MANY = 128
@@ -56,6 +58,7 @@ class Fragments(dict):
         spelled = [self.library.pre_tokenizer.pre_tokenize_str(c) for c in plain]
         self.signs = {c: found[0][0] for c, found in zip(plain, spelled) if found}
         self.inner: dict[str, bytes] = {}
+        self.held = 0
 
     def ids(self, text: str) -> bytes:
         """The packed ids of a whole text."""
@@ -79,8 +82,10 @@ class Fragments(dict):
     def __missing__(self, word: str) -> bytes:
         found = self._cut(word if word.isascii() and word.isalnum() else self._written(word))
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if self.held >= REMEMBERED:
                 self.clear()
+                self.held = 0
+            self.held += len(word) + len(found) + ENTRY
             self[word] = found
         return found
 
@@ -102,7 +107,7 @@ class Fragments(dict):
         if known is None:
             known = self._encoded(fragment, False)
             if len(fragment) <= LONGEST:
-                if len(self.inner) >= REMEMBERED:
+                if len(self.inner) * (ENTRY + 2 * LONGEST) >= REMEMBERED:
                     self.inner.clear()
                 self.inner[fragment] = known
         return known
