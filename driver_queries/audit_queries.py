@@ -440,6 +440,14 @@ def f15(spark, sf):
     return review.page(ingest.first_rows(listings(spark, sf)), ["_pos"], 2).select("PRODUCT_SET_SID", "NAME")
 
 
+@add("f15_last_page", _FIRST + """SELECT PRODUCT_SET_SID, NAME FROM (SELECT *, row_number() OVER (ORDER BY _pos) AS n, count(*) OVER () AS total FROM first)
+WHERE n > (total - 1) // 40 * 40""")
+def f15_last(spark, sf):
+    rows = ingest.first_rows(listings(spark, sf)).select("PRODUCT_SET_SID", "NAME", "_pos")
+    pages = review.Pages(rows, ["_pos"])
+    return pages.page(review.page_count(rows).head().pages - 1).select("PRODUCT_SET_SID", "NAME")
+
+
 @add("f15_page_count", _FIRST + "SELECT CAST(ceil(count(*) / 40) AS bigint) AS pages FROM first")
 def f15_count(spark, sf):
     return review.page_count(listings(spark, sf).select("PRODUCT_SET_SID").distinct())

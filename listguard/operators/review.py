@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listguard.functions import text as tx
 from listguard.operators.skew import small
+from listguard.session import stage
 
 # Columns of the review grid and of the full export.
 GRID_COLUMNS = ["PRODUCT_SET_SID", "NAME", "BRAND", "CATEGORY", "SELLER_NAME", "MAIN_IMAGE",
@@ -63,9 +64,34 @@ def search_rows(df: DataFrame, term: str | None = None, sellers: list[str] | Non
     return df
 
 
+class Pages:
+    """Rows in order, dealt to ranges and written once with their place, so that any page is a read of its few rows.
+
+    One row per range (at most as many as shuffle partitions) tells how many rows it holds; with these a page finds its
+    ranges and places, and the scan skips all others by the file's statistics.
+    """
+
+    def __init__(self, df: DataFrame, order: list) -> None:
+        at = F.monotonically_increasing_id()
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        self.columns = df.columns
+        self.rows = stage(ranged.withColumn("_range", F.shiftright(at, 33)).withColumn("_place", at.bitwiseAND((1 << 33) - 1)), "pages")
+        self.held = sorted((r["_range"], r["n"]) for r in self.rows.groupBy("_range").agg(F.count("*").alias("n")).collect())
+
+    def page(self, number: int, size: int = 40) -> DataFrame:
+        """Rows of page ``number`` (from 0), in order; none beyond the last."""
+        low, before, wanted = number * size, 0, F.lit(False)
+        for part, n in self.held:
+            first, last = max(low - before, 0), min(low + size - before, n)
+            if first < last:
+                wanted = wanted | ((F.col("_range") == part) & (F.col("_place") >= first) & (F.col("_place") < last))
+            before += n
+        return self.rows.where(wanted).orderBy("_range", "_place").select(*[F.col(f"`{c}`") for c in self.columns])
+
+
 def page(df: DataFrame, order: list, number: int, size: int = 40) -> DataFrame:
-    """Rows of page ``number`` (from 0)."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """Rows of page ``number`` (from 0). For several pages of a table, build ``Pages`` once."""
+    return Pages(df, order).page(number, size)
 
 
 def page_count(df: DataFrame, size: int = 40) -> DataFrame:
