@@ -213,10 +213,10 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
     """(w, ratio): log P(word | toxic) - log P(word | ordinary) of the distinct ``words`` (w, word).
 
     After a context, the discount taken from the counts of both classes together is the weight of the next shorter
-    order; both classes share it, so an expression that neither has seen tells little of the class. The rest goes to the
-    letters by the class's own counts, with the shares of both classes weighing in as PRIOR occurrences. A class
-    that has not seen the context takes the shorter order as it is. Each class's probabilities after a context add
-    up to one.
+    order; both classes share it, so an expression that neither has seen tells nothing of the class. The rest goes to the
+    letters by the class's own counts, with the shares of both classes weighing in as PRIOR occurrences. So the
+    probabilities of a class that knows the context add up to one. A class that does not know it takes the shorter order
+    for the letters that the other has seen there, and with the shared weight for all others: at most one in all.
 
     Counts stay in tables keyed by the whole 64-bit hash of an expression and grow with the input. Each
     distinct expression of the words meets its count and its context's once; then every order takes the
@@ -231,11 +231,11 @@ def word_ratios(train: DataFrame, words: DataFrame) -> DataFrame:
         contexts = stage(contexts, "contexts")
     d = F.array(*[F.lit(float(x)) for x in cut])[F.col("size")]
     rest, share = d * F.col("kinds") / F.col("n"), F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("n")
-    columns = []
+    columns, unseen = [], F.coalesce((F.col("c") == 0) & (F.col("n") > 0), F.lit(False))
     for c, name in enumerate(CLASSES):
         known = F.coalesce(f"n_{name}", F.lit(0)) > 0
         seen = ((1 - rest) * F.coalesce(name, F.lit(0)) + PRIOR * share) / (F.col(f"n_{name}") + PRIOR)
-        columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"), F.when(known, rest).otherwise(1.0).alias(f"rest{c}")]
+        columns += [F.when(known, seen).otherwise(0.0).alias(f"seen{c}"), F.when(known | unseen, rest).otherwise(1.0).alias(f"rest{c}")]
     met, counted = [], counted + sized
     with collected() as sized:
         for part in range(PARTS):

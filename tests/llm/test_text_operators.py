@@ -381,6 +381,8 @@ def plain_ratio(train, word):
                     if sum(counts[c][y] for y in after):
                         assert abs(sum(map(given, after)) - 1) < 1e-9
                         p[c] = (1 - rest) * given(g) + rest * before[c]
+                    elif not together.get(g):
+                        p[c] = rest * before[c]
         out += np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
     return out
 
