@@ -8,7 +8,7 @@ from driver_queries.views import cte
 
 SHEETS = ("brand_sheet", "prohibited_sheet")
 # a16_validation_kpis counts the verdicts of v04_verdict_nigeria.
-READERS = """c02_restricted_brands c11_prohibited""".split()
+READERS = """c02_restricted_brands c11_prohibited c11_highlight""".split()
 
 # No size is a category that a sheet lists for these brands and names, now or by a narrower sheet; sizes of the
 # pair 6 and 30 tell whether only one of two equal listings is flagged.
