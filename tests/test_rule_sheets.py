@@ -49,3 +49,16 @@ def test_rules_without_categories_count(rows, name):
     text = registered.oracle_sql()[name]
     assert emptied(text) != text
     assert sorted(map(repr, rows.sql(text).fetchall())) != sorted(map(repr, rows.sql(emptied(text)).fetchall()))
+
+
+def test_equal_listings_of_two_categories_are_flagged_by_themselves(rows):
+    """Brand#23 stands for all categories: neither of two equal listings has its flag from the other alone."""
+    text = registered.oracle_sql()["v01_duplicate_expansion"]
+    rows.sql("CREATE OR REPLACE TABLE part AS SELECT * FROM part UNION ALL SELECT 30, 'blue ringss', 'Brand#23', 'SMALL BRASS', 23, 930.0")
+    rows.sql("""INSERT INTO lineitem SELECT l_orderkey, l_linenumber + 4, 30, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,
+ l_linestatus, l_shipdate FROM lineitem WHERE l_partkey = 6""")
+    try:
+        assert not [r for r in rows.sql(text).fetchall() if r[1] == 2]
+    finally:
+        rows.sql("DELETE FROM lineitem WHERE l_partkey = 30")
+        rows.sql("DELETE FROM part WHERE p_partkey = 30")
