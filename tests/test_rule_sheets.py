@@ -8,7 +8,8 @@ from driver_queries.views import cte
 
 SHEETS = ("brand_sheet", "prohibited_sheet")
 # a16_validation_kpis counts the verdicts of v04_verdict_nigeria.
-READERS = """c02_restricted_brands c11_prohibited c11_highlight f08_flagged_rows f09_approved v02_match_key_expansion v03_first_flag""".split()
+READERS = """c02_restricted_brands c11_prohibited c11_highlight f08_flagged_rows f09_approved v02_match_key_expansion v03_first_flag
+v04_verdict_kenya""".split()
 
 # No size is a category that a sheet lists for these brands and names, now or by a narrower sheet; sizes of the
 # pair 6 and 30 tell whether only one of two equal listings is flagged.
@@ -62,3 +63,12 @@ def test_equal_listings_of_two_categories_are_flagged_by_themselves(rows):
     finally:
         rows.sql("DELETE FROM lineitem WHERE l_partkey = 30")
         rows.sql("DELETE FROM part WHERE p_partkey = 30")
+
+
+@pytest.mark.parametrize("name", ["c02_restricted_brands", "c11_prohibited", "c11_highlight", "v04_verdict_kenya"])
+def test_operators_over_whole_sheets(spark, rows, tmp_path, name):
+    for table in TABLES:
+        rows.sql(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    wanted = rows.sql(registered.oracle_sql()[name])
+    got = registered.queries()[name](spark, str(tmp_path)).select(*wanted.columns).collect()
+    assert len(got) and sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted.fetchall()))
