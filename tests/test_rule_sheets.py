@@ -10,7 +10,7 @@ SHEETS = ("brand_sheet", "prohibited_sheet")
 # a16_validation_kpis counts the verdicts of v04_verdict_nigeria.
 READERS = """c02_restricted_brands c11_prohibited c11_highlight f08_flagged_rows f09_approved v02_match_key_expansion v03_first_flag
 v04_verdict_kenya v04_verdict_nigeria v05_approved_rows v06_full_merge v07_v08_decisions v09_bulk_approve
-v09_bulk_approve_counts v10_audit_export a17_flag_counts""".split()
+v09_bulk_approve_counts v10_audit_export a17_flag_counts a17_top_flag""".split()
 
 # No size is a category that a sheet lists for these brands and names, now or by a narrower sheet; sizes of the
 # pair 6 and 30 tell whether only one of two equal listings is flagged.
