@@ -11,7 +11,7 @@ SHEETS = ("brand_sheet", "prohibited_sheet")
 READERS = """c02_restricted_brands c11_prohibited c11_highlight f08_flagged_rows f09_approved v02_match_key_expansion v03_first_flag
 v04_verdict_kenya v04_verdict_nigeria v05_approved_rows v06_full_merge v07_v08_decisions v09_bulk_approve
 v09_bulk_approve_counts v10_audit_export a17_flag_counts a17_top_flag q01_q02_issues q01_q02_issues_nigeria q03_q04_scores
-q05_yes_no_flags q06_top_issues q07_quality_report q08_report_kpis q09_flag_breakdown""".split()
+q05_yes_no_flags q06_top_issues q07_quality_report q08_report_kpis q09_flag_breakdown f11_report_filter""".split()
 
 # No size is a category that a sheet lists for these brands and names, now or by a narrower sheet; sizes of the
 # pair 6 and 30 tell whether only one of two equal listings is flagged.
