@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from listguard.llm.rows import quoted
 from listguard.llm.scratch import clear, collected, stage
 
 WORDS = re.compile(r"\w+")
+#: For ASCII texts: every byte that is in no word becomes a space.
+SPACED = bytes(b if WORDS.match(chr(b)) else 0x20 for b in range(256))
 #: Letters of an expression, and the longest one whose counts both classes share.
 ORDER = 6
 SHARED = 2
@@ -49,6 +52,12 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of a text; ASCII texts, most of them, are split without the expression."""
+    text = (text or "").lower()
+    return text.encode().translate(SPACED).decode().split() if text.isascii() else WORDS.findall(text)
+
+
 class Letters:
     """The expressions of a list of words, side by side: hashes of each letter with the letters before it."""
 
@@ -69,14 +78,20 @@ class Letters:
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, ordinary, toxic) of each batch of (text, toxic) rows."""
+    """(word, ordinary, toxic) of (text, toxic) rows, added up over up to REMEMBERED words before they leave the task."""
+    def out(seen: tuple[Counter, Counter]) -> pa.RecordBatch:
+        words = list(dict.fromkeys([*seen[0], *seen[1]]))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[
+            pa.array([c.get(w, 0) for w in words], pa.int64()) for c in seen]], names=["word", "ordinary", "toxic"])
+
+    seen = (Counter(), Counter())
     for batch in batches:
-        seen = (Counter(), Counter())
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            seen[int(toxic)].update(WORDS.findall((text or "").lower()))
-        words = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[
-            pa.array([c[w] for w in words], pa.int64()) for c in seen]], names=["word", "ordinary", "toxic"])
+            seen[int(toxic)].update(words_of(text))
+        if len(seen[0]) + len(seen[1]) > REMEMBERED:
+            yield out(seen)
+            seen = (Counter(), Counter())
+    yield out(seen)
 
 
 def expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +184,7 @@ def all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Counter()
     for batch in batches:
         for text in batch["text"].to_pylist():
-            seen.update(WORDS.findall((text or "").lower()))
+            seen.update(words_of(text))
         if len(seen) > REMEMBERED:
             yield out(seen)
             seen = Counter()
@@ -279,14 +294,31 @@ ARROW_KNOWN = pa.struct([("total", pa.float64()), ("letters", pa.int64()), ("wor
                          ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
 
 
-def known_part(text: str | None, ratio: dict[str, float]) -> dict:
-    """What the frequent words say of a text, and its other words with their numbers."""
-    words = WORDS.findall((text or "").lower())
-    known = np.fromiter((ratio[w] for w in words if w in ratio), np.float64)
-    rare = Counter(w for w in words if w not in ratio)
-    worst = np.partition(known, -WORST)[-WORST:] if len(known) > WORST else known
-    return {"total": float(known.sum()), "letters": sum(map(len, words)) + len(words), "worst": worst.tolist(),
-            "rare": [{"word": w, "n": n} for w, n in rare.items()]}
+def lists(ends: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), values)
+
+
+def known_parts(texts: list[str | None], ratio: dict[str, float]) -> pa.Array:
+    """What the frequent words say of each text, and its other words with their numbers."""
+    totals, letters, worst, worst_ends, rare, times, rare_ends = [], [], [], [], [], [], []
+    for text in texts:
+        words = words_of(text)
+        scores = np.fromiter(map(ratio.get, words, repeat(np.nan)), np.float64, len(words))  # nan: the other words
+        other = np.isnan(scores)
+        if other.any():
+            counted = Counter([words[i] for i in np.flatnonzero(other)])
+            rare += counted
+            times += counted.values()
+            scores = scores[~other]
+        totals.append(scores.sum())
+        letters.append(len("".join(words)) + len(words))
+        worst += (np.partition(scores, -WORST)[-WORST:] if len(scores) > WORST else scores).tolist()
+        worst_ends.append(len(worst))
+        rare_ends.append(len(rare))
+    rows = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int32())], names=["word", "n"])
+    return pa.StructArray.from_arrays([pa.array(totals, pa.float64()), pa.array(letters, pa.int64()),
+                                       lists(worst_ends, pa.array(worst, pa.float64())), lists(rare_ends, rows)],
+                                      fields=list(ARROW_KNOWN))
 
 
 def features(rows: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -353,7 +385,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, text: str = "text", doc_id:
 
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([known_part(t, held.value) for t in batch.to_pylist()], ARROW_KNOWN)
+            yield known_parts(batch.to_pylist(), held.value)
 
     rows = stage(df.select(F.struct(*[F.col(quoted(c)) for c in names]).alias("__in"), F.col(doc_id).alias("__id"),
                            F.monotonically_increasing_id().alias("at"), F.arrow_udf(scored, KNOWN)(F.col(text)).alias("f")), "features")

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -321,6 +322,19 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, marks.limit(0)).collect()} == {0.0}
 
 
+def test_words_leave_a_task_once_and_texts_as_one_array():
+    def rows(texts):
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([i % 2 for i in range(len(texts))])], names=["text", "toxic"])
+    texts = ["Ab ab\x1fc_1-d", "été Ab", None, "", "x x x x"]
+    counted = list(toxicity.word_counts(iter([rows(texts), rows(texts)])))
+    assert sum(b.num_rows for b in counted) == len({w for t in texts for w in re.findall(r"\w+", (t or "").lower())})
+    assert {r["word"]: (r["ordinary"], r["toxic"]) for b in counted for r in b.to_pylist()}["ab"] == (4, 2)
+    found = toxicity.known_parts(texts, {"ab": 1.5, "x": -0.25, "c_1": 2.0}).to_pylist()
+    assert [(f["total"], f["letters"], sorted(f["worst"]), f["rare"]) for f in found] == [
+        (5.0, 12, [1.5, 1.5, 2.0], [{"word": "d", "n": 1}]), (1.5, 7, [1.5], [{"word": "été", "n": 1}]),
+        (0.0, 0, [], []), (0.0, 0, [], []), (-1.0, 8, [-0.25] * 3, [])]
+
+
 def test_kneser_ney_counts_against_plain_ones(spark):
     train = spark.createDataFrame([("ab abc", 0), ("abd", 1), ("ab", 1)], "text string, toxic int")
     each, contexts = toxicity.count_tables(train)
