@@ -74,3 +74,19 @@ def test_operators_over_whole_sheets(spark, rows, tmp_path, name):
     wanted = rows.sql(registered.oracle_sql()[name])
     got = registered.queries()[name](spark, str(tmp_path)).select(*wanted.columns).collect()
     assert len(got) and sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_kpis_count_a_rejection_that_only_rules_without_categories_give(spark, tmp_path):
+    """A Nigerian product with no other flag: rejected by a prohibited word for all categories, approved without the sheets."""
+    con = duckdb.connect()
+    own = {**TABLES, "part": """SELECT 5 AS p_partkey, 'blue ringss' AS p_name, 'Brand#22' AS p_brand, 'SMALL BRASS' AS p_type, 5 AS p_size,
+ 905.0 AS p_retailprice""", "lineitem": TABLES["lineitem"].replace("FROM (", "FROM (SELECT * REPLACE (3 AS o) FROM (", 1).replace(
+        "range(16) r(k))", "range(1) r(k)) WHERE s_suppkey = 13)")}
+    for name, text in own.items():
+        con.sql(f"CREATE TABLE {name} AS {text}")
+        con.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    text = registered.oracle_sql()["a16_validation_kpis"]
+    wanted = con.sql(text)
+    assert con.sql(emptied(text)).fetchall() == [(1, 1, 0, 0.0, 0)] and wanted.fetchall() == [(1, 0, 1, 100.0, 0)]
+    got = registered.queries()["a16_validation_kpis"](spark, str(tmp_path)).select(*wanted.columns).collect()
+    assert list(map(tuple, got)) == [(1, 0, 1, 100.0, 0)]
