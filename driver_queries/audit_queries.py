@@ -298,9 +298,13 @@ def audit_flow(spark, sf):
 
 # ---- quality report ------------------------------------------------------------------------
 
+#: Columns of the listing view that checks, report and the texts made below read.
+REPORTED = [*C.columns_read(report.LISTING_FLAGS), "MAIN_IMAGE", "l_partkey"]
+
+
 def reported(spark, sf, code="KE"):
     """Prepared listings with the columns the report reads besides."""
-    rows = ingest.prepare(listings(spark, sf), None, MARKET)
+    rows = ingest.prepare(listings(spark, sf), None, MARKET, columns=REPORTED)
     docs = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("short text"),
                                 F.concat(F.lit("long "), F.repeat(F.coalesce("NAME", F.lit("x")), 30)),
                                 F.concat(F.lit("<IMG src=x>"), F.repeat(F.coalesce("NAME", F.lit("x")), 30))),

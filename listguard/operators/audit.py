@@ -11,7 +11,7 @@ from listguard.functions.prices import discount_text, price_text
 from listguard.functions.urls import base_sku, country_from_url, last_slug, official_pattern, sku_from_url
 from listguard.market import DEFAULT_MARKET, Market
 from listguard.operators import keywords as kw
-from listguard.operators.skew import HOT_ROWS, attach_group, columns, first_per_key, map_distinct, small
+from listguard.operators.skew import HOT_ROWS, attach_group, attach_some, columns, first_per_key, map_distinct, small
 
 ADVISORY = {
     "_OLD_PRICE_CORRUPTED": "Corrupted original price",
@@ -285,12 +285,16 @@ def no_ratings(df: DataFrame) -> DataFrame:
 
 def repeated_description(df: DataFrame, column: str = "DESCRIPTION", out: str = "_repeated",
                          hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add a flag for a non-blank text that another row has too; texts meet by digest."""
-    keyed = df.withColumn("_digest", F.coalesce(F.sha2(F.col(column), 256),
-                                                F.concat(F.lit("\u0001"), F.xxhash64(*columns(df)).cast("string"))))
+    """Add a flag for a non-blank text that another row has too; texts meet by digest.
+
+    Blank ones meet none and are spread by the product, or by all columns where there is none.
+    """
+    own = [F.col("PRODUCT_SET_SID")] if "PRODUCT_SET_SID" in df.columns else columns(df)
     filled = F.coalesce(tx.strip_ws(F.col(column)), F.lit("")) != ""
-    stats = keyed.where(filled).groupBy("_digest").agg(F.count("*").alias("_rep")).where("_rep > 1")
-    joined = attach_group(keyed, stats, ["_digest"], columns(df), "_rep", hot_rows)
+    keyed = df.withColumn("_digest", F.when(filled, F.sha2(F.col(column), 256)).otherwise(
+        F.concat(F.lit("\u0001"), F.xxhash64(*own).cast("string"))))
+    stats = keyed.where(~F.startswith("_digest", F.lit("\u0001"))).groupBy("_digest").agg(F.count("*").alias("_rep")).where("_rep > 1")
+    joined = attach_some(keyed, stats, ["_digest"], own, "_rep", hot_rows)
     return joined.withColumn(out, F.col("_rep").isNotNull()).drop("_digest", "_rep")
 
 

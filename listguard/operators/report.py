@@ -9,7 +9,7 @@ from listguard.functions import text as tx
 from listguard.operators import keywords as kw
 from listguard.operators.audit import fake_discount_detail, repeated_description
 from listguard.operators.checks import run_checks, unnecessary_detail
-from listguard.operators.skew import columns
+from listguard.operators.skew import columns, exploded
 from listguard.sources.rules import FLAGS, RuleBook
 
 # Weight of an issue by severity, in report order.
@@ -112,9 +112,6 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
         add("#blacklist", kw.hit(tx.lower_key(F.col("NAME")), pattern), unnecessary_detail(name, pattern))
     discount = fake_discount_detail(out)
     add("#discount", discount.isNotNull(), discount)
-    if "DESCRIPTION" in base:
-        out = repeated_description(out)
-        add("#repeated", F.col("_repeated"), F.lit(REGISTRATIONS[index["#repeated"]][3]))
     if "No. of Images" in base:
         n = F.col("`No. of Images`")
         add("#few_images", F.coalesce(tx.num(n), F.lit(1.0)) < 5,
@@ -126,8 +123,14 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
         for name, cond in (("#empty", blank), ("#thin", ~blank & (F.length(d) < 100)),
                            ("#no_img", d.isNotNull() & ~F.contains(F.lower(d), F.lit("<img")))):
             add(name, cond, F.lit(REGISTRATIONS[index[name]][3]))
-    every = F.array_sort(F.concat(_from_checks(), F.array_compact(F.array(*extra))))
-    out = out.withColumn("_all", every)
+    # What a row finds by itself is found before rows meet, so long texts do not travel.
+    out = out.withColumn("_own", F.concat(_from_checks(), F.array_compact(F.array(*extra))))
+    every = F.col("_own")
+    if "DESCRIPTION" in base:
+        out = repeated_description(out)
+        again = _issue(index["#repeated"], F.lit(REGISTRATIONS[index["#repeated"]][3]))
+        every = F.concat(every, F.array_compact(F.array(F.when(F.col("_repeated"), again))))
+    out = out.withColumn("_all", F.array_sort(every))
     key = F.transform("_all", lambda x: F.struct(x.flag.alias("flag"), x.message.alias("m")))
     out = out.withColumn("_keys", key)
     first = F.filter("_all", lambda x, i: F.array_position(F.col("_keys"), F.get("_keys", i)) == i + 1)
@@ -136,7 +139,7 @@ def find_issues(df: DataFrame, rules: RuleBook, predict=None) -> DataFrame:
 
 def issue_rows(df: DataFrame) -> DataFrame:
     """One row per issue."""
-    return df.select(F.col("PRODUCT_SET_SID").alias("sid"), F.explode("_issues").alias("x")).select(
+    return exploded(df.select(F.col("PRODUCT_SET_SID").alias("sid"), "_issues"), "_issues").select(
         "sid", "x.severity", "x.flag", "x.message", F.col("x.ord").alias("issue_order"))
 
 
